@@ -7,6 +7,7 @@ many times is computed once, both on plain columns and inside vertex arrays.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from math import radians, sqrt
 
@@ -124,26 +125,22 @@ def _passes(source: int, target: int) -> list[list[tuple[str, str]]]:
     return [_to_lonlat(into)] * bool(into) + ([_from_lonlat(out)] if out else [])
 
 
+def _bind(text: str, names: dict[str, str]) -> str:
+    """Replace bare step names by the expressions that hold them."""
+    return re.sub(r"(?<![\w.])[a-z]+\b(?!\()", lambda m: names.get(m[0], m[0]), text)
+
+
 def _in_vertices(vertices: str, steps: list[tuple[str, str]]) -> str:
     """Run the steps over ``array<struct<x, y>>``, carrying named results from step to step."""
-    names = ["x", "y"]
+    names = {"x": "v.x", "y": "v.y"}
     for name, text in steps:
-        carried = ", ".join(f"'{n}', v.{n}" for n in names)
-        body = text
-        for n in sorted(names, key=len, reverse=True):
-            body = _qualify(body, n)
+        carried = ", ".join(f"'{n}', {held}" for n, held in names.items())
+        body = _bind(text, names)
         vertices = f"transform({vertices}, v -> named_struct({carried}, '{name}', {body}))"
-        names.append(name)
+        names[name] = f"v.{name}"
     return f"transform({vertices}, v -> named_struct('x', v.lon, 'y', v.lat))"
 
 
-def _qualify(text: str, name: str) -> str:
-    """Prefix a bare step name with the lambda variable."""
-    import re
-
-    return re.sub(rf"(?<![\w.]){name}\b(?!\()", f"v.{name}", text)
-
-
 def reproject_polygons(geom: str, source: int, target: int) -> Column:
     """Polygon column with every vertex moved to ``target``."""
     ring = "r"
@@ -157,24 +154,14 @@ def reproject_xy(df: DataFrame, x: str, y: str, source: int, target: int) -> Dat
     out = df
     for steps in _passes(source, target):
         names = {"x": f"`{x}`", "y": f"`{y}`"}
-        keep = out.columns
         for name, text in steps:
-            body = text
-            for n in sorted(names, key=len, reverse=True):
-                body = _replace(body, n, names[n])
-            out = out.withColumn(f"_{name}", F.expr(body))
-            names[name] = f"`_{name}`"
+            out = out.withColumn(f"_{name}", F.expr(_bind(text, names)))
+            names[name] = f"_{name}"
         final = {x: F.col("_lon").alias(x), y: F.col("_lat").alias(y)}
-        out = out.select(*[final.get(c, F.col(f"`{c}`")) for c in keep])
+        out = out.select(*[final.get(c, F.col(f"`{c}`")) for c in df.columns])
     return out
 
 
-def _replace(text: str, name: str, column: str) -> str:
-    import re
-
-    return re.sub(rf"(?<![\w.`]){name}\b(?![(`])", column, text)
-
-
 def reproject(df: DataFrame, source: int, target: int, geom: str = "geom") -> DataFrame:
     """Move a point or polygon column to ``target``; same systems leave it alone, unknown raise.
 

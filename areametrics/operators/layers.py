@@ -51,7 +51,6 @@ def regular_grid(
     nx = max(1, ceil((maxx - minx) / side))
     ny = max(1, ceil((maxy - miny) / side))
     ix, iy = f"(id DIV {ny})", f"(id % {ny})"
-    x, y = f"{float(minx)!r}D + {ix}", f"{float(miny)!r}D + {iy}"
     s = f"{float(side)!r}D"
     lo = [f"{float(minx)!r}D + {ix} * {s}", f"{float(miny)!r}D + {iy} * {s}"]
     hi = [f"{float(minx)!r}D + ({ix} + 1) * {s}", f"{float(miny)!r}D + ({iy} + 1) * {s}"]

@@ -23,9 +23,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from areametrics.functions import crs
 from areametrics.functions import geometry as G
 from areametrics.operators import joins
+from areametrics.operators.projection import set_bbox
 from areametrics.schemas import BBOX, GEOM
 
 #: Cells per polygon, on average, the automatic cell size may spend.
@@ -404,3 +407,13 @@ def clip_polygons(
         left, right, _KEYS, _polygon_meets_chip(), "left_semi",
         right_bytes=_right_bytes(plan, right, limit), limit=limit, heavy_rows=heavy_rows,
     ).select(*[f"`{c}`" for c in layer.columns])
+
+
+def clip_to_region(
+    df: DataFrame, region: DataFrame, srid: int, region_srid: int, **options: object
+) -> DataFrame:
+    """Clip points or polygons; a region in another coordinate system is moved first."""
+    if not crs.same_crs(srid, region_srid):
+        region = set_bbox(crs.reproject(region.select(GEOM), region_srid, srid))
+    is_point = isinstance(df.schema[GEOM].dataType, T.StructType)
+    return (clip_points if is_point else clip_polygons)(df, region, **options)

@@ -6,12 +6,17 @@ arithmetic and nulls are put in by key. SQL engines then agree on every value.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from areametrics.functions import geometry as G
+from areametrics.operators.projection import occurrence_table
 from areametrics.schemas import GEOM, LAT, LON
 
+# The kingdoms of the derived occurrences.
+KINGDOMS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 #: Grid columns and rows over the unit square.
 GRID = 20
 
@@ -20,9 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def raw_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per line item, with the occurrence columns, coordinates and a park by supplier."""
+def raw_occurrences(
+    spark: SparkSession, sf_dir: str, spread: Callable[..., DataFrame] | None = None
+) -> DataFrame:
+    """One row per line item, with the occurrence columns, coordinates and a park by supplier.
+
+    ``spread``, if given, may repartition the scan by the two columns of the row key.
+    """
     line = table(spark, sf_dir, "lineitem")
+    if spread:
+        line = spread(line, "l_orderkey", "l_linenumber")
     part = table(spark, sf_dir, "part")
     supplier = table(spark, sf_dir, "supplier")
     nation = table(spark, sf_dir, "nation")
@@ -71,30 +83,60 @@ def grid(spark: SparkSession) -> DataFrame:
     return cells.select("id", G.rectangle(*box).alias(GEOM)).withColumns(G.polygon_bbox(GEOM))
 
 
-def _ring(x: str, y: str, offsets: list[tuple[str, str]]) -> str:
-    vertices = ", ".join(
-        f"named_struct('x', {x} + {dx}D, 'y', {y} + {dy}D)" for dx, dy in offsets
+# Outlines as parts -> rings -> (x, y) offsets from a lattice corner. The park
+# figures are the ones of the test layer, the plot figures are in units of 1/1024.
+PARK_SHAPES = {
+    "ell": [[[(0, 0), (0.18, 0), (0.18, 0.08), (0.08, 0.08), (0.08, 0.18), (0, 0.18)]]],
+    "holed": [[[(0, 0), (0.18, 0), (0.18, 0.08), (0.08, 0.08), (0.08, 0.18), (0, 0.18)],
+               [(0.02, 0.02), (0.02, 0.06), (0.06, 0.06), (0.06, 0.02)]]],
+}
+PLOT_SHAPES = {
+    "ell": [[[(0, 0), (6, 0), (6, 3), (3, 3), (3, 6), (0, 6)]]],
+    "holed": [[[(0, 0), (6, 0), (6, 6), (0, 6)], [(1, 1), (1, 3), (3, 3), (3, 1)]]],
+    "diamond": [[[(3, 0), (6, 3), (3, 6), (0, 3)]]],
+    "pair": [[[(0, 0), (2, 0), (2, 2), (0, 2)]], [[(4, 4), (6, 4), (6, 6), (4, 6)]]],
+}
+PLOT_UNIT = 1 / 1024
+#: Plots per lattice row; the row above starts where this one ends.
+PLOT_ROW = 128
+
+
+def _outline(parts: list, x: str, y: str, unit: float) -> str:
+    def vertex(v: tuple) -> str:
+        return (
+            f"named_struct('x', {x} + {float(v[0]) * unit!r}D, 'y', {y} + {float(v[1]) * unit!r}D)"
+        )
+
+    def ring(vs: list) -> str:
+        return f"array({', '.join(vertex(v) for v in [*vs, vs[0]])})"
+
+    return f"array({', '.join('array(' + ', '.join(ring(r) for r in p) + ')' for p in parts)})"
+
+
+def _shaped(shape: str, shapes: dict, x: str, y: str, unit: float) -> str:
+    cases = " ".join(
+        f"WHEN {shape} = '{name}' THEN {_outline(parts, x, y, unit)}"
+        for name, parts in shapes.items()
     )
-    return f"array({vertices})"
+    return f"CASE {cases} END"
 
 
-# Outline of a park inside its lattice square, and of its hole.
-L_SHAPE = [("0.0", "0.0"), ("0.18", "0.0"), ("0.18", "0.08"), ("0.08", "0.08"),
-           ("0.08", "0.18"), ("0.0", "0.18"), ("0.0", "0.0")]
-HOLE = [("0.02", "0.02"), ("0.02", "0.06"), ("0.06", "0.06"), ("0.06", "0.02"), ("0.02", "0.02")]
+PARK_SHAPE = "CASE WHEN n_nationkey % 3 = 0 THEN 'holed' ELSE 'ell' END"
+PLOT_SHAPE = (
+    "CASE WHEN c_custkey % 8 = 5 THEN 'pair' WHEN c_custkey % 4 = 1 THEN 'diamond' "
+    "WHEN c_custkey % 3 = 0 THEN 'holed' ELSE 'ell' END"
+)
 
 
 def parks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An L-shaped park per nation on a 5 x 5 lattice; every third has a square hole."""
     x, y = "(n_nationkey % 5) * 0.2D", "(n_nationkey DIV 5) * 0.2D"
-    shell, hole = _ring(x, y, L_SHAPE), _ring(x, y, HOLE)
     return (
         table(spark, sf_dir, "nation")
         .selectExpr(
             "n_nationkey AS park_id",
             "n_name AS park_name",
-            f"CASE WHEN n_nationkey % 3 = 0 THEN array(array({shell}, {hole})) "
-            f"ELSE array(array({shell})) END AS {GEOM}",
+            f"{_shaped(PARK_SHAPE, PARK_SHAPES, x, y, 1.0)} AS {GEOM}",
         )
         .withColumns(G.polygon_bbox(GEOM))
     )
@@ -112,3 +154,58 @@ def neighbourhoods(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         .withColumns(G.polygon_bbox(GEOM))
     )
+
+
+def raw_plots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A green-space outline per customer, as raw layers name their columns (no box yet).
+
+    Outlines do not overlap, whatever the number of customers: the lattice grows upwards. Some
+    names and types are null; four neighbours share a name.
+    """
+    x, y = f"(c_custkey % {PLOT_ROW}) / 128D", f"(c_custkey DIV {PLOT_ROW}) / 128D"
+    return table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS OBJECTID",
+        "CASE WHEN c_custkey % 50 <> 7 THEN concat('Green ', c_custkey DIV 4) END AS Nom",
+        f"{case_of(PLOT_TYPES['Type'], 'c_custkey % 5')} AS Type",
+        f"{case_of(PLOT_TYPES['TYPO1'], 'c_custkey % 7')} AS TYPO1",
+        f"{case_of(PLOT_TYPES['TYPO2'], 'c_custkey % 11')} AS TYPO2",
+        "c_acctbal AS area_value",
+        f"{_shaped(PLOT_SHAPE, PLOT_SHAPES, x, y, PLOT_UNIT)} AS {GEOM}",
+    )
+
+
+def plots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`raw_plots` with box columns."""
+    return raw_plots(spark, sf_dir).withColumns(G.polygon_bbox(GEOM))
+
+
+# Values the type filter looks for, by column, as terms of one disjunction.
+PARK_TYPE_TERMS = [
+    ("TYPO1", "Grand parc"),
+    ("TYPO2", "Parc-nature"),
+    ("TYPO2", "Îlot de verdure"),
+    ("TYPO2", "Parc de quartier"),
+    ("TYPO2", "Jardin Botanique"),
+    ("TYPO2", "Bande riveraine"),
+    ("Type", "Cimetière"),
+    ("Nom", "Jarry"),
+    ("Nom", "Lieu Historique National du Canada du-Canal-de-Lachine"),
+]
+PLOT_TYPES = {
+    "Type": {0: "Cimetière", 1: "Parc", 2: "Parc", 3: "Place"},
+    "TYPO1": {0: "Grand parc", 1: "Parc local", 2: "Parc local", 3: "Square"},
+    "TYPO2": {0: "Parc-nature", 1: "Parc de quartier", 2: "Jardin Botanique", 3: "Halte",
+              4: "Halte", 5: "Bande riveraine"},
+}
+
+
+def case_of(values: dict[int, str], on: str) -> str:
+    """``CASE`` text that picks a value by number; other numbers give null."""
+    return "CASE " + " ".join(f"WHEN {on} = {k} THEN '{v}'" for k, v in values.items()) + " END"
+
+
+def occurrence_points(
+    spark: SparkSession, sf_dir: str, spread: Callable[..., DataFrame] | None = None
+) -> DataFrame:
+    """The occurrence table: pruned columns, point and box."""
+    return occurrence_table(raw_occurrences(spark, sf_dir, spread))

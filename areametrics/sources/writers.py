@@ -53,10 +53,15 @@ def write_features(
 def export_metric(
     df: DataFrame, name: str, folder: str, geom: str | None = None, mode: str = "overwrite"
 ) -> None:
-    """A metric table as ``{name}.parquet`` and, with a geometry, ``{name}.geojson``."""
-    write_table(df, f"{folder}/{name}.parquet", mode)
+    """A metric table as ``{name}.parquet`` and, with a geometry, ``{name}.geojson``.
+
+    The map file is made from the table just written, so the metrics are computed once.
+    """
+    table = f"{folder}/{name}.parquet"
+    write_table(df, table, mode)
     if geom:
-        write_features(df, f"{folder}/{name}.geojson", geom, mode)
+        written = df.sparkSession.read.parquet(table)
+        write_features(written, f"{folder}/{name}.geojson", geom, mode)
 
 
 def show(df: DataFrame, n: int = 20) -> None:
