@@ -122,7 +122,7 @@ def _passes(source: int, target: int) -> list[list[tuple[str, str]]]:
     if same_crs(source, target):
         return []
     into, out = projection(source), projection(target)
-    return [_to_lonlat(into)] * bool(into) + ([_from_lonlat(out)] if out else [])
+    return ([_to_lonlat(into)] if into else []) + ([_from_lonlat(out)] if out else [])
 
 
 def _bind(text: str, names: dict[str, str]) -> str:
