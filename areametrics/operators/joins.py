@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from areametrics.schemas import POLYGON
+
 #: Broadcast only a right side measured to be below this many bytes.
 BROADCAST_BYTES = 64 * 1024 * 1024
 #: A key with this many left rows is split into shares below it.
@@ -25,14 +27,16 @@ MAX_HEAVY_KEYS = 1000
 _SALT = "_salt"
 
 
-def row_bytes(df: DataFrame, skip: tuple[str, ...] = ()) -> Column:
-    """Size of a row's values as text plus a fixed part per column: a generous estimate."""
-    names = [c for c in df.columns if c not in skip]
-    if not names:
-        return F.lit(64)
-    return F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in names]))) + F.lit(
-        64 + 16 * len(names)
-    )
+def row_bytes(df: DataFrame) -> Column:
+    """Generous size of a row: values as JSON text, 32 bytes a vertex, a fixed part per column."""
+    shapes = [f.name for f in df.schema.fields if f.dataType == POLYGON]
+    plain = [f.name for f in df.schema.fields if f.name not in shapes]
+    size = F.lit(32 + 8 * len(df.columns))
+    if plain:
+        size = size + F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in plain])))
+    for c in shapes:
+        size = size + F.expr(f"coalesce(32 * size(flatten(flatten(`{c}`))), 0)")
+    return size
 
 
 def measured_bytes(df: DataFrame) -> int:

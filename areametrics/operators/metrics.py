@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Ranks counted per area, with the result column of each.
 RANKS = {
@@ -134,12 +135,18 @@ def park_taxa(df: DataFrame, key: str = "park_name", id_col: str = "park_id",
     Null taxa keep their group, with count 0; so does a null area.
     """
     keys = [key, "kingdom", "class", "genus", "species"]
-    counts = (
-        df.groupBy(*keys, id_col)
-        .agg(F.count("species").alias("_n"))
-        .groupBy(*keys)
-        .agg(F.sum("_n").alias("species_count"), F.min(_q(id_col)).alias(id_col))
-    )
+    if isinstance(df.schema[id_col].dataType, T.NumericType):
+        counts = df.groupBy(*keys).agg(
+            F.count("species").alias("species_count"), F.min(_q(id_col)).alias(id_col)
+        )
+    else:
+        # A text id inside min would make the wide aggregation sort; group by it first.
+        counts = (
+            df.groupBy(*keys, id_col)
+            .agg(F.count("species").alias("_n"))
+            .groupBy(*keys)
+            .agg(F.sum("_n").alias("species_count"), F.min(_q(id_col)).alias(id_col))
+        )
     if geom_col:
         shapes = any_per_key(keep_keyed(df, key), key, geom_col)
         counts = counts.join(shapes, key, "left")

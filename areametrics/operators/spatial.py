@@ -31,9 +31,13 @@ from areametrics.operators import joins
 from areametrics.operators.projection import set_bbox
 from areametrics.schemas import BBOX, GEOM
 
-#: Cells per polygon, on average, the automatic cell size may spend.
-CELLS_PER_POLYGON = 16
+#: The automatic cell side may make this many chips per polygon, one per this many vertices, or
+#: ``MIN_CELLS`` in all, whichever is most: chips stay in proportion to the layer.
+CELLS_PER_POLYGON = 4
+VERTICES_PER_CELL = 2
 MIN_CELLS = 4096
+#: Chips built by one task.
+CHIPS_PER_TASK = 4096
 
 _KEYS = ["_cx", "_cy"]
 _PARTS_TYPE = (
@@ -44,58 +48,80 @@ _PARTS_TYPE = (
 
 @dataclass(frozen=True)
 class CellPlan:
-    """Cell side, and an upper bound for the bytes of the chips it makes."""
+    """Cell side, number of cells the boxes of the layer cover, and bytes its chips may take."""
 
     cell: float
+    cells: int
     bytes: int
 
 
+def _spans(side: str, reach: tuple[int, int] = (0, 0)) -> str:
+    return (
+        f"(floor(maxx / {side}) - floor(minx / {side}) + {1 + reach[0]}D) * "
+        f"(floor(maxy / {side}) - floor(miny / {side}) + {1 + reach[1]}D)"
+    )
+
+
+def choose_cell(layer: DataFrame, at_least: float = 0.0) -> float:
+    """The finest power-of-two cell side whose chip count fits the budget.
+
+    One aggregate over the layer's boxes; at most 49 rows come back.
+    """
+    rows = (
+        layer.where(F.col("minx").isNotNull())
+        .select(*BBOX, F.expr(f"size(flatten(flatten({GEOM})))").alias("v"))
+        .select(*BBOX, "v", F.expr("explode(transform(sequence(-24, 24), k -> pow(2D, k)))").alias("side"))
+        .groupBy("side")
+        .agg(F.count("*").alias("n"), F.sum("v").alias("v"), F.expr(f"sum({_spans('side')})").alias("cells"))
+        .collect()
+    )
+    rows.sort(key=lambda r: r["side"])
+    for r in rows:
+        budget = max(MIN_CELLS, CELLS_PER_POLYGON * r["n"], r["v"] // VERTICES_PER_CELL)
+        if r["side"] >= at_least and r["cells"] <= budget:
+            return r["side"]
+    return max(at_least, rows[-1]["side"]) if rows else 1.0
+
+
 def plan_cells(
     layer: DataFrame,
     cell: float | None = None,
-    at_least: float = 0.0,
-    reach: tuple[int, int] = (0, 0),
+    window: tuple[int, int] = (0, 0),
+    lead: bool = False,
+    keep_geom: bool = True,
 ) -> CellPlan:
-    """Pick the finest power-of-two cell side whose chip count fits the budget.
+    """Cell side and an upper bound for the bytes of the chips.
 
-    One aggregate over the layer's boxes (49 candidate sides at most). The byte figure assumes
-    every edge is kept in every chip of its polygon, so it can only be too high.
+    The bound counts every cell a box covers, every cell an edge's box covers, and both ends of
+    each edge in all columns of its strip. It is summed edge by edge, without making chips.
     """
-    sides = (
-        F.array(F.lit(float(cell)))
-        if cell
-        else F.expr("transform(sequence(-24, 24), k -> pow(2D, k))")
-    )
-    sized = layer.where(F.col("minx").isNotNull()).select(
-        *BBOX,
-        (joins.row_bytes(layer) + F.expr(f"96 * size(flatten(flatten({GEOM})))")).alias("w"),
-        F.explode(sides).alias("side"),
+    cell = cell or choose_cell(layer)
+    c = f"{float(cell)!r}D"
+    rides = [n for n in layer.columns if keep_geom or n != GEOM]
+    dx, dy = window
+    near = (
+        f"(floor(greatest(e.lx, e.hx) / {c}) - floor(least(e.lx, e.hx) / {c}) + {1 + dx}D) * "
+        f"(floor(e.hy / {c}) - floor(e.ly / {c}) + {1 + dy}D)"
     )
-    spans = F.expr(
-        f"(floor(maxx / side) - floor(minx / side) + {1 + reach[0]}D) * "
-        f"(floor(maxy / side) - floor(miny / side) + {1 + reach[1]}D)"
+    ends = f"{16 * (1 + dy)} * (floor(maxx / {c}) - floor(minx / {c}) + {1 + dx}D)"
+    edges = (
+        f"aggregate({GEOM}, 0D, (n, p) -> n + aggregate({G.edge_list('p')}, 0D, "
+        f"(m, e) -> m + 40 * {near} + {ends}))"
     )
-    rows = (
-        sized.groupBy("side")
-        .agg(
-            F.count("*").alias("n"),
-            F.sum(spans).alias("cells"),
-            F.sum(spans * F.col("w")).alias("bytes"),
-        )
-        .collect()
-    )
-    rows.sort(key=lambda r: r["side"])
-    if not rows:
-        return CellPlan(cell or 1.0, 0)
-    fits = [
-        r for r in rows
-        if cell or (
-            r["side"] >= at_least
-            and r["cells"] <= max(MIN_CELLS, CELLS_PER_POLYGON * r["n"])
-        )
-    ]
-    best = (fits or rows[-1:])[0]
-    return CellPlan(best["side"], int(min(best["bytes"], 2.0**62)))
+    spans = _spans(c, window if lead else (0, 0))
+    total = layer.where(F.col("minx").isNotNull()).select(
+        F.expr(spans).alias("cells"),
+        ((joins.row_bytes(layer.select(*rides)) + 96) * F.expr(spans) + F.expr(edges)).alias("bytes"),
+    ).agg(F.sum("cells"), F.sum("bytes")).first()
+    cells, size = (int(min(v or 0.0, 2.0**62)) for v in total)
+    return CellPlan(float(cell), cells, size)
+
+
+def _spread(layer: DataFrame, plan: CellPlan) -> DataFrame:
+    """Share chip making among tasks: layers often come from one file, read by one task."""
+    most = 4 * layer.sparkSession.sparkContext.defaultParallelism
+    tasks = min(most, plan.cells // CHIPS_PER_TASK)
+    return layer.repartition(tasks) if tasks > 1 else layer
 
 
 def chips(
@@ -234,22 +260,6 @@ def _with_keys(df: DataFrame, x: str, y: str, cell: float) -> DataFrame:
     return df.withColumns({"_cx": _cell_key(x, cell), "_cy": _cell_key(y, cell)})
 
 
-def _chips_bytes(chip: DataFrame) -> int:
-    """Measured size of chips: attributes plus 40 bytes an edge and 16 a step."""
-    attrs = chip.drop("_parts", "_box", "_full", *_KEYS)
-    arrays = F.expr(
-        "coalesce(aggregate(_parts, 0, (n, p) -> n + 64 + 40 * size(p.local) "
-        "+ 16 * size(p.steps)), 0)"
-    )
-    total = chip.agg(F.sum(joins.row_bytes(attrs) + arrays).cast("long").alias("b")).first()
-    return int(total["b"] or 0)
-
-
-def _right_bytes(plan: CellPlan, chip: DataFrame, limit: int) -> int:
-    """Cheap bound first; measure the chips only when the bound does not settle it."""
-    return plan.bytes if plan.bytes <= limit else _chips_bytes(chip)
-
-
 def _extent(df: DataFrame, cell: float) -> tuple[int, int]:
     """Largest number of cell borders a box of ``df`` crosses, per axis."""
     c = f"{float(cell)!r}D"
@@ -303,12 +313,12 @@ def points_in_polygons(
     they are large and the key is enough.
     """
     limit = joins.BROADCAST_BYTES if limit is None else limit
-    plan = plan_cells(layer, cell)
-    right = chips(layer, plan.cell, keep_geom=keep_geom)
+    plan = plan_cells(layer, cell, keep_geom=keep_geom)
+    right = chips(_spread(layer, plan), plan.cell, keep_geom=keep_geom)
     left = _with_keys(points, f"{GEOM}.x", f"{GEOM}.y", plan.cell)
     joined = joins.sized_join(
         left, right, _KEYS, _point_in_chip(f"l.{GEOM}.x", f"l.{GEOM}.y", closed=False), how,
-        right_bytes=_right_bytes(plan, right, limit), limit=limit, heavy_rows=heavy_rows,
+        right_bytes=plan.bytes, limit=limit, heavy_rows=heavy_rows,
     )
     names = [c for c in layer.columns if keep_geom or c != GEOM]
     return joined.select(*_joined_columns(points.columns, names))
@@ -326,12 +336,14 @@ def boxes_in_polygons(
     """Left join of axis-parallel boxes (grid cells, by their box columns) to the polygons that
     wholly contain them; touching the border from inside counts. Rows without a box stay."""
     limit = joins.BROADCAST_BYTES if limit is None else limit
-    plan = plan_cells(layer, cell)
-    right = chips(layer, plan.cell, _extent(boxes, plan.cell), keep_geom=keep_geom)
+    cell = cell or choose_cell(layer)
+    window = _extent(boxes, cell)
+    plan = plan_cells(layer, cell, window, keep_geom=keep_geom)
+    right = chips(_spread(layer, plan), cell, window, keep_geom=keep_geom)
     left = _with_keys(boxes, "minx", "miny", plan.cell)
     joined = joins.sized_join(
         left, right, _KEYS, _box_in_chip(), how,
-        right_bytes=_right_bytes(plan, right, limit), limit=limit, heavy_rows=heavy_rows,
+        right_bytes=plan.bytes, limit=limit, heavy_rows=heavy_rows,
     )
     names = [c for c in layer.columns if keep_geom or c != GEOM]
     return joined.select(*_joined_columns(boxes.columns, names))
@@ -373,12 +385,13 @@ def clip_points(
 ) -> DataFrame:
     """Points inside or on the border of at least one region polygon; each kept once."""
     limit = joins.BROADCAST_BYTES if limit is None else limit
-    plan = plan_cells(region, cell)
-    right = chips(region.select(GEOM, *BBOX), plan.cell, keep_geom=False)
+    region = region.select(GEOM, *BBOX)
+    plan = plan_cells(region, cell, keep_geom=False)
+    right = chips(_spread(region, plan), plan.cell, keep_geom=False)
     left = _with_keys(points, f"{GEOM}.x", f"{GEOM}.y", plan.cell)
     return joins.sized_join(
         left, right, _KEYS, _point_in_chip(f"l.{GEOM}.x", f"l.{GEOM}.y", closed=True),
-        "left_semi", right_bytes=_right_bytes(plan, right, limit), limit=limit, heavy_rows=heavy_rows,
+        "left_semi", right_bytes=plan.bytes, limit=limit, heavy_rows=heavy_rows,
     ).select(*[f"`{c}`" for c in points.columns])
 
 
@@ -391,21 +404,22 @@ def clip_polygons(
 ) -> DataFrame:
     """Polygons that share at least a point with the region, whole (they are not cut)."""
     limit = joins.BROADCAST_BYTES if limit is None else limit
+    region = region.select(GEOM, *BBOX)
     if cell is None:
         # Cells no smaller than the widest left polygon: its box then crosses one border at most.
         widest = layer.agg(F.max(F.greatest(F.expr("maxx - minx"), F.expr("maxy - miny")))).first()
-        cell = plan_cells(region, at_least=widest[0] or 0.0).cell
+        cell = choose_cell(region, at_least=widest[0] or 0.0)
     window = _extent(layer, cell)
-    plan = plan_cells(region, cell, reach=window)
+    plan = plan_cells(region, cell, window, lead=True, keep_geom=False)
     right = chips(
-        region.select(GEOM, *BBOX), cell, window, lead=True, keep_geom=False, flag_boxes=False
+        _spread(region, plan), cell, window, lead=True, keep_geom=False, flag_boxes=False
     )
     left = _with_keys(layer, "minx", "miny", cell).withColumn(
         "_edges", F.expr(f"transform({GEOM}, part -> {G.edge_list('part')})")
     )
     return joins.sized_join(
         left, right, _KEYS, _polygon_meets_chip(), "left_semi",
-        right_bytes=_right_bytes(plan, right, limit), limit=limit, heavy_rows=heavy_rows,
+        right_bytes=plan.bytes, limit=limit, heavy_rows=heavy_rows,
     ).select(*[f"`{c}`" for c in layer.columns])
 
 

@@ -51,6 +51,10 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
+def _occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.raw_occurrences(spark, sf_dir, spread)
+
+
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.occurrence_points(spark, sf_dir, spread)
 
@@ -75,7 +79,7 @@ def _vertex_sums(df: DataFrame) -> list[Column]:
 
 @query
 def park_richness(spark, d):
-    return M.by_richness(M.park_richness(D.raw_occurrences(spark, d)), "park_name")
+    return M.by_richness(M.park_richness(_occurrences(spark, d)), "park_name")
 
 
 @query
@@ -87,19 +91,19 @@ def taxa_richness_by_grid(spark, d):
 
 @query
 def shannon_index(spark, d):
-    return M.shannon_index(D.raw_occurrences(spark, d)).select(
+    return M.shannon_index(_occurrences(spark, d)).select(
         "park_name", _rounded("shannon_index", 6)
     )
 
 
 @query
 def species_proportions(spark, d):
-    return M.species_proportions(D.raw_occurrences(spark, d)).withColumn("p", F.round("p", 9))
+    return M.species_proportions(_occurrences(spark, d)).withColumn("p", F.round("p", 9))
 
 
 @query
 def park_metrics(spark, d):
-    return M.area_metrics(D.raw_occurrences(spark, d), "park_name", "park_id").withColumn(
+    return M.area_metrics(_occurrences(spark, d), "park_name", "park_id").withColumn(
         "shannon_index", _rounded("shannon_index", 6)
     )
 
@@ -112,54 +116,59 @@ def grid_metrics(spark, d):
 
 @query
 def park_taxa(spark, d):
-    return M.by_taxa(M.park_taxa(D.raw_occurrences(spark, d)))
+    return M.park_taxa(_occurrences(spark, d))
+
+
+@query
+def park_taxa_ordered(spark, d):
+    return M.by_taxa(M.park_taxa(_occurrences(spark, d)))
 
 
 @query
 def annual_observations(spark, d):
-    return M.newest_first(M.annual_observations(D.raw_occurrences(spark, d)))
+    return M.newest_first(M.annual_observations(_occurrences(spark, d)))
 
 
 @query
 def most_observed_species(spark, d):
-    return M.most_observed_first(M.most_observed_species(D.raw_occurrences(spark, d)))
+    return M.most_observed_first(M.most_observed_species(_occurrences(spark, d)))
 
 
 @query
 def total_species(spark, d):
-    return M.total_species(D.raw_occurrences(spark, d))
+    return M.total_species(_occurrences(spark, d))
 
 
 @query
 def park_kingdom_counts(spark, d):
-    return M.rank_counts(D.raw_occurrences(spark, d), "kingdom")
+    return M.rank_counts(_occurrences(spark, d), "kingdom")
 
 
 @query
 def park_class_counts(spark, d):
-    return M.rank_counts(D.raw_occurrences(spark, d), "class")
+    return M.rank_counts(_occurrences(spark, d), "class")
 
 
 @query
 def park_kingdom_class_pairs(spark, d):
-    return M.kingdom_class_pairs(D.raw_occurrences(spark, d))
+    return M.kingdom_class_pairs(_occurrences(spark, d))
 
 
 @query
 def park_taxa_summary(spark, d):
-    return M.taxa_summary(D.raw_occurrences(spark, d))
+    return M.taxa_summary(_occurrences(spark, d))
 
 
 # --- tables, columns, filters ---------------------------------------------------------------
 
 @query
 def occurrence_table(spark, d):
-    return D.occurrence_points(spark, d).drop(GEOM)
+    return _points(spark, d).drop(GEOM)
 
 
 @query
 def prune_fields(spark, d):
-    return P.prune(D.raw_occurrences(spark, d), ["gbifID", "species", "order", "year"])
+    return P.prune(_occurrences(spark, d), ["gbifID", "species", "order", "year"])
 
 
 @query
@@ -186,12 +195,12 @@ def drop_any_null(spark, d):
 
 @query
 def limit_rows(spark, d):
-    return P.limit_rows(D.raw_occurrences(spark, d), 1000)
+    return P.limit_rows(_occurrences(spark, d), 1000)
 
 
 @query
 def profile_nulls(spark, d):
-    return P.profile(D.raw_occurrences(spark, d))
+    return P.profile(_occurrences(spark, d))
 
 
 @query
@@ -222,8 +231,9 @@ def layer_sjoin_cells(spark, d):
 
 @query
 def layer_sjoin_nested(spark, d):
-    rows = S.points_in_polygons(_points(spark, d), D.grid(spark), keep_geom=False)
-    joined = S.boxes_in_polygons(rows, D.neighbourhoods(spark, d))
+    grid = D.grid(spark)
+    rows = S.points_in_polygons(_points(spark, d), grid, keep_geom=False)
+    joined = S.cells_in_polygons(rows, D.neighbourhoods(spark, d), grid, "id")
     return joined.select("gbifID", "id", "qr_id", "qr_name", "minx", "maxx")
 
 
@@ -270,7 +280,7 @@ def dissolve_plots(spark, d):
 
 @query
 def reproject_mtm8(spark, d):
-    metres = D.raw_occurrences(spark, d).where(f"{D.LON} IS NOT NULL").selectExpr(
+    metres = _occurrences(spark, d).where(f"{D.LON} IS NOT NULL").selectExpr(
         "gbifID", f"267000 + {D.LON} * 45000 AS lon", f"5029000 + {D.LAT} * 34000 AS lat"
     )
     moved = crs.reproject_xy(metres, "lon", "lat", 32188, 4326)
@@ -292,7 +302,7 @@ def reproject_plots(spark, d):
 @query
 def csv_to_parquet(spark, d):
     text, table = scratch(spark, "csv"), scratch(spark, "parquet")
-    rows = D.raw_occurrences(spark, d).select(*[f"`{c}`" for c in CSV_TYPES])
+    rows = _occurrences(spark, d).select(*[f"`{c}`" for c in CSV_TYPES])
     rows.write.option("sep", "\t").option("header", True).option("quote", "").csv(text)
     writers.csv_to_parquet(spark, text, table)
     return readers.read_occurrences(spark, table)
@@ -301,7 +311,7 @@ def csv_to_parquet(spark, d):
 @query
 def area_rows(spark, d):
     table = scratch(spark, "area")
-    writers.write_table(D.raw_occurrences(spark, d), table)
+    writers.write_table(_occurrences(spark, d), table)
     return readers.read_area_occurrences(spark, table).select("gbifID", "park_id", "park_name")
 
 
@@ -320,49 +330,49 @@ def geojson_roundtrip(spark, d):
 
 @query
 def choropleth_features(spark, d):
-    metrics = M.park_richness(D.raw_occurrences(spark, d))
+    metrics = M.park_richness(_occurrences(spark, d))
     features = L.choropleth(D.parks(spark, d), metrics, "park_name", ["species_richness"])
     return P.set_bbox(features).drop(GEOM)
 
 
 @query
 def park_list(spark, d):
-    return L.pick_list(D.raw_occurrences(spark, d))
+    return L.pick_list(_occurrences(spark, d))
 
 
 @query
 def richness_bars(spark, d):
-    return L.bar_series(M.park_richness(D.raw_occurrences(spark, d)))
+    return L.bar_series(M.park_richness(_occurrences(spark, d)))
 
 
 @query
 def top_species_by_kingdom(spark, d):
-    return M.top_species_by_kingdom(D.raw_occurrences(spark, d))
+    return M.top_species_by_kingdom(_occurrences(spark, d))
 
 
 @query
 def top_species(spark, d):
-    return M.most_observed_first(M.most_observed_species(D.raw_occurrences(spark, d)), 10)
+    return M.most_observed_first(M.most_observed_species(_occurrences(spark, d)), 10)
 
 
 @query
 def top_observers(spark, d):
-    return M.top_observers(D.raw_occurrences(spark, d))
+    return M.top_observers(_occurrences(spark, d))
 
 
 @query
 def seasonal_trend(spark, d):
-    return M.seasonal_trend(D.raw_occurrences(spark, d))
+    return M.seasonal_trend(_occurrences(spark, d))
 
 
 @query
 def dataset_summary(spark, d):
-    return M.dataset_summary(D.raw_occurrences(spark, d))
+    return M.dataset_summary(_occurrences(spark, d))
 
 
 @query
 def observations_by_kingdom(spark, d):
-    return M.observations_by_kingdom(D.raw_occurrences(spark, d))
+    return M.observations_by_kingdom(_occurrences(spark, d))
 
 
 @query
@@ -385,16 +395,16 @@ def plots_within_radius(spark, d):
 
 @query
 def park_kingdom_matrix(spark, d):
-    return M.park_species_matrix(D.raw_occurrences(spark, d), D.KINGDOMS)
+    return M.park_species_matrix(_occurrences(spark, d), D.KINGDOMS)
 
 
 @query
 def park_comparison(spark, d):
-    return M.compare_areas(D.raw_occurrences(spark, d), "park_name", "NATION_1", "NATION_2")
+    return M.compare_areas(_occurrences(spark, d), "park_name", "NATION_1", "NATION_2")
 
 
 @query
 def species_search(spark, d):
-    return M.search(D.raw_occurrences(spark, d), "species", "Bolt").select(
+    return M.search(_occurrences(spark, d), "species", "Bolt").select(
         "gbifID", "species", "park_name"
     )

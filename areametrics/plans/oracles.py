@@ -236,6 +236,9 @@ _PLOT_SUMS = (
 
 def oracles() -> dict[str, str]:
     occ = _with(_OCC)
+    park_taxa = occ + """SELECT park_name, kingdom, class, genus, species,
+count(species) AS species_count, min(park_id) AS park_id FROM occ
+GROUP BY park_name, kingdom, class, genus, species"""
     return {
         "park_richness": occ + f"""SELECT park_name, {_RICHNESS}, min(park_id) AS park_id FROM occ
 WHERE park_name IS NOT NULL GROUP BY park_name""",
@@ -251,9 +254,8 @@ WHERE park_name IS NOT NULL GROUP BY park_name) r LEFT JOIN sh USING (park_name)
         "grid_metrics": _with(_OCC, _GRID, _GRID_JOINED, _shannon("id", "joined"))
         + f"""SELECT r.*, shannon_index FROM (SELECT id, {_RICHNESS} FROM joined
 WHERE id IS NOT NULL GROUP BY id) r LEFT JOIN sh USING (id)""",
-        "park_taxa": occ + """SELECT park_name, kingdom, class, genus, species,
-count(species) AS species_count, min(park_id) AS park_id FROM occ
-GROUP BY park_name, kingdom, class, genus, species""",
+        "park_taxa": park_taxa,
+        "park_taxa_ordered": park_taxa,
         "annual_observations": occ
         + 'SELECT year, count(DISTINCT "gbifID") AS annual_observations FROM occ GROUP BY year',
         "most_observed_species": occ
