@@ -24,6 +24,8 @@ RANKS = {
     "species": "species_richness",
 }
 
+_AREA = "_area"
+
 
 def _q(name: str) -> Column:
     return F.col(f"`{name}`")
@@ -40,6 +42,62 @@ def any_per_key(df: DataFrame, key: str, value: str, name: str | None = None) ->
     return pairs.groupBy(key).agg(F.any_value(_q(value), True).alias(name or value))
 
 
+def _value_counts(df: DataFrame, key: str, values: list[str]) -> tuple[DataFrame, dict[str, Column]]:
+    """Row count per (``_AREA``, value) for several columns at once, and a test per column.
+
+    Grouping sets read the rows once and shuffle once. Each row of the result belongs to one
+    column of ``values``; its test says which. The shuffle key holds the value, so a large area
+    is spread, and taxa are already merged on the map side.
+    """
+    names = [_AREA, *values]
+    rows = df.select(_q(key).alias(_AREA), *[_q(v) for v in values])
+    grouped = rows.groupingSets([[F.col(_AREA), _q(v)] for v in values], *[_q(n) for n in names])
+    counts = grouped.agg(
+        F.count("*").alias("_n"), F.grouping_id(*[_q(n) for n in names]).alias("_set")
+    )
+    # The id of a set has a 0 bit for each column it groups by; the first column is the highest.
+    ones = 2 ** len(values) - 1
+    tests = {
+        v: F.col("_set") == ones - 2 ** (len(values) - 1 - i) for i, v in enumerate(values)
+    }
+    return counts, tests
+
+
+def _area_summary(
+    df: DataFrame, key: str, id_col: str | None, geom_col: str | None, observation: str,
+    index: bool,
+) -> DataFrame:
+    rows = keep_keyed(df, key)
+    other_id = id_col if id_col not in (None, key) else None
+    in_sets = other_id and isinstance(df.schema[other_id].dataType, T.NumericType)
+    values = [observation, *RANKS, *([other_id] if in_sets else [])]
+    counts, tests = _value_counts(rows, key, values)
+
+    def distinct(column: str) -> Column:
+        return F.count(F.when(tests[column], _q(column)))
+
+    wanted = [distinct(observation).alias("observation")]
+    wanted += [distinct(r).alias(n) for r, n in RANKS.items()]
+    if in_sets:
+        wanted.append(F.min(F.when(tests[other_id], _q(other_id))).alias(other_id))
+    if index:
+        n = F.when(tests["species"], F.col("_n").cast("double"))
+        wanted += [
+            F.count(n).alias("_kinds"), F.sum(n).alias("_rows"), F.sum(n * F.log(n)).alias("_nlogn")
+        ]
+    out = counts.groupBy(_AREA).agg(*wanted).withColumnRenamed(_AREA, key)
+    if index:
+        out = out.withColumn("shannon_index", _entropy("_kinds", "_rows", "_nlogn")).drop(
+            "_kinds", "_rows", "_nlogn"
+        )
+    if other_id and not in_sets:
+        ids = rows.select(key, other_id).distinct().groupBy(key).agg(F.min(_q(other_id)).alias(other_id))
+        out = out.join(ids, key)
+    if geom_col:
+        out = out.join(any_per_key(rows, key, geom_col), key)
+    return out
+
+
 def taxa_richness(
     df: DataFrame,
     group_by: str,
@@ -49,28 +107,9 @@ def taxa_richness(
 ) -> DataFrame:
     """Distinct occurrences and distinct taxa at four ranks, per non-null ``group_by``.
 
-    ``id_col`` gives the smallest id of the group, ``geom_col`` one of its geometries. Two
-    passes over few columns: distinct (key, occurrence) pairs, and distinct (key, taxa) tuples,
-    which the map side already shrinks to the number of taxa. One pass with several distinct
-    counts would repeat every row once per count.
+    ``id_col`` gives the smallest id of the group, ``geom_col`` one of its geometries.
     """
-    rows = keep_keyed(df, group_by)
-    seen = (
-        rows.select(group_by, observation)
-        .distinct()
-        .groupBy(group_by)
-        .agg(F.count(_q(observation)).alias("observation"))
-    )
-    extra = [id_col] if id_col and id_col != group_by else []
-    tuples = rows.select(group_by, *extra, *RANKS).distinct()
-    taxa = tuples.groupBy(group_by).agg(
-        *[F.count_distinct(_q(r)).alias(n) for r, n in RANKS.items()],
-        *[F.min(_q(c)).alias(c) for c in extra],
-    )
-    out = seen.join(taxa, group_by)
-    if geom_col:
-        out = out.join(any_per_key(rows, group_by, geom_col), group_by)
-    return out
+    return _area_summary(df, group_by, id_col, geom_col, observation, index=False)
 
 
 def by_richness(df: DataFrame, key: str) -> DataFrame:
@@ -100,6 +139,13 @@ def species_proportions(df: DataFrame, key: str = "park_name") -> DataFrame:
     return counts.join(totals(counts, key), key).withColumn("p", p)
 
 
+def _entropy(kinds: str, rows: str, nlogn: str) -> Column:
+    """H from N = ``rows`` and sum(n ln n); exactly 0 for one species."""
+    return F.when(F.col(kinds) == 1, F.lit(0.0)).otherwise(
+        F.log(rows) - F.col(nlogn) / F.col(rows)
+    )
+
+
 def shannon_index(df: DataFrame, key: str = "park_name") -> DataFrame:
     """H = -sum(p ln p) per area, null species counted as one species.
 
@@ -108,12 +154,9 @@ def shannon_index(df: DataFrame, key: str = "park_name") -> DataFrame:
     """
     n = F.col("species_count").cast("double")
     sums = species_counts(df, key).groupBy(key).agg(
-        F.count("*").alias("_kinds"), F.sum(n).alias("_n"), F.sum(n * F.log(n)).alias("_nlogn")
+        F.count("*").alias("_kinds"), F.sum(n).alias("_rows"), F.sum(n * F.log(n)).alias("_nlogn")
     )
-    h = F.when(F.col("_kinds") == 1, F.lit(0.0)).otherwise(
-        F.log("_n") - F.col("_nlogn") / F.col("_n")
-    )
-    return sums.select(key, h.alias("shannon_index"))
+    return sums.select(key, _entropy("_kinds", "_rows", "_nlogn").alias("shannon_index"))
 
 
 def with_shannon(richness: DataFrame, shannon: DataFrame, key: str = "park_name") -> DataFrame:
@@ -122,10 +165,11 @@ def with_shannon(richness: DataFrame, shannon: DataFrame, key: str = "park_name"
 
 
 def area_metrics(
-    df: DataFrame, key: str, id_col: str | None = None, geom_col: str | None = None
+    df: DataFrame, key: str, id_col: str | None = None, geom_col: str | None = None,
+    observation: str = "gbifID",
 ) -> DataFrame:
-    """Richness and Shannon index per area."""
-    return with_shannon(taxa_richness(df, key, id_col, geom_col), shannon_index(df, key), key)
+    """Richness and Shannon index per area, from one pass over the rows."""
+    return _area_summary(df, key, id_col, geom_col, observation, index=True)
 
 
 def park_taxa(df: DataFrame, key: str = "park_name", id_col: str = "park_id",

@@ -52,6 +52,10 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def _occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.raw_occurrences(spark, sf_dir)
+
+
+def _spread_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.raw_occurrences(spark, sf_dir, spread)
 
 
@@ -79,7 +83,7 @@ def _vertex_sums(df: DataFrame) -> list[Column]:
 
 @query
 def park_richness(spark, d):
-    return M.by_richness(M.park_richness(_occurrences(spark, d)), "park_name")
+    return M.by_richness(M.park_richness(_spread_occurrences(spark, d)), "park_name")
 
 
 @query
@@ -103,7 +107,7 @@ def species_proportions(spark, d):
 
 @query
 def park_metrics(spark, d):
-    return M.area_metrics(_occurrences(spark, d), "park_name", "park_id").withColumn(
+    return M.area_metrics(_spread_occurrences(spark, d), "park_name", "park_id").withColumn(
         "shannon_index", _rounded("shannon_index", 6)
     )
 
@@ -116,12 +120,12 @@ def grid_metrics(spark, d):
 
 @query
 def park_taxa(spark, d):
-    return M.park_taxa(_occurrences(spark, d))
+    return M.park_taxa(_spread_occurrences(spark, d))
 
 
 @query
 def park_taxa_ordered(spark, d):
-    return M.by_taxa(M.park_taxa(_occurrences(spark, d)))
+    return M.by_taxa(M.park_taxa(_spread_occurrences(spark, d)))
 
 
 @query
@@ -156,7 +160,7 @@ def park_kingdom_class_pairs(spark, d):
 
 @query
 def park_taxa_summary(spark, d):
-    return M.taxa_summary(_occurrences(spark, d))
+    return M.taxa_summary(_spread_occurrences(spark, d))
 
 
 # --- tables, columns, filters ---------------------------------------------------------------
@@ -200,7 +204,7 @@ def limit_rows(spark, d):
 
 @query
 def profile_nulls(spark, d):
-    return P.profile(_occurrences(spark, d))
+    return P.profile(_spread_occurrences(spark, d))
 
 
 @query
@@ -280,7 +284,7 @@ def dissolve_plots(spark, d):
 
 @query
 def reproject_mtm8(spark, d):
-    metres = _occurrences(spark, d).where(f"{D.LON} IS NOT NULL").selectExpr(
+    metres = _spread_occurrences(spark, d).where(f"{D.LON} IS NOT NULL").selectExpr(
         "gbifID", f"267000 + {D.LON} * 45000 AS lon", f"5029000 + {D.LAT} * 34000 AS lat"
     )
     moved = crs.reproject_xy(metres, "lon", "lat", 32188, 4326)
@@ -302,7 +306,7 @@ def reproject_plots(spark, d):
 @query
 def csv_to_parquet(spark, d):
     text, table = scratch(spark, "csv"), scratch(spark, "parquet")
-    rows = _occurrences(spark, d).select(*[f"`{c}`" for c in CSV_TYPES])
+    rows = _spread_occurrences(spark, d).select(*[f"`{c}`" for c in CSV_TYPES])
     rows.write.option("sep", "\t").option("header", True).option("quote", "").csv(text)
     writers.csv_to_parquet(spark, text, table)
     return readers.read_occurrences(spark, table)
@@ -311,7 +315,7 @@ def csv_to_parquet(spark, d):
 @query
 def area_rows(spark, d):
     table = scratch(spark, "area")
-    writers.write_table(_occurrences(spark, d), table)
+    writers.write_table(_spread_occurrences(spark, d), table)
     return readers.read_area_occurrences(spark, table).select("gbifID", "park_id", "park_name")
 
 
@@ -330,7 +334,7 @@ def geojson_roundtrip(spark, d):
 
 @query
 def choropleth_features(spark, d):
-    metrics = M.park_richness(_occurrences(spark, d))
+    metrics = M.park_richness(_spread_occurrences(spark, d))
     features = L.choropleth(D.parks(spark, d), metrics, "park_name", ["species_richness"])
     return P.set_bbox(features).drop(GEOM)
 
@@ -342,7 +346,7 @@ def park_list(spark, d):
 
 @query
 def richness_bars(spark, d):
-    return L.bar_series(M.park_richness(_occurrences(spark, d)))
+    return L.bar_series(M.park_richness(_spread_occurrences(spark, d)))
 
 
 @query
