@@ -62,40 +62,52 @@ def _spans(side: str, reach: tuple[int, int] = (0, 0)) -> str:
     )
 
 
-def choose_cell(layer: DataFrame, at_least: float = 0.0) -> float:
+def choose_cell(layer: DataFrame, at_least: float = 0.0) -> CellPlan:
     """The finest power-of-two cell side whose chip count fits the budget.
 
-    One aggregate over the layer's boxes; at most 49 rows come back.
+    One aggregate over the layer's boxes; at most 49 rows come back. The byte figure takes
+    every edge to be near every cell of its polygon, so it can only be too high.
     """
     rows = (
         layer.where(F.col("minx").isNotNull())
-        .select(*BBOX, F.expr(f"size(flatten(flatten({GEOM})))").alias("v"))
-        .select(*BBOX, "v", F.expr("explode(transform(sequence(-24, 24), k -> pow(2D, k)))").alias("side"))
+        .select(
+            *BBOX, joins.row_bytes(layer).alias("w"),
+            F.expr(f"size(flatten(flatten({GEOM})))").alias("v"),
+        )
+        .select("*", F.expr("explode(transform(sequence(-24, 24), k -> pow(2D, k)))").alias("side"))
         .groupBy("side")
-        .agg(F.count("*").alias("n"), F.sum("v").alias("v"), F.expr(f"sum({_spans('side')})").alias("cells"))
+        .agg(
+            F.count("*").alias("n"),
+            F.sum("v").alias("v"),
+            F.expr(f"sum({_spans('side')})").alias("cells"),
+            F.expr(f"sum({_spans('side')} * (w + 96 + 72 * v))").alias("bytes"),
+        )
         .collect()
     )
+    if not rows:
+        return CellPlan(1.0, 0, 0)
     rows.sort(key=lambda r: r["side"])
-    for r in rows:
-        budget = max(MIN_CELLS, CELLS_PER_POLYGON * r["n"], r["v"] // VERTICES_PER_CELL)
-        if r["side"] >= at_least and r["cells"] <= budget:
-            return r["side"]
-    return max(at_least, rows[-1]["side"]) if rows else 1.0
+    allowed = [r for r in rows if r["side"] >= at_least] or rows[-1:]
+    fits = [
+        r for r in allowed
+        if r["cells"] <= max(MIN_CELLS, CELLS_PER_POLYGON * r["n"], r["v"] // VERTICES_PER_CELL)
+    ]
+    best = (fits or allowed[-1:])[0]
+    return CellPlan(best["side"], *(int(min(best[c], 2.0**62)) for c in ("cells", "bytes")))
 
 
 def plan_cells(
     layer: DataFrame,
-    cell: float | None = None,
+    cell: float,
     window: tuple[int, int] = (0, 0),
     lead: bool = False,
     keep_geom: bool = True,
 ) -> CellPlan:
-    """Cell side and an upper bound for the bytes of the chips.
+    """Upper bound for the bytes of the chips of a given cell side.
 
     The bound counts every cell a box covers, every cell an edge's box covers, and both ends of
     each edge in all columns of its strip. It is summed edge by edge, without making chips.
     """
-    cell = cell or choose_cell(layer)
     c = f"{float(cell)!r}D"
     rides = [n for n in layer.columns if keep_geom or n != GEOM]
     dx, dy = window
@@ -117,6 +129,16 @@ def plan_cells(
     return CellPlan(float(cell), cells, size)
 
 
+def _point_plan(layer: DataFrame, cell: float | None, keep_geom: bool, limit: int) -> CellPlan:
+    """Plan for point joins: the rough bound first, the closer one if that does not settle it."""
+    if cell is None:
+        rough = choose_cell(layer)
+        if rough.bytes <= limit:
+            return rough
+        cell = rough.cell
+    return plan_cells(layer, cell, keep_geom=keep_geom)
+
+
 def _spread(layer: DataFrame, plan: CellPlan) -> DataFrame:
     """Share chip making among tasks: layers often come from one file, read by one task."""
     most = 4 * layer.sparkSession.sparkContext.defaultParallelism
@@ -313,7 +335,7 @@ def points_in_polygons(
     they are large and the key is enough.
     """
     limit = joins.BROADCAST_BYTES if limit is None else limit
-    plan = plan_cells(layer, cell, keep_geom=keep_geom)
+    plan = _point_plan(layer, cell, keep_geom, limit)
     right = chips(_spread(layer, plan), plan.cell, keep_geom=keep_geom)
     left = _with_keys(points, f"{GEOM}.x", f"{GEOM}.y", plan.cell)
     joined = joins.sized_join(
@@ -336,7 +358,7 @@ def boxes_in_polygons(
     """Left join of axis-parallel boxes (grid cells, by their box columns) to the polygons that
     wholly contain them; touching the border from inside counts. Rows without a box stay."""
     limit = joins.BROADCAST_BYTES if limit is None else limit
-    cell = cell or choose_cell(layer)
+    cell = cell or choose_cell(layer).cell
     window = _extent(boxes, cell)
     plan = plan_cells(layer, cell, window, keep_geom=keep_geom)
     right = chips(_spread(layer, plan), cell, window, keep_geom=keep_geom)
@@ -386,7 +408,7 @@ def clip_points(
     """Points inside or on the border of at least one region polygon; each kept once."""
     limit = joins.BROADCAST_BYTES if limit is None else limit
     region = region.select(GEOM, *BBOX)
-    plan = plan_cells(region, cell, keep_geom=False)
+    plan = _point_plan(region, cell, False, limit)
     right = chips(_spread(region, plan), plan.cell, keep_geom=False)
     left = _with_keys(points, f"{GEOM}.x", f"{GEOM}.y", plan.cell)
     return joins.sized_join(
@@ -408,7 +430,7 @@ def clip_polygons(
     if cell is None:
         # Cells no smaller than the widest left polygon: its box then crosses one border at most.
         widest = layer.agg(F.max(F.greatest(F.expr("maxx - minx"), F.expr("maxy - miny")))).first()
-        cell = choose_cell(region, at_least=widest[0] or 0.0)
+        cell = choose_cell(region, at_least=widest[0] or 0.0).cell
     window = _extent(layer, cell)
     plan = plan_cells(region, cell, window, lead=True, keep_geom=False)
     right = chips(
