@@ -39,7 +39,9 @@ MIN_CELLS = 4096
 #: Chips built by one task.
 CHIPS_PER_TASK = 4096
 
-_KEYS = ["_cx", "_cy"]
+_KEYS = ["_cell"]
+#: A chip with at most this many nearby edges and flips holds them as plain columns.
+_EDGES, _STEPS = 4, 2
 _PARTS_TYPE = (
     "array<struct<local:array<struct<lx:double,ly:double,hx:double,hy:double>>,"
     "base:int,steps:array<double>>>"
@@ -48,11 +50,13 @@ _PARTS_TYPE = (
 
 @dataclass(frozen=True)
 class CellPlan:
-    """Cell side, number of cells the boxes of the layer cover, and bytes its chips may take."""
+    """Cell side, number of cells the boxes of the layer cover, bytes its chips may take, and
+    whether every polygon is an axis-parallel rectangle."""
 
     cell: float
     cells: int
     bytes: int
+    only_boxes: bool = False
 
 
 def _spans(side: str, reach: tuple[int, int] = (0, 0)) -> str:
@@ -73,14 +77,16 @@ def choose_cell(layer: DataFrame, at_least: float = 0.0) -> CellPlan:
         .select(
             *BBOX, joins.row_bytes(layer).alias("w"),
             F.expr(f"size(flatten(flatten({GEOM})))").alias("v"),
+            F.expr(G.is_box(GEOM)).alias("box"),
         )
         .select("*", F.expr("explode(transform(sequence(-24, 24), k -> pow(2D, k)))").alias("side"))
         .groupBy("side")
         .agg(
             F.count("*").alias("n"),
             F.sum("v").alias("v"),
+            F.bool_and("box").alias("box"),
             F.expr(f"sum({_spans('side')})").alias("cells"),
-            F.expr(f"sum({_spans('side')} * (w + 96 + 72 * v))").alias("bytes"),
+            F.expr(f"sum({_spans('side')} * (w + 256 + 72 * v))").alias("bytes"),
         )
         .collect()
     )
@@ -93,7 +99,8 @@ def choose_cell(layer: DataFrame, at_least: float = 0.0) -> CellPlan:
         if r["cells"] <= max(MIN_CELLS, CELLS_PER_POLYGON * r["n"], r["v"] // VERTICES_PER_CELL)
     ]
     best = (fits or allowed[-1:])[0]
-    return CellPlan(best["side"], *(int(min(best[c], 2.0**62)) for c in ("cells", "bytes")))
+    cells, size = (int(min(best[c], 2.0**62)) for c in ("cells", "bytes"))
+    return CellPlan(best["side"], cells, size, best["box"])
 
 
 def plan_cells(
@@ -123,10 +130,11 @@ def plan_cells(
     spans = _spans(c, window if lead else (0, 0))
     total = layer.where(F.col("minx").isNotNull()).select(
         F.expr(spans).alias("cells"),
-        ((joins.row_bytes(layer.select(*rides)) + 96) * F.expr(spans) + F.expr(edges)).alias("bytes"),
-    ).agg(F.sum("cells"), F.sum("bytes")).first()
-    cells, size = (int(min(v or 0.0, 2.0**62)) for v in total)
-    return CellPlan(float(cell), cells, size)
+        ((joins.row_bytes(layer.select(*rides)) + 256) * F.expr(spans) + F.expr(edges)).alias("bytes"),
+        F.expr(G.is_box(GEOM)).alias("box"),
+    ).agg(F.sum("cells"), F.sum("bytes"), F.bool_and("box")).first()
+    cells, size = (int(min(v or 0.0, 2.0**62)) for v in total[:2])
+    return CellPlan(float(cell), cells, size, bool(total[2]))
 
 
 def _point_plan(layer: DataFrame, cell: float | None, keep_geom: bool, limit: int) -> CellPlan:
@@ -153,13 +161,15 @@ def chips(
     lead: bool = False,
     keep_geom: bool = True,
     flag_boxes: bool = True,
+    flat: bool = False,
 ) -> DataFrame:
     """Layer -> chips keyed by ``_cx, _cy``; every other layer column rides along.
 
     ``window`` widens the area a chip describes by whole cells to the right and up, for left
     sides that have an extent. ``lead`` also makes chips left of and below the polygon, for
     predicates a left box may satisfy from outside the polygon's own cells. ``flag_boxes=False``
-    gives rectangles edges like any other polygon.
+    gives rectangles edges like any other polygon. ``flat`` moves the edges of chips with few
+    of them out of ``_parts`` into columns, where generated code tests them.
     """
     dx, dy = window
     lx, ly = window if lead else (0, 0)
@@ -222,26 +232,66 @@ def chips(
         "p -> size(p.local) > 0 OR p.base = 1))), "
         "c -> _box OR size(c.near) > 0) AS _cells",
     )
-    return judged.selectExpr(
+    made = judged.selectExpr(
         *attrs, "_box", "_cy",
         "inline(transform(_cells, c -> named_struct('_cx', c.x, "
         "'_full', exists(c.near, p -> size(p.local) = 0), "
         f"'_parts', CAST(CASE WHEN exists(c.near, p -> size(p.local) = 0) THEN array() "
         f"ELSE c.near END AS {_PARTS_TYPE}))))",
+    ).withColumn("_cell", _cell_id("_cx", "_cy"))
+    if not flat:
+        return made
+    one = "get(_parts, 0)"
+    few = (
+        f"(size(_parts) = 1 AND size({one}.local) <= {_EDGES} AND size({one}.steps) <= {_STEPS})"
+    )
+    return made.selectExpr(
+        *attrs, "_box", "_full", "_cx", "_cy", "_cell",
+        f"CASE WHEN {few} THEN {one}.base END AS _base",
+        *[f"CASE WHEN {few} THEN get({one}.local, {i}) END AS _e{i}" for i in range(_EDGES)],
+        *[f"CASE WHEN {few} THEN get({one}.steps, {i}) END AS _s{i}" for i in range(_STEPS)],
+        f"CASE WHEN {few} THEN CAST(array() AS {_PARTS_TYPE}) ELSE _parts END AS _parts",
     )
 
 
 # --- predicates against a chip, left columns under l, chip columns under r ---------------
 
-def _point_in_chip(x: str, y: str, closed: bool) -> Column:
+_SAME_CELL = "((l._cx ^ r._cx) = 0 AND (l._cy ^ r._cy) = 0)"
+
+
+def _flat_crossings(x: str, y: str) -> str:
+    """Crossings as :func:`geometry.parity` counts them, from edge columns; 1000 on an edge."""
+    terms = ["r._base"]
+    terms += [f"CASE WHEN r._s{i} <= {y} THEN 1 ELSE 0 END" for i in range(_STEPS)]
+    for i in range(_EDGES):
+        e = f"r._e{i}"
+        turn, reach = f"({x} - {e}.lx) * ({e}.hy - {e}.ly)", f"({e}.hx - {e}.lx) * ({y} - {e}.ly)"
+        terms.append(
+            f"CASE WHEN {y} < {e}.ly OR {y} > {e}.hy THEN 0 WHEN {turn} = {reach} "
+            f"AND {x} BETWEEN least({e}.lx, {e}.hx) AND greatest({e}.lx, {e}.hx) THEN 1000 "
+            f"WHEN {y} < {e}.hy AND {turn} < {reach} THEN 1 ELSE 0 END"
+        )
+    return "(" + " + ".join(terms) + ")"
+
+
+def _point_in_chip(x: str, y: str, closed: bool, only_boxes: bool) -> Column:
+    """Test of a point against a flat chip of its own cell.
+
+    The array test is left out for layers of rectangles: with it, Spark runs the join operator
+    without generated code.
+    """
+    lo, hi = ("<=", ">=") if closed else ("<", ">")
+    in_box = f"{x} {hi} r.minx AND {x} {lo} r.maxx AND {y} {hi} r.miny AND {y} {lo} r.maxy"
+    if only_boxes:
+        return F.expr(f"{_SAME_CELL} AND {in_box}")
+    flat = _flat_crossings(x, y)
     start = f"p.base + size(filter(p.steps, t -> t <= {y}))"
     fold = G.parity("p.local", x, y, start)
     hit = f"({fold}) % 2 <> 0" if closed else f"({fold}) % 2 = 1"
-    lo, hi = ("<=", ">=") if closed else ("<", ">")
+    flat_hit = f"({flat} >= 1000 OR {flat} % 2 = 1)" if closed else f"({flat} < 1000 AND {flat} % 2 = 1)"
     return F.expr(
-        f"r._full OR (r._box AND {x} {hi} r.minx AND {x} {lo} r.maxx "
-        f"AND {y} {hi} r.miny AND {y} {lo} r.maxy) "
-        f"OR (NOT r._box AND exists(r._parts, p -> {hit}))"
+        f"{_SAME_CELL} AND CASE WHEN r._full THEN true WHEN r._box THEN {in_box} "
+        f"WHEN r._base IS NOT NULL THEN {flat_hit} ELSE exists(r._parts, p -> {hit}) END"
     )
 
 
@@ -254,7 +304,8 @@ def _box_in_chip() -> Column:
         f"AND ({G.parity('p.local', x, y, start)}) % 2 = 1"
     )
     return F.expr(
-        "l.minx >= r.minx AND l.maxx <= r.maxx AND l.miny >= r.miny AND l.maxy <= r.maxy "
+        f"{_SAME_CELL} "
+        "AND l.minx >= r.minx AND l.maxx <= r.maxx AND l.miny >= r.miny AND l.maxy <= r.maxy "
         f"AND (r._full OR r._box OR exists(r._parts, p -> {inside}))"
     )
 
@@ -264,7 +315,8 @@ def _polygon_meets_chip() -> Column:
     first = ("get(a, 0).lx", "get(a, 0).ly")
     start = f"p.base + size(filter(p.steps, t -> t <= {first[1]}))"
     return F.expr(
-        "l.maxx >= r.minx AND l.minx <= r.maxx AND l.maxy >= r.miny AND l.miny <= r.maxy "
+        f"{_SAME_CELL} "
+        "AND l.maxx >= r.minx AND l.minx <= r.maxx AND l.maxy >= r.miny AND l.miny <= r.maxy "
         "AND (r._full OR exists(r._parts, p -> exists(l._edges, a -> size(a) > 0 AND ("
         f"exists(a, f -> exists(p.local, e -> {G.edges_touch('f', 'e')})) "
         f"OR ({G.parity('p.local', *first, start)}) % 2 <> 0 "
@@ -278,8 +330,15 @@ def _cell_key(v: str, cell: float) -> Column:
     return F.expr(f"CASE WHEN NOT isnan({v}) THEN floor({v} / {float(cell)!r}D) END")
 
 
+def _cell_id(cx: str, cy: str) -> Column:
+    """Both cell numbers in one long, which hash joins look up fastest. Cells more than 2^31
+    sides from the origin may share an id, so join conditions also compare the numbers."""
+    return F.expr(f"shiftleft({cx}, 32) ^ ({cy} & 4294967295L)")
+
+
 def _with_keys(df: DataFrame, x: str, y: str, cell: float) -> DataFrame:
-    return df.withColumns({"_cx": _cell_key(x, cell), "_cy": _cell_key(y, cell)})
+    numbered = df.withColumns({"_cx": _cell_key(x, cell), "_cy": _cell_key(y, cell)})
+    return numbered.withColumn("_cell", _cell_id("_cx", "_cy"))
 
 
 def _extent(df: DataFrame, cell: float) -> tuple[int, int]:
@@ -336,10 +395,10 @@ def points_in_polygons(
     """
     limit = joins.BROADCAST_BYTES if limit is None else limit
     plan = _point_plan(layer, cell, keep_geom, limit)
-    right = chips(_spread(layer, plan), plan.cell, keep_geom=keep_geom)
+    right = chips(_spread(layer, plan), plan.cell, keep_geom=keep_geom, flat=True)
     left = _with_keys(points, f"{GEOM}.x", f"{GEOM}.y", plan.cell)
     joined = joins.sized_join(
-        left, right, _KEYS, _point_in_chip(f"l.{GEOM}.x", f"l.{GEOM}.y", closed=False), how,
+        left, right, _KEYS, _point_in_chip(f"l.{GEOM}.x", f"l.{GEOM}.y", False, plan.only_boxes), how,
         right_bytes=plan.bytes, limit=limit, heavy_rows=heavy_rows,
     )
     names = [c for c in layer.columns if keep_geom or c != GEOM]
@@ -387,12 +446,12 @@ def cells_in_polygons(
     rows then join by ``cell_key``: geometry work grows with the grid, not with the rows.
     """
     pairs = boxes_in_polygons(
-        cells.select(F.col(cell_key).alias("_cell"), *BBOX), layer, cell, keep_geom,
+        cells.select(F.col(cell_key).alias("_row"), *BBOX), layer, cell, keep_geom,
         limit, heavy_rows, how="inner",
     )
     names = [c for c in layer.columns if keep_geom or c != GEOM]
     joined = joins.sized_join(
-        rows.withColumn("_cell", F.col(cell_key)), pairs, ["_cell"], None, "left",
+        rows.withColumn("_row", F.col(cell_key)), pairs, ["_row"], None, "left",
         limit=limit, heavy_rows=heavy_rows,
     )
     return joined.select(*_joined_columns(rows.columns, names))
@@ -409,10 +468,10 @@ def clip_points(
     limit = joins.BROADCAST_BYTES if limit is None else limit
     region = region.select(GEOM, *BBOX)
     plan = _point_plan(region, cell, False, limit)
-    right = chips(_spread(region, plan), plan.cell, keep_geom=False)
+    right = chips(_spread(region, plan), plan.cell, keep_geom=False, flat=True)
     left = _with_keys(points, f"{GEOM}.x", f"{GEOM}.y", plan.cell)
     return joins.sized_join(
-        left, right, _KEYS, _point_in_chip(f"l.{GEOM}.x", f"l.{GEOM}.y", closed=True),
+        left, right, _KEYS, _point_in_chip(f"l.{GEOM}.x", f"l.{GEOM}.y", True, plan.only_boxes),
         "left_semi", right_bytes=plan.bytes, limit=limit, heavy_rows=heavy_rows,
     ).select(*[f"`{c}`" for c in points.columns])
 
