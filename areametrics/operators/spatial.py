@@ -41,7 +41,7 @@ CHIPS_PER_TASK = 4096
 
 _KEYS = ["_cell"]
 #: A chip with at most this many nearby edges and flips holds them as plain columns.
-_EDGES, _STEPS = 4, 2
+_EDGES, _STEPS = 6, 2
 _PARTS_TYPE = (
     "array<struct<local:array<struct<lx:double,ly:double,hx:double,hy:double>>,"
     "base:int,steps:array<double>>>"
@@ -245,11 +245,20 @@ def chips(
     few = (
         f"(size(_parts) = 1 AND size({one}.local) <= {_EDGES} AND size({one}.steps) <= {_STEPS})"
     )
+
+    def held(value: str, absent: str) -> str:
+        return f"coalesce(CASE WHEN {few} THEN {value} END, {absent})"
+
+    # Absent edges and flips are NaN, which sorts above every number and so never counts.
+    nan = "double('NaN')"
     return made.selectExpr(
         *attrs, "_box", "_full", "_cx", "_cy", "_cell",
-        f"CASE WHEN {few} THEN {one}.base END AS _base",
-        *[f"CASE WHEN {few} THEN get({one}.local, {i}) END AS _e{i}" for i in range(_EDGES)],
-        *[f"CASE WHEN {few} THEN get({one}.steps, {i}) END AS _s{i}" for i in range(_STEPS)],
+        f"{held(f'{one}.base', '-1')} AS _base",
+        *[
+            f"{held(f'get({one}.local, {i}).{end}', nan)} AS _{end}{i}"
+            for i in range(_EDGES) for end in ("lx", "ly", "hx", "hy")
+        ],
+        *[f"{held(f'get({one}.steps, {i})', nan)} AS _s{i}" for i in range(_STEPS)],
         f"CASE WHEN {few} THEN CAST(array() AS {_PARTS_TYPE}) ELSE _parts END AS _parts",
     )
 
@@ -260,38 +269,58 @@ _SAME_CELL = "((l._cx ^ r._cx) = 0 AND (l._cy ^ r._cy) = 0)"
 
 
 def _flat_crossings(x: str, y: str) -> str:
-    """Crossings as :func:`geometry.parity` counts them, from edge columns; 1000 on an edge."""
-    terms = ["r._base"]
-    terms += [f"CASE WHEN r._s{i} <= {y} THEN 1 ELSE 0 END" for i in range(_STEPS)]
+    """Crossings as :func:`geometry.parity` counts them, from edge columns; 10 more per edge the
+    point lies on. Without such edges the sum stays below 10."""
+    terms = ["r._base"] + [f"IF(r._s{i} <= {y}, 1, 0)" for i in range(_STEPS)]
     for i in range(_EDGES):
-        e = f"r._e{i}"
-        turn, reach = f"({x} - {e}.lx) * ({e}.hy - {e}.ly)", f"({e}.hx - {e}.lx) * ({y} - {e}.ly)"
+        lx, ly, hx, hy = (f"r._{end}{i}" for end in ("lx", "ly", "hx", "hy"))
+        side = f"(({x} - {lx}) * ({hy} - {ly}) - ({hx} - {lx}) * ({y} - {ly}))"
         terms.append(
-            f"CASE WHEN {y} < {e}.ly OR {y} > {e}.hy THEN 0 WHEN {turn} = {reach} "
-            f"AND {x} BETWEEN least({e}.lx, {e}.hx) AND greatest({e}.lx, {e}.hx) THEN 1000 "
-            f"WHEN {y} < {e}.hy AND {turn} < {reach} THEN 1 ELSE 0 END"
+            f"IF({y} < {ly} OR {y} > {hy}, 0, CASE WHEN {side} < 0 THEN IF({y} < {hy}, 1, 0) "
+            f"WHEN {side} = 0 AND {x} >= least({lx}, {hx}) AND {x} <= greatest({lx}, {hx}) THEN 10 "
+            "ELSE 0 END)"
         )
-    return "(" + " + ".join(terms) + ")"
+    return " + ".join(terms)
+
 
+def _all_flat(flat_chips: DataFrame) -> bool:
+    """No chip keeps edges in arrays. Stops at the first that does."""
+    return flat_chips.where("size(_parts) > 0").isEmpty()
 
-def _point_in_chip(x: str, y: str, closed: bool, only_boxes: bool) -> Column:
+
+def _point_in_chip(closed: bool, only_boxes: bool, all_flat: bool) -> Column:
     """Test of a point against a flat chip of its own cell.
 
-    The array test is left out for layers of rectangles: with it, Spark runs the join operator
-    without generated code.
+    The array test is left out where no chip needs it: with it, Spark runs the join operator
+    without generated code, at several times the cost per point.
     """
+    x, y = "l._px", "l._py"
     lo, hi = ("<=", ">=") if closed else ("<", ">")
     in_box = f"{x} {hi} r.minx AND {x} {lo} r.maxx AND {y} {hi} r.miny AND {y} {lo} r.maxy"
     if only_boxes:
         return F.expr(f"{_SAME_CELL} AND {in_box}")
-    flat = _flat_crossings(x, y)
-    start = f"p.base + size(filter(p.steps, t -> t <= {y}))"
-    fold = G.parity("p.local", x, y, start)
-    hit = f"({fold}) % 2 <> 0" if closed else f"({fold}) % 2 = 1"
-    flat_hit = f"({flat} >= 1000 OR {flat} % 2 = 1)" if closed else f"({flat} < 1000 AND {flat} % 2 = 1)"
+    rest = "false"
+    if not all_flat:
+        fold = G.parity("p.local", x, y, f"p.base + size(filter(p.steps, t -> t <= {y}))")
+        rest = f"exists(r._parts, p -> ({fold}) % 2 {'<> 0' if closed else '= 1'})"
+    flat_hit = "NOT IN (0, 2, 4, 6, 8)" if closed else "IN (1, 3, 5, 7, 9)"
     return F.expr(
         f"{_SAME_CELL} AND CASE WHEN r._full THEN true WHEN r._box THEN {in_box} "
-        f"WHEN r._base IS NOT NULL THEN {flat_hit} ELSE exists(r._parts, p -> {hit}) END"
+        f"WHEN r._base >= 0 THEN ({_flat_crossings(x, y)}) {flat_hit} "
+        f"ELSE {rest} END"
+    )
+
+
+def _join_points(
+    points: DataFrame, layer: DataFrame, plan: CellPlan, closed: bool, keep_geom: bool, how: str,
+    limit: int, heavy_rows: int,
+) -> DataFrame:
+    right = chips(_spread(layer, plan), plan.cell, keep_geom=keep_geom, flat=True)
+    flat = plan.only_boxes or _all_flat(right)
+    return joins.sized_join(
+        _point_keys(points, plan.cell), right, _KEYS,
+        _point_in_chip(closed, plan.only_boxes, flat), how,
+        right_bytes=plan.bytes, limit=limit, heavy_rows=heavy_rows,
     )
 
 
@@ -341,6 +370,15 @@ def _with_keys(df: DataFrame, x: str, y: str, cell: float) -> DataFrame:
     return numbered.withColumn("_cell", _cell_id("_cx", "_cy"))
 
 
+def _point_keys(points: DataFrame, cell: float) -> DataFrame:
+    """Cell numbers and plain, never-null coordinates (NaN points have no cell)."""
+    flat = points.withColumns({
+        "_px": F.expr(f"coalesce({GEOM}.x, double('NaN'))"),
+        "_py": F.expr(f"coalesce({GEOM}.y, double('NaN'))"),
+    })
+    return _with_keys(flat, "_px", "_py", cell)
+
+
 def _extent(df: DataFrame, cell: float) -> tuple[int, int]:
     """Largest number of cell borders a box of ``df`` crosses, per axis."""
     c = f"{float(cell)!r}D"
@@ -395,12 +433,7 @@ def points_in_polygons(
     """
     limit = joins.BROADCAST_BYTES if limit is None else limit
     plan = _point_plan(layer, cell, keep_geom, limit)
-    right = chips(_spread(layer, plan), plan.cell, keep_geom=keep_geom, flat=True)
-    left = _with_keys(points, f"{GEOM}.x", f"{GEOM}.y", plan.cell)
-    joined = joins.sized_join(
-        left, right, _KEYS, _point_in_chip(f"l.{GEOM}.x", f"l.{GEOM}.y", False, plan.only_boxes), how,
-        right_bytes=plan.bytes, limit=limit, heavy_rows=heavy_rows,
-    )
+    joined = _join_points(points, layer, plan, False, keep_geom, how, limit, heavy_rows)
     names = [c for c in layer.columns if keep_geom or c != GEOM]
     return joined.select(*_joined_columns(points.columns, names))
 
@@ -468,12 +501,8 @@ def clip_points(
     limit = joins.BROADCAST_BYTES if limit is None else limit
     region = region.select(GEOM, *BBOX)
     plan = _point_plan(region, cell, False, limit)
-    right = chips(_spread(region, plan), plan.cell, keep_geom=False, flat=True)
-    left = _with_keys(points, f"{GEOM}.x", f"{GEOM}.y", plan.cell)
-    return joins.sized_join(
-        left, right, _KEYS, _point_in_chip(f"l.{GEOM}.x", f"l.{GEOM}.y", True, plan.only_boxes),
-        "left_semi", right_bytes=plan.bytes, limit=limit, heavy_rows=heavy_rows,
-    ).select(*[f"`{c}`" for c in points.columns])
+    kept = _join_points(points, region, plan, True, False, "left_semi", limit, heavy_rows)
+    return kept.select(*[f"`{c}`" for c in points.columns])
 
 
 def clip_polygons(
