@@ -41,7 +41,7 @@ CHIPS_PER_TASK = 4096
 
 _KEYS = ["_cell"]
 #: A chip with at most this many nearby edges and flips holds them as plain columns.
-_EDGES, _STEPS = 6, 2
+_EDGES, _STEPS = 4, 2
 _PARTS_TYPE = (
     "array<struct<local:array<struct<lx:double,ly:double,hx:double,hy:double>>,"
     "base:int,steps:array<double>>>"
@@ -284,8 +284,13 @@ def _flat_crossings(x: str, y: str) -> str:
 
 
 def _all_flat(flat_chips: DataFrame) -> bool:
-    """No chip keeps edges in arrays. Stops at the first that does."""
-    return flat_chips.where("size(_parts) > 0").isEmpty()
+    """No chip keeps edges in arrays. Stops at the first that does.
+
+    Only asked where the session makes Spark give up on generated methods the JVM would not
+    compile; without that limit, keeping the join out of a large fused stage is the safer way.
+    """
+    limit = flat_chips.sparkSession.conf.get("spark.sql.codegen.hugeMethodLimit", "65535")
+    return int(limit) <= 8000 and flat_chips.where("size(_parts) > 0").isEmpty()
 
 
 def _point_in_chip(closed: bool, only_boxes: bool, all_flat: bool) -> Column:

@@ -59,6 +59,18 @@ def _spread_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.raw_occurrences(spark, sf_dir, spread)
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written and read back, as the staged build does between joins and metrics."""
+    path = scratch(df.sparkSession, name)
+    writers.write_table(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _grid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = S.points_in_polygons(_points(spark, sf_dir), D.grid(spark), keep_geom=False)
+    return _stored(rows.select("id", "gbifID", *M.RANKS), "grid_sjoin")
+
+
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.occurrence_points(spark, sf_dir, spread)
 
@@ -88,7 +100,7 @@ def park_richness(spark, d):
 
 @query
 def taxa_richness_by_grid(spark, d):
-    rows = S.points_in_polygons(_points(spark, d), D.grid(spark), keep_geom=False)
+    rows = _grid_rows(spark, d)
     boxes = D.grid(spark).select("id", "minx", "miny")
     return M.taxa_richness(rows, "id").join(boxes, "id")
 
@@ -114,7 +126,7 @@ def park_metrics(spark, d):
 
 @query
 def grid_metrics(spark, d):
-    rows = S.points_in_polygons(_points(spark, d), D.grid(spark), keep_geom=False)
+    rows = _grid_rows(spark, d)
     return M.area_metrics(rows, "id").withColumn("shannon_index", _rounded("shannon_index", 6))
 
 
@@ -252,6 +264,7 @@ def plot_sjoin(spark, d):
 def plot_metrics(spark, d):
     plots = D.plots(spark, d).select(F.col("OBJECTID").alias("plot_id"), GEOM, *BBOX)
     rows = S.points_in_polygons(_points(spark, d), plots, keep_geom=False, how="inner")
+    rows = _stored(rows.select("plot_id", "gbifID", *M.RANKS), "plot_sjoin")
     return M.area_metrics(rows, "plot_id").withColumn("shannon_index", _rounded("shannon_index", 6))
 
 
@@ -381,7 +394,7 @@ def observations_by_kingdom(spark, d):
 
 @query
 def richness_hotspots(spark, d):
-    rows = S.points_in_polygons(_points(spark, d), D.grid(spark), keep_geom=False)
+    rows = _grid_rows(spark, d)
     return M.by_richness(M.taxa_richness(rows, "id"), "id").select("id", "species_richness").limit(20)
 
 

@@ -10,6 +10,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.parquet.filterPushdown": "true",
+    # The JVM does not compile methods over 8000 bytes; run such stages operator by operator.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
