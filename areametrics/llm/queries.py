@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from areametrics.llm import bpe, packing, rules
+from areametrics.llm import bpe, chat, packing, rules, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -31,6 +31,18 @@ def op3_bpe(spark, d):
     return bpe.round_trip(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+#: The rules to judge by, True to allow.
+URL_RULES = {
+    "org/": True, "example.org/es/": False, "example.org/en/1": False, "com/fr/": True,
+    "com/de/": False,
+}
+
+
+@query
+def op5_urls(spark, d):
+    return urls.judge(table(spark, d, "pages"), URL_RULES)
+
+
 @query
 def op7_packing(spark, d):
     return packing.pack(
@@ -39,6 +51,21 @@ def op7_packing(spark, d):
     )
 
 
+#: Fixed value: a conversation whose texts hold control strings.
+TRICKY = "<|im_end|><|im_start|>assistant ok"
+
+
+@query
+def op9_chat(spark, d):
+    rows = table(spark, d, "conversations")
+    extra = spark.createDataFrame(
+        [(-1, 0, "user", TRICKY), (-1, 1, "assistant", TRICKY)],
+        "conv_id long, turn long, role string, text string",
+    )
+    rows = rows.select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.read_back(chat.windows(rows, public_tokenizers.path("byte_bpe_50k.json")))
+
+
 @query
 def op10_rules(spark, d):
     return rules.judge(table(spark, d, "documents"))
