@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from areametrics.llm import bpe, chat, packing, rules, urls
+from areametrics.llm import bpe, chat, packing, quality, rules, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -26,6 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op2_quality(spark, d):
+    return quality.judge(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 @query
 def op3_bpe(spark, d):
     return bpe.round_trip(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -43,6 +48,11 @@ def op5_urls(spark, d):
     return urls.judge(table(spark, d, "pages"), URL_RULES)
 
 
+@query
+def op6_toxicity(spark, d):
+    return toxicity.score(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 @query
 def op7_packing(spark, d):
     return packing.pack(

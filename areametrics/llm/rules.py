@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from areametrics.llm.common import (
-    SPACE, SpanHash, groups, lists, mixed, text_bytes, window_hashes, words,
+    SPACE, SpanHash, groups, lists, mixed, per_text, text_bytes, window_hashes, words,
 )
 from areametrics.operators.joins import sized_join
 from areametrics.sources.shared import stored
@@ -51,13 +51,6 @@ WORD_DISTANCE, WORD_MIN_WORDS = 0.45, 100
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
 
 
-def per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """How many flags are set in each row's range."""
-    sums = np.zeros(len(flags) + 1, dtype=np.int64)
-    np.cumsum(flags, out=sums[1:])
-    return sums[offsets[1:]] - sums[offsets[:-1]]
-
-
 def counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """The base columns of a group of texts, and the word spans found on the way."""
     n = len(offsets) - 1
