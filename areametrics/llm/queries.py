@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from areametrics.llm import bpe, chat, packing, quality, rules, toxicity, urls
+from areametrics.llm import bpe, chat, lattice, packing, quality, rules, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -61,6 +61,11 @@ def op7_packing(spark, d):
     )
 
 
+@query
+def op8_lattice(spark, d):
+    return lattice.judge(table(spark, d, "embeddings"))
+
+
 #: Fixed value: a conversation whose texts hold control strings.
 TRICKY = "<|im_end|><|im_start|>assistant ok"
 
