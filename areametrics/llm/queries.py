@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from areametrics.llm import bpe, chat, lattice, packing, quality, rules, toxicity, urls
+from areametrics.llm import bpe, chat, lattice, minhash, packing, quality, rules, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -36,6 +36,11 @@ def op3_bpe(spark, d):
     return bpe.round_trip(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query
+def op4_minhash(spark, d):
+    return minhash.judge(table(spark, d, "documents"))
+
+
 #: The rules to judge by, True to allow.
 URL_RULES = {
     "org/": True, "example.org/es/": False, "example.org/en/1": False, "com/fr/": True,
