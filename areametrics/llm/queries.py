@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from areametrics.llm import bpe, chat, lattice, minhash, packing, quality, rules, toxicity, urls
+from areametrics.llm import bpe, chat, lattice, minhash, packing, quality, rules, suffixes, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -26,6 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_suffixes(spark, d):
+    return suffixes.dedup(table(spark, d, "documents"))
+
+
 @query
 def op2_quality(spark, d):
     return quality.judge(table(spark, d, "documents"), table(spark, d, "labels"))
