@@ -6,8 +6,9 @@ Two ways, both exact:
 * otherwise both sides shuffle on the join keys, and keys with very many left rows are spread
   over sub-keys (only their right rows are repeated).
 
-The list of heavy keys has a fixed greatest length, so it is safe to hold and to broadcast; it
-only decides how rows are spread, never which rows match.
+Rows with a null key match nothing; they are spread by a hash of the row. The list of heavy keys
+only decides how rows are spread, never which rows match, and its length is bounded by what counts
+as heavy.
 """
 
 from __future__ import annotations
@@ -20,9 +21,12 @@ from areametrics.schemas import POLYGON
 
 #: Broadcast only a right side measured to be below this many bytes.
 BROADCAST_BYTES = 64 * 1024 * 1024
-#: A key with this many left rows is split into shares below it.
+#: A key with this many left rows, or with more than one part in ``FEWEST_SHARES`` of all, is split
+#: into shares below that. At most ``FEWEST_SHARES`` keys can have so many.
 HEAVY_ROWS = 2_000_000
-MAX_HEAVY_KEYS = 1000
+FEWEST_SHARES = 50_000
+#: Rows with a null key are dealt to so many sub-keys.
+NULL_SHARES = 1 << 20
 
 _SALT = "_salt"
 
@@ -44,47 +48,37 @@ def measured_bytes(df: DataFrame) -> int:
     return int(df.agg(F.sum(row_bytes(df)).cast("long").alias("b")).first()["b"] or 0)
 
 
-def heavy_keys(left: DataFrame, keys: list[str], heavy_rows: int) -> DataFrame | None:
-    """Keys holding ``heavy_rows`` rows or more, the largest ``MAX_HEAVY_KEYS`` of them, with the
-    number of sub-keys (``_n``) that brings each share under ``heavy_rows``.
+def heavy_keys(left: DataFrame, keys: list[str], heavy_rows: int) -> DataFrame:
+    """Keys with ``heavy_rows`` rows or one part in ``FEWEST_SHARES`` of all, whichever is more, and
+    the number of sub-keys (``_n``) that brings each share under it.
 
-    The counting reads the key columns only and combines before it shuffles. A key past the end
-    of the list holds less than 1/MAX_HEAVY_KEYS of the rows; adaptive execution splits it.
+    So there are ``FEWEST_SHARES`` such keys at most, however large the table, and every key past
+    them is smaller than the mean partition of a shuffle that wide. Counting reads the key columns
+    only and combines before it shuffles; no key reaches the driver.
     """
-    rows = (
-        left.where(" AND ".join(f"{k} IS NOT NULL" for k in keys))
-        .groupBy(*keys)
-        .count()
-        .where(F.col("count") >= heavy_rows)
-        .orderBy(F.desc("count"), *keys)
-        .limit(MAX_HEAVY_KEYS)
-        .withColumn("count", F.ceil(F.col("count") / F.lit(heavy_rows)).cast("int"))
-        .collect()
+    keyed = left.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
+    heavy = max(heavy_rows, -(-keyed.count() // FEWEST_SHARES))
+    return keyed.groupBy(*keys).count().where(F.col("count") >= heavy).select(
+        *keys, F.ceil(F.col("count") / F.lit(heavy)).cast("int").alias("_n")
     )
-    if not rows:
-        return None
-    types = ", ".join(f"`{k}` {left.schema[k].dataType.simpleString()}" for k in keys)
-    return left.sparkSession.createDataFrame([tuple(r) for r in rows], f"{types}, _n int")
 
 
 def salted(
-    left: DataFrame, right: DataFrame, keys: list[str], heavy: DataFrame | None
+    left: DataFrame, right: DataFrame, keys: list[str], heavy: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
-    """Add a salt key to both sides: 0 for light keys, ``0 .. _n - 1`` for heavy ones.
+    """Add a salt key to both sides: 0 for light keys, ``0 .. _n - 1`` for heavy ones, anything for
+    left rows with a null key.
 
     The left salt is a hash of the row, so a recomputed task sends each row to the same place.
     Only the right rows of heavy keys are repeated.
     """
-    if heavy is None:
-        zero = F.lit(0)
-        return left.withColumn(_SALT, zero), right.withColumn(_SALT, zero)
-    hashed = [
+    hashed = F.xxhash64(*[
         F.col(f"`{f.name}`") for f in left.schema.fields if not isinstance(f.dataType, T.MapType)
-    ]
+    ])
     heavy = F.broadcast(heavy)
-    left = left.join(heavy, keys, "left").withColumn(
-        _SALT, F.coalesce(F.pmod(F.xxhash64(*hashed), F.col("_n")).cast("int"), F.lit(0))
-    )
+    absent = F.expr(" OR ".join(f"`{k}` IS NULL" for k in keys))
+    shares = F.when(absent, F.lit(NULL_SHARES)).otherwise(F.coalesce(F.col("_n"), F.lit(1)))
+    left = left.join(heavy, keys, "left").withColumn(_SALT, F.pmod(hashed, shares).cast("int"))
     right = right.join(heavy, keys, "left").withColumn(
         _SALT, F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_n"), F.lit(1)) - 1))
     )

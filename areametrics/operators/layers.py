@@ -75,15 +75,21 @@ def haversine(lon1: str, lat1: str, lon2: str, lat2: str, radius: float = 637100
 def cells_within(layer: DataFrame, lon: float, lat: float, metres: float) -> DataFrame:
     """Cells whose box centre is at most ``metres`` away, with the distance.
 
-    A box test in degrees, a little wider than the circle, comes first and reaches the scan.
+    A box test in degrees, a little wider than the circle, comes first and reaches the scan. It
+    goes on past the antimeridian, and near a pole it tests latitude only.
     """
     dlat = metres / 110_000.0
-    widest = max(cos(radians(min(89.9, abs(lat) + dlat))), 1e-6)
-    dlon = dlat / widest
-    near = layer.where(
-        (F.col("maxx") >= lon - dlon) & (F.col("minx") <= lon + dlon)
-        & (F.col("maxy") >= lat - dlat) & (F.col("miny") <= lat + dlat)
-    )
+    near = layer.where((F.col("maxy") >= lat - dlat) & (F.col("miny") <= lat + dlat))
+    if abs(lat) + dlat < 89.0:
+        dlon = dlat / cos(radians(abs(lat) + dlat))
+        # The circle's own range and, where it leaves the map, the same on the other side.
+        turns = [0.0] + [360.0] * (lon - dlon < -180.0) + [-360.0] * (lon + dlon > 180.0)
+        reached = F.lit(False)
+        for turn in turns:
+            reached = reached | (
+                (F.col("maxx") >= lon + turn - dlon) & (F.col("minx") <= lon + turn + dlon)
+            )
+        near = near.where(reached)
     away = haversine("(minx + maxx) / 2", "(miny + maxy) / 2", f"{lon!r}D", f"{lat!r}D")
     return near.withColumn("distance", away).where(F.col("distance") <= metres)
 

@@ -233,24 +233,29 @@ def rank_counts(df: DataFrame, rank: str, key: str = "park_name") -> DataFrame:
 
 
 def kingdom_class_pairs(df: DataFrame, key: str = "park_name") -> DataFrame:
-    """Each kingdom count of an area next to each class count of the same area."""
-    k = rank_counts(df, "kingdom", key).withColumnRenamed("count", "kingdom_count")
-    c = rank_counts(df, "class", key).withColumnRenamed("count", "class_count")
-    return k.join(c, key)
+    """Per area the kingdoms and classes that occur together, with the rows of the pair, of the
+    kingdom and of the class. One pass; pairs that never occur are left out."""
+    pairs = keep_keyed(df, key).groupBy(key, "kingdom", "class").agg(F.count("*").alias("pair_count"))
+    by_kingdom = Window.partitionBy(key, "kingdom")
+    by_class = Window.partitionBy(key, "class")
+    return pairs.select(
+        "*", F.sum("pair_count").over(by_kingdom).alias("kingdom_count"),
+        F.sum("pair_count").over(by_class).alias("class_count"),
+    )
 
 
 def taxa_summary(df: DataFrame, key: str = "park_name") -> DataFrame:
     """Richness per area with how many kingdom and class groups it has and their row total.
 
-    The counts are brought to one row per area before the join, so nothing fans out.
+    Richness and groups come from one pass; a null rank is a group, but no taxon.
     """
-    def groups(rank: str) -> DataFrame:
-        return rank_counts(keep_keyed(df, key), rank, key).groupBy(key).agg(
-            F.count("*").alias(f"{rank}_groups"), F.sum("count").alias(f"{rank}_count")
-        )
-
-    richness = taxa_richness(df, key)
-    return richness.join(groups("kingdom"), key, "left").join(groups("class"), key, "left")
+    counts, tests = _value_counts(keep_keyed(df, key), key, ["gbifID", *RANKS, "class"])
+    wanted = [F.count(F.when(tests["gbifID"], F.col("gbifID"))).alias("observation")]
+    wanted += [F.count(F.when(tests[r], _q(r))).alias(n) for r, n in RANKS.items()]
+    for rank in ("kingdom", "class"):
+        wanted.append(F.count_if(tests[rank]).alias(f"{rank}_groups"))
+        wanted.append(F.sum(F.when(tests[rank], F.col("_n"))).alias(f"{rank}_count"))
+    return counts.groupBy(_AREA).agg(*wanted).withColumnRenamed(_AREA, key)
 
 
 # --- planned reports ----------------------------------------------------------------------
@@ -284,26 +289,25 @@ def season(month: str = "month") -> Column:
 def seasonal_trend(df: DataFrame) -> DataFrame:
     """Occurrences and species per season."""
     tagged = df.select(season().alias("season"), "gbifID", "species")
-    seen = tagged.select("season", "gbifID").distinct().groupBy("season").agg(
-        F.count("gbifID").alias("observations")
-    )
-    taxa = tagged.select("season", "species").distinct().groupBy("season").agg(
-        F.count("species").alias("species_richness")
-    )
-    return seen.join(taxa, seen.season.eqNullSafe(taxa.season)).select(
-        seen.season, "observations", "species_richness"
-    )
+    counts, tests = _value_counts(tagged, "season", ["gbifID", "species"])
+    return counts.groupBy(_AREA).agg(
+        F.count(F.when(tests["gbifID"], F.col("gbifID"))).alias("observations"),
+        F.count(F.when(tests["species"], F.col("species"))).alias("species_richness"),
+    ).withColumnRenamed(_AREA, "season")
 
 
 def dataset_summary(df: DataFrame) -> DataFrame:
     """Parks, distinct occurrences and rows, one line each (``measure``, ``value``)."""
-    def distinct(column: str, name: str) -> DataFrame:
-        return df.select(column).distinct().agg(F.count(_q(column)).alias("value")).select(
-            F.lit(name).alias("measure"), "value"
-        )
-
-    rows = df.agg(F.count("*").alias("value")).select(F.lit("rows").alias("measure"), "value")
-    return distinct("park_name", "parks").union(distinct("gbifID", "observations")).union(rows)
+    everything = df.withColumn("_all", F.lit(1))
+    counts, tests = _value_counts(everything, "_all", ["park_name", "gbifID"])
+    one = counts.agg(
+        F.count(F.when(tests["park_name"], F.col("park_name"))).alias("parks"),
+        F.count(F.when(tests["gbifID"], F.col("gbifID"))).alias("observations"),
+        F.coalesce(F.sum(F.when(tests["park_name"], F.col("_n"))), F.lit(0)).alias("rows"),
+    )
+    return one.select(F.expr(
+        "stack(3, 'parks', parks, 'observations', observations, 'rows', rows) AS (measure, value)"
+    ))
 
 
 def observations_by_kingdom(df: DataFrame) -> DataFrame:
@@ -312,12 +316,14 @@ def observations_by_kingdom(df: DataFrame) -> DataFrame:
 
 
 def park_species_matrix(df: DataFrame, kingdoms: list[str], key: str = "park_name") -> DataFrame:
-    """Distinct species per area, one column per kingdom (absent: 0)."""
+    """Distinct species per area, one column per kingdom (absent: 0), and ``other`` for species of
+    kingdoms that are null or not listed, so that none vanishes."""
     species = (
         keep_keyed(df, key).where("species IS NOT NULL").select(key, "kingdom", "species").distinct()
     )
     return species.groupBy(key).agg(
-        *[F.count_if(F.col("kingdom") == k).alias(k.lower()) for k in kingdoms]
+        *[F.count_if(F.col("kingdom") == k).alias(k.lower()) for k in kingdoms],
+        F.count_if(~F.coalesce(F.col("kingdom").isin(kingdoms), F.lit(False))).alias("other"),
     )
 
 

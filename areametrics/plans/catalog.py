@@ -1,13 +1,12 @@
 """Registered queries: each operator run over whole derived tables.
 
-Every function takes ``(spark, sf_dir)`` and returns a lazy DataFrame. Nested geometry is shown
-through its box or vertex sums, which other engines can compute too.
+Every function takes ``(spark, sf_dir)`` and returns a DataFrame. Spatial joins run a few jobs over
+their layers while the query is being built, and those that store a step write it then. Nested
+geometry is shown through its box or vertex sums, which other engines can compute too.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,9 +17,11 @@ from areametrics.operators import layers as L
 from areametrics.operators import metrics as M
 from areametrics.operators import projection as P
 from areametrics.operators import spatial as S
+from areametrics.plans import build as B
 from areametrics.plans import derived as D
 from areametrics.schemas import BBOX, CSV_TYPES, GEOM
 from areametrics.sources import readers, writers
+from areametrics.sources.shared import new_path, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -35,13 +36,6 @@ def queries() -> dict[str, Query]:
     return dict(_REGISTRY)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """New folder in the shared directory the session names; a local one only without it."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    root = shared or tempfile.mkdtemp(prefix="areametrics-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Spread a source with fewer splits than cores, so heavy expressions use all of them.
 
@@ -59,16 +53,9 @@ def _spread_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.raw_occurrences(spark, sf_dir, spread)
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written and read back, as the staged build does between joins and metrics."""
-    path = scratch(df.sparkSession, name)
-    writers.write_table(df, path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _grid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = S.points_in_polygons(_points(spark, sf_dir), D.grid(spark), keep_geom=False)
-    return _stored(rows.select("id", "gbifID", *M.RANKS), "grid_sjoin")
+    return stored(rows.select("id", "gbifID", *M.RANKS), "grid_sjoin")
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,6 +111,13 @@ def park_metrics(spark, d):
     )
 
 
+@query
+def richness_with_shannon(spark, d):
+    rows = _occurrences(spark, d)
+    joined = M.with_shannon(M.park_richness(rows), M.shannon_index(rows))
+    return joined.withColumn("shannon_index", _rounded("shannon_index", 6))
+
+
 @query
 def grid_metrics(spark, d):
     rows = _grid_rows(spark, d)
@@ -211,7 +205,16 @@ def drop_any_null(spark, d):
 
 @query
 def limit_rows(spark, d):
-    return P.limit_rows(_occurrences(spark, d), 1000)
+    """Which rows are kept is open; how many, and that they are rows of the source, is not."""
+    def facts(name: str, rows: DataFrame) -> DataFrame:
+        kept = P.limit_rows(rows, 1000)
+        known = rows.distinct().withColumn("known", F.lit(1))
+        return kept.join(known, rows.columns, "left").agg(
+            F.count("*").alias("kept"), F.count("known").alias("known")
+        ).select(F.lit(name).alias("source"), "kept", "known")
+
+    nations = D.table(spark, d, "nation").select("n_nationkey")
+    return facts("occurrences", _occurrences(spark, d).select("gbifID")).union(facts("nations", nations))
 
 
 @query
@@ -237,6 +240,38 @@ def layer_sjoin_points(spark, d):
     return joined.select("gbifID", "species", "park_id", "park_name", *BBOX)
 
 
+@query
+def colliding_names(spark, d):
+    parks = D.parks(spark, d).withColumnRenamed("park_name", "species")
+    joined = S.points_in_polygons(_points(spark, d), parks, keep_geom=False)
+    return joined.select("gbifID", "species", "park_id", "species_1")
+
+
+#: Settings under which joins shuffle and keys of the test tables are heavy.
+_SHUFFLED = {"limit": -1, "heavy_rows": 500}
+
+
+@query
+def plot_sjoin_shuffled(spark, d):
+    plots = D.plots(spark, d).select(F.col("OBJECTID").alias("plot_id"), GEOM, *BBOX)
+    joined = S.points_in_polygons(_points(spark, d), plots, keep_geom=False, **_SHUFFLED)
+    return joined.select("gbifID", "species", "plot_id")
+
+
+@query
+def layer_sjoin_cells_shuffled(spark, d):
+    grid = D.grid(spark)
+    rows = S.points_in_polygons(_points(spark, d), grid, keep_geom=False, **_SHUFFLED)
+    joined = S.cells_in_polygons(rows, D.parks(spark, d), grid, "id", **_SHUFFLED)
+    return joined.select("gbifID", "species", "id", "park_id", "park_name", *BBOX)
+
+
+@query
+def clip_points_shuffled(spark, d):
+    kept = S.clip_to_region(_points(spark, d), D.parks(spark, d), 4326, 4326, **_SHUFFLED)
+    return kept.select("gbifID", "species", F.col("geom.x").alias("x"), F.col("geom.y").alias("y"))
+
+
 @query
 def layer_sjoin_cells(spark, d):
     grid = D.grid(spark)
@@ -264,7 +299,7 @@ def plot_sjoin(spark, d):
 def plot_metrics(spark, d):
     plots = D.plots(spark, d).select(F.col("OBJECTID").alias("plot_id"), GEOM, *BBOX)
     rows = S.points_in_polygons(_points(spark, d), plots, keep_geom=False, how="inner")
-    rows = _stored(rows.select("plot_id", "gbifID", *M.RANKS), "plot_sjoin")
+    rows = stored(rows.select("plot_id", "gbifID", *M.RANKS), "plot_sjoin")
     return M.area_metrics(rows, "plot_id").withColumn("shannon_index", _rounded("shannon_index", 6))
 
 
@@ -314,11 +349,16 @@ def reproject_plots(spark, d):
     return boxed.select("OBJECTID", *[F.round(c, 8).alias(c) for c in BBOX])
 
 
+@query
+def grid_over_plots(spark, d):
+    return L.grid_over(D.plots(spark, d), 0.25).select("id", *BBOX)
+
+
 # --- files ----------------------------------------------------------------------------------
 
 @query
 def csv_to_parquet(spark, d):
-    text, table = scratch(spark, "csv"), scratch(spark, "parquet")
+    text, table = new_path(spark, "csv"), new_path(spark, "parquet")
     rows = _spread_occurrences(spark, d).select(*[f"`{c}`" for c in CSV_TYPES])
     rows.write.option("sep", "\t").option("header", True).option("quote", "").csv(text)
     writers.csv_to_parquet(spark, text, table)
@@ -327,14 +367,14 @@ def csv_to_parquet(spark, d):
 
 @query
 def area_rows(spark, d):
-    table = scratch(spark, "area")
+    table = new_path(spark, "area")
     writers.write_table(_spread_occurrences(spark, d), table)
     return readers.read_area_occurrences(spark, table).select("gbifID", "park_id", "park_name")
 
 
 @query
 def geojson_roundtrip(spark, d):
-    path = scratch(spark, "geojson")
+    path = new_path(spark, "geojson")
     writers.write_features(D.raw_plots(spark, d).drop("area_value"), path)
     properties = "OBJECTID BIGINT, Nom STRING, Type STRING, TYPO1 STRING, TYPO2 STRING"
     back = readers.read_features(spark, path, properties)
@@ -343,6 +383,20 @@ def geojson_roundtrip(spark, d):
     )
 
 
+@query
+def staged_build(spark, d):
+    """All stages from files; the first run is capped, and the second must not keep its tables."""
+    root = new_path(spark, "build")
+    rows = _spread_occurrences(spark, d).select(*[f"`{c}`" for c in CSV_TYPES])
+    rows.write.option("sep", "\t").option("header", True).option("quote", "").csv(f"{root}/csv")
+    writers.write_features(D.grid(spark).select("id", GEOM), f"{root}/grid")
+    grid = B.Layer(f"{root}/grid", "id BIGINT", {"id": "id"}, "id", per_line=True)
+    B.run(spark, B.Build(f"{root}/out", f"{root}/csv", {"grid": grid}, limit=7))
+    B.run(spark, B.Build(f"{root}/out", f"{root}/csv", {"grid": grid}))
+    table = spark.read.parquet(f"{root}/out/processed/grid_metrics.parquet").drop(GEOM)
+    return table.withColumn("shannon_index", _rounded("shannon_index", 6))
+
+
 # --- map and report data --------------------------------------------------------------------
 
 @query

@@ -235,6 +235,13 @@ _PLOT_SUMS = (
 
 
 def oracles() -> dict[str, str]:
+    found = _oracles()
+    for name in ("plot_sjoin", "layer_sjoin_cells", "clip_points"):
+        found[f"{name}_shuffled"] = found[name]
+    return found
+
+
+def _oracles() -> dict[str, str]:
     occ = _with(_OCC)
     park_taxa = occ + """SELECT park_name, kingdom, class, genus, species,
 count(species) AS species_count, min(park_id) AS park_id FROM occ
@@ -265,10 +272,12 @@ WHERE id IS NOT NULL GROUP BY id) r LEFT JOIN sh USING (id)""",
         + "SELECT park_name, kingdom, count(*) AS count FROM occ GROUP BY park_name, kingdom",
         "park_class_counts": occ
         + "SELECT park_name, class, count(*) AS count FROM occ GROUP BY park_name, class",
-        "park_kingdom_class_pairs": occ + """SELECT park_name, kingdom, kingdom_count, class,
-class_count FROM (SELECT park_name, kingdom, count(*) AS kingdom_count FROM occ
-GROUP BY park_name, kingdom) k JOIN (SELECT park_name, class, count(*) AS class_count FROM occ
-GROUP BY park_name, class) c USING (park_name)""",
+        "park_kingdom_class_pairs": occ + """SELECT park_name, kingdom, class, pair_count,
+kingdom_count, class_count FROM (SELECT park_name, kingdom, class, count(*) AS pair_count FROM occ
+WHERE park_name IS NOT NULL GROUP BY ALL) p JOIN (SELECT park_name AS a, kingdom AS k, count(*)
+AS kingdom_count FROM occ GROUP BY ALL) ON a = park_name AND k IS NOT DISTINCT FROM kingdom
+JOIN (SELECT park_name AS b, class AS c, count(*) AS class_count FROM occ GROUP BY ALL)
+ON b = park_name AND c IS NOT DISTINCT FROM class""",
         "park_taxa_summary": occ + f"""SELECT park_name, {_RICHNESS},
 count(DISTINCT coalesce(kingdom, '')) AS kingdom_groups, count(*) AS kingdom_count,
 count(DISTINCT coalesce(class, '')) AS class_groups, count(*) AS class_count FROM occ
@@ -287,6 +296,21 @@ FROM plot WHERE {_typed_terms()}""",
         "drop_any_null": _with(_PLOT) + """SELECT "OBJECTID", "Nom", "Type", "TYPO1", "TYPO2",
 area_value FROM plot WHERE "Nom" IS NOT NULL AND "Type" IS NOT NULL AND "TYPO1" IS NOT NULL
 AND "TYPO2" IS NOT NULL""",
+        "limit_rows": occ + """SELECT 'occurrences' AS source, least(1000, count(*)) AS kept,
+least(1000, count(*)) AS known FROM occ UNION ALL
+SELECT 'nations', least(1000, count(*)), least(1000, count(*)) FROM nation""",
+        "richness_with_shannon": _with(_OCC, _shannon("park_name", "occ")) + f"""SELECT r.*,
+shannon_index FROM (SELECT park_name, {_RICHNESS}, min(park_id) AS park_id FROM occ
+WHERE park_name IS NOT NULL GROUP BY park_name) r LEFT JOIN sh USING (park_name)""",
+        "grid_over_plots": _with(_PLOT_EDGES) + """SELECT CAST(i * ny + j AS BIGINT) AS id,
+minx + i * s AS minx, miny + j * s AS miny, minx + (i + 1) * s AS maxx, miny + (j + 1) * s AS maxy
+FROM (SELECT min(minx) AS minx, min(miny) AS miny, CAST(0.25 AS DOUBLE) AS s,
+CAST(ceil((max(maxx) - min(minx)) / 0.25::DOUBLE) AS BIGINT) AS nx,
+CAST(ceil((max(maxy) - min(miny)) / 0.25::DOUBLE) AS BIGINT) AS ny FROM plot_box) b,
+range(1000) x(i), range(1000) y(j) WHERE i < nx AND j < ny""",
+        "staged_build": _with(_OCC, _GRID, _GRID_JOINED, _shannon("id", "joined"))
+        + f"""SELECT r.*, shannon_index FROM (SELECT id, {_RICHNESS} FROM joined
+WHERE id IS NOT NULL GROUP BY id) r LEFT JOIN sh USING (id)""",
         "profile_nulls": occ + _profile(),
         "park_types": _with(_PLOT) + 'SELECT DISTINCT "TYPO2" FROM plot',
         "grid_sjoin": _with(_OCC, _GRID, _GRID_JOINED)
@@ -294,6 +318,9 @@ AND "TYPO2" IS NOT NULL""",
         "layer_sjoin_points": _with(_OCC, _PARK_EDGES, _PARK_HITS) + """SELECT "gbifID", species,
 b.park_id, b.park_name, b.minx, b.miny, b.maxx, b.maxy FROM occ o
 LEFT JOIN hit h ON o.x = h.x AND o.y = h.y LEFT JOIN park_box b ON h.park_id = b.park_id""",
+        "colliding_names": _with(_OCC, _PARK_EDGES, _PARK_HITS) + """SELECT "gbifID", species,
+b.park_id, b.park_name AS species_1 FROM occ o LEFT JOIN hit h ON o.x = h.x AND o.y = h.y
+LEFT JOIN park_box b ON h.park_id = b.park_id""",
         "layer_sjoin_cells": _with(_OCC, _GRID, _GRID_JOINED, _PARK_EDGES, _CELL_PARK) + """SELECT
 "gbifID", species, j.id, b.park_id, b.park_name, b.minx, b.miny, b.maxx, b.maxy FROM joined j
 LEFT JOIN fit f ON j.id = f.id LEFT JOIN park_box b ON f.park_id = b.park_id""",
@@ -379,7 +406,7 @@ FROM (SELECT "OBJECTID", 2 * 6371008.8 * asin(sqrt(pow(sin(radians((miny + maxy)
         "park_kingdom_matrix": occ + """SELECT park_name, """ + ", ".join(
             f"count(DISTINCT species) FILTER (WHERE kingdom = '{k}') AS {k.lower()}"
             for k in D.KINGDOMS
-        ) + " FROM occ WHERE park_name IS NOT NULL AND species IS NOT NULL GROUP BY park_name",
+        ) + ", 0::BIGINT AS other FROM occ WHERE park_name IS NOT NULL AND species IS NOT NULL GROUP BY park_name",
         "park_comparison": occ + """SELECT count(*) FILTER (WHERE a AND b) AS shared,
 count(*) FILTER (WHERE a AND NOT b) AS first_only, count(*) FILTER (WHERE b AND NOT a) AS second_only
 FROM (SELECT species, bool_or(park_name = 'NATION_1') AS a, bool_or(park_name = 'NATION_2') AS b

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,15 +14,18 @@ from areametrics.schemas import CSV_TYPES, GEOM
 
 
 def read_csv(
-    spark: SparkSession, path: str, sep: str = "\t", infer: bool = False, quote: str = ""
+    spark: SparkSession, path: str, sep: str = "\t", infer: bool = False, quote: str = "",
+    pattern: str | None = None,
 ) -> DataFrame:
     """Delimited text with a header line; all columns, occurrence columns typed by name.
 
-    Only the header is read up front. Column order may differ between downloads: types go by
-    name, a file whose header disagrees with the first one raises, and so does a value that
-    does not fit its type. ``infer=True`` types the other columns too, at the cost of a pass.
+    Every file under ``path`` is read, whatever its name, compressed ones too; ``pattern`` is for
+    callers that want only some. Only the header is read up front. Column order may differ between
+    downloads: types go by name, a file whose header disagrees with the first one raises, and so
+    does a value that does not fit its type, in any session. ``infer=True`` types the other columns
+    too, at the cost of a pass.
     """
-    raw = (
+    reader = (
         spark.read.option("header", True)
         .option("sep", sep)
         .option("quote", quote)
@@ -30,14 +33,24 @@ def read_csv(
         .option("inferSchema", infer)
         .option("mode", "FAILFAST")
         .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.csv")
-        .csv(path)
     )
-    typed = [
-        F.col(f"`{c}`").cast(CSV_TYPES[c]).alias(c) if c in CSV_TYPES else F.col(f"`{c}`")
-        for c in raw.columns
-    ]
-    return raw.select(*typed)
+    if pattern is not None:
+        reader = reader.option("pathGlobFilter", pattern)
+    raw = reader.csv(path)
+    return raw.select(*[
+        _typed(c, CSV_TYPES[c]) if c in CSV_TYPES else F.col(f"`{c}`") for c in raw.columns
+    ])
+
+
+def _typed(column: str, kind: str | T.DataType) -> Column:
+    """The column cast, or an error that names the value which does not fit."""
+    value = F.col(f"`{column}`")
+    cast = value.try_cast(kind)
+    name = kind if isinstance(kind, str) else kind.simpleString()
+    wrong = F.raise_error(F.concat(
+        F.lit(f"CAST_INVALID_INPUT: a value of {column} is no {name}: "), value.cast("string")
+    ))
+    return F.when(value.isNotNull() & cast.isNull(), wrong.cast(kind)).otherwise(cast).alias(column)
 
 
 def read_occurrences(spark: SparkSession, path: str) -> DataFrame:
@@ -105,7 +118,6 @@ def layer_table(layer: DataFrame) -> DataFrame:
     return set_bbox(layer)
 
 
-def load_mapping(path: str) -> dict[str, str]:
-    """``{source column: target column}`` from a small JSON file on the driver."""
-    with open(path, encoding="utf-8") as f:
-        return json.load(f)
+def load_mapping(spark: SparkSession, path: str) -> dict[str, str]:
+    """``{source column: target column}`` from a small JSON file, anywhere Spark reads."""
+    return json.loads(spark.read.text(path, wholetext=True).first()["value"])

@@ -8,22 +8,23 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+_LOCAL: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``.
 
-    Only a local master, where driver and executors are one process, may go without: a new folder
-    is then made and set. Elsewhere a missing setting raises.
+    Only a local master, where driver and executors are one process, may go without: it gets a new
+    folder, one for each application. Elsewhere a missing setting raises.
     """
     folder = spark.conf.get(SETTING, None)
     if folder is None:
-        if not spark.sparkContext.master.startswith(("local[", "local")) or (
-            spark.sparkContext.master.startswith("local-cluster")
-        ):
+        context = spark.sparkContext
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError(f"set {SETTING} to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="areametrics-")
-        spark.conf.set(SETTING, folder)
+        if context.applicationId not in _LOCAL:
+            _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="areametrics-")
+        folder = _LOCAL[context.applicationId]
     return folder.rstrip("/")
 
 

@@ -40,6 +40,54 @@ def test_csv_rejects_bad_values_and_differing_headers(spark, tmp_path):
         readers.read_csv(spark, str(mixed)).collect()
 
 
+def test_csv_reads_every_file(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "in").mkdir()
+    lines = "gbifID\tspecies\n" + "".join(f"{{}}{i}\ts\n" for i in range(5))
+    (tmp_path / "in" / "a.csv").write_text(lines.replace("{}", "1"))
+    (tmp_path / "in" / "c.txt").write_text(lines.replace("{}", "2"))
+    with gzip.open(tmp_path / "in" / "b.csv.gz", "wt") as f:
+        f.write(lines.replace("{}", "3"))
+    assert readers.read_csv(spark, str(tmp_path / "in")).count() == 15
+    assert readers.read_csv(spark, str(tmp_path / "in"), pattern="*.txt").count() == 5
+
+
+def test_csv_bad_values_raise_without_ansi(spark, tmp_path):
+    _csv(tmp_path / "a.csv", ["gbifID"], ["five"])
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+            readers.read_csv(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
+
+
+def test_mapping(spark, tmp_path):
+    (tmp_path / "m.json").write_text('{"Nom": "park_name",\n "É": "e"}', "utf-8")
+    assert readers.load_mapping(spark, str(tmp_path / "m.json")) == {"Nom": "park_name", "É": "e"}
+
+
+def test_shared_folder(spark):
+    from types import SimpleNamespace as Fake
+
+    from areametrics.sources import shared
+
+    assert shared.stored(spark.range(3), "x").count() == 3
+
+    def session(master, **conf):
+        context = Fake(master=master, applicationId=master)
+        return Fake(sparkContext=context, conf=Fake(get=lambda k, d: conf.get("folder", d)))
+
+    assert shared.new_path(session("yarn", folder="s3://b/c/"), "x").startswith("s3://b/c/x-")
+    own = session("local[2]")
+    assert shared.shared_folder(own) == shared.shared_folder(own)
+    assert shared.new_path(own, "x") != shared.new_path(own, "x")
+    for master in ("yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="share"):
+            shared.shared_folder(session(master))
+
+
 def test_csv_to_parquet_limit(spark, tmp_path):
     _csv(tmp_path / "in.csv", ["gbifID", "species"], *[(i, f"s{i}") for i in range(10)])
     for limit, n in [(None, 10), ("None", 10), (3, 3)]:
@@ -157,12 +205,15 @@ def test_build_by_cell_then_point(spark, project):
     lines = spark.read.text(project.path("processed", "parks_metrics.geojson")).collect()
     assert json.loads(lines[0].value)["properties"]["park_name"] == "ell"
 
-    # Finished tables stay; a forced run replaces them.
+    # The same run keeps every table; another option rebuilds what depends on it.
+    before = B.listing(spark, project.path("*"))
+    B.run(spark, project)
+    assert B.listing(spark, project.path("*")) == before
     project.join_on = "point"
-    B.run(spark, project, ["sjoin"])
-    assert spark.read.parquet(project.path("joined", "parks_sjoin")).columns == joined.columns
-    project.force = True
     B.run(spark, project, ["sjoin", "metrics"])
+    after = B.listing(spark, project.path("*"))
+    kept = {f for f in before if "/tables/" in f[0] or "grid" in f[0]}
+    assert kept <= set(after) and set(after) != set(before)
     metrics = spark.read.parquet(project.path("processed", "parks_metrics.parquet")).first()
     assert metrics.observation == 110
 
@@ -172,5 +223,16 @@ def test_build_limit_and_stage_names(spark, project):
     B.run(spark, project, ["gbif"])
     assert spark.read.parquet(project.path("tables", "gbif")).count() == 7
     assert not B.is_done(spark, project.path("tables", "grid"))
+    # A cap does not outlive its run.
+    project.limit = None
+    B.run(spark, project, ["gbif"])
+    assert spark.read.parquet(project.path("tables", "gbif")).count() == 200
+    # Nor does an old input.
+    with open(project.occurrences_csv) as f:
+        lines = f.readlines()
+    with open(project.occurrences_csv, "w") as f:
+        f.writelines(lines[:-50])
+    B.run(spark, project, ["gbif"])
+    assert spark.read.parquet(project.path("tables", "gbif")).count() == 150
     with pytest.raises(ValueError):
         B.run(spark, project, ["nope"])
