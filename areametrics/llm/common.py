@@ -3,11 +3,12 @@ and span hashes in numpy."""
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the word pattern ``[^\x20\x09-\x0D]+``.
@@ -20,6 +21,16 @@ _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 GROUP_BYTES = 1 << 21
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver did, for sessions that were
+    started elsewhere. On a cluster the package is installed or shipped with ``--py-files``."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def one_per_id(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Only ``key`` and ``text``, one row per key; null text is empty.
 

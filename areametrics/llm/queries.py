@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from areametrics.llm import bpe, chat, lattice, minhash, packing, quality, rules, suffixes, toxicity, urls
+from areametrics.llm.common import importable
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
 
 
 def query(f: Query) -> Query:
-    _REGISTRY[f.__name__] = f
-    return f
+    @functools.wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        importable(spark)
+        return f(spark, sf_dir)
+
+    _REGISTRY[f.__name__] = run
+    return run
 
 
 def queries() -> dict[str, Query]:

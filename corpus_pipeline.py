@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from areametrics.llm import minhash, packing, quality, rules, suffixes
+from areametrics.llm.common import importable
 from areametrics.sources.shared import stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -73,6 +74,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``, each written to the shared folder and read again."""
+    importable(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
