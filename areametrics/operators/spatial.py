@@ -13,6 +13,10 @@ Cells the polygon's outline passes by and whose inside is empty give no chip. A
 one cell key, so every (location, polygon) pair meets in exactly one cell: a left outer join
 needs no dedupe.
 
+A layer of very different sizes has no good ``C``: one city border would make cells that hold
+thousands of parks. Its polygons are split into classes of like size, each with a cell side of its
+own. A location looks up the few chips of its cell in each class and takes the hits of all.
+
 Cell keys are ``floor(v / C)``, and rounding never reverses an order, so "edge key right of my
 cell" proves "edge right of me". No tolerance is needed anywhere.
 """
@@ -39,6 +43,10 @@ MIN_CELLS = 4096
 #: Chips built by one task.
 CHIPS_PER_TASK = 4096
 
+#: A layer of more polygons than this is split by size if its cells would be so many times as wide
+#: as its median polygon. Sizes within a factor of 2 ** ``CLASS_OCTAVES`` are one class.
+MIXED_FROM, MIXED_SIDE, CLASS_OCTAVES = 64, 8.0, 4
+
 _KEYS = ["_cell"]
 #: A chip with at most this many nearby edges and flips holds them as plain columns.
 _EDGES, _STEPS = 4, 2
@@ -50,13 +58,15 @@ _PARTS_TYPE = (
 
 @dataclass(frozen=True)
 class CellPlan:
-    """Cell side, number of cells the boxes of the layer cover, bytes its chips may take, and
-    whether every polygon is an axis-parallel rectangle."""
+    """Cell side, number of cells the boxes of the layer cover, bytes its chips may take,
+    whether every polygon is an axis-parallel rectangle, and whether sizes are so mixed that the
+    side is far above the usual polygon's."""
 
     cell: float
     cells: int
     bytes: int
     only_boxes: bool = False
+    mixed: bool = False
 
 
 def _spans(side: str, reach: tuple[int, int] = (0, 0)) -> str:
@@ -66,6 +76,10 @@ def _spans(side: str, reach: tuple[int, int] = (0, 0)) -> str:
     )
 
 
+def _extent_of() -> Column:
+    return F.expr("greatest(maxx - minx, maxy - miny)")
+
+
 def choose_cell(layer: DataFrame, at_least: float = 0.0) -> CellPlan:
     """The finest power-of-two cell side whose chip count fits the budget.
 
@@ -78,6 +92,7 @@ def choose_cell(layer: DataFrame, at_least: float = 0.0) -> CellPlan:
             *BBOX, joins.row_bytes(layer).alias("w"),
             F.expr(f"size(flatten(flatten({GEOM})))").alias("v"),
             F.expr(G.is_box(GEOM)).alias("box"),
+            _extent_of().alias("extent"),
         )
         .select("*", F.expr("explode(transform(sequence(-24, 24), k -> pow(2D, k)))").alias("side"))
         .groupBy("side")
@@ -85,6 +100,7 @@ def choose_cell(layer: DataFrame, at_least: float = 0.0) -> CellPlan:
             F.count("*").alias("n"),
             F.sum("v").alias("v"),
             F.bool_and("box").alias("box"),
+            F.percentile_approx("extent", 0.5).alias("usual"),
             F.expr(f"sum({_spans('side')})").alias("cells"),
             F.expr(f"sum({_spans('side')} * (w + 256 + 72 * v))").alias("bytes"),
         )
@@ -100,7 +116,8 @@ def choose_cell(layer: DataFrame, at_least: float = 0.0) -> CellPlan:
     ]
     best = (fits or allowed[-1:])[0]
     cells, size = (int(min(best[c], 2.0**62)) for c in ("cells", "bytes"))
-    return CellPlan(best["side"], cells, size, best["box"])
+    mixed = best["n"] > MIXED_FROM and best["side"] > MIXED_SIDE * best["usual"]
+    return CellPlan(best["side"], cells, size, best["box"], mixed)
 
 
 def plan_cells(
@@ -141,7 +158,7 @@ def _point_plan(layer: DataFrame, cell: float | None, keep_geom: bool, limit: in
     """Plan for point joins: the rough bound first, the closer one if that does not settle it."""
     if cell is None:
         rough = choose_cell(layer)
-        if rough.bytes <= limit:
+        if rough.bytes <= limit or rough.mixed:
             return rough
         cell = rough.cell
     return plan_cells(layer, cell, keep_geom=keep_geom)
@@ -149,8 +166,7 @@ def _point_plan(layer: DataFrame, cell: float | None, keep_geom: bool, limit: in
 
 def _spread(layer: DataFrame, plan: CellPlan) -> DataFrame:
     """Share chip making among tasks: layers often come from one file, read by one task."""
-    most = 4 * layer.sparkSession.sparkContext.defaultParallelism
-    tasks = min(most, plan.cells // CHIPS_PER_TASK)
+    tasks = plan.cells // CHIPS_PER_TASK
     return layer.repartition(tasks) if tasks > 1 else layer
 
 
@@ -329,6 +345,53 @@ def _join_points(
     )
 
 
+def size_classes(layer: DataFrame) -> list[DataFrame]:
+    """The layer's polygons by size, smallest first; each class spans a factor of
+    2 ** ``CLASS_OCTAVES``, so there are a dozen at most over all sizes that cells can have."""
+    octave = F.floor(F.log2(F.greatest(_extent_of(), F.lit(2.0**-24))) / CLASS_OCTAVES)
+    named = layer.where(F.col("minx").isNotNull()).withColumn(
+        "_class", F.least(octave, F.lit(24 // CLASS_OCTAVES)).cast("int")
+    )
+    found = sorted(r["_class"] for r in named.select("_class").distinct().collect())
+    return [named.where(F.col("_class") == c).drop("_class") for c in found]
+
+
+def _join_mixed(
+    points: DataFrame, layer: DataFrame, closed: bool, keep_geom: bool, how: str, limit: int,
+    heavy_rows: int,
+) -> DataFrame:
+    """Points to polygons of mixed sizes. Each class's chips are gathered by cell (few, since its
+    cells are about as wide as its polygons), so every join is to one row at most and the points
+    never multiply; the hits of all classes are then unfolded once."""
+    lo, hi = ("<=", ">=") if closed else ("<", ">")
+    in_box = f"_px {hi} r.minx AND _px {lo} r.maxx AND _py {hi} r.miny AND _py {lo} r.maxy"
+    fold = G.parity("p.local", "_px", "_py", "p.base + size(filter(p.steps, t -> t <= _py))")
+    test = (
+        f"r._cx = _cx AND r._cy = _cy AND CASE WHEN r._full THEN true WHEN r._box THEN {in_box} "
+        f"ELSE exists(r._parts, p -> ({fold}) % 2 {'<> 0' if closed else '= 1'}) END"
+    )
+    names = [c for c in layer.columns if keep_geom or c != GEOM]
+    hit = "named_struct(" + ", ".join(f"'{c}', r.`{c}`" for c in names) + ")"
+    out, hits = points, []
+    for i, part in enumerate(size_classes(layer)):
+        plan = choose_cell(part)
+        made = chips(_spread(part, plan), plan.cell, keep_geom=keep_geom)
+        held = made.groupBy("_cell").agg(F.collect_list(F.struct("*")).alias("_chips"))
+        keyed = _point_keys(out, plan.cell)
+        joined = joins.sized_join(
+            keyed, held, _KEYS, None, "left", right_bytes=plan.bytes, limit=limit, heavy_rows=heavy_rows
+        ).select("l.*", "_chips")
+        found = F.expr(f"transform(filter(coalesce(_chips, array()), r -> {test}), r -> {hit})")
+        out = joined.withColumn(f"_hits{i}", found).select(*[f"`{c}`" for c in out.columns], f"_hits{i}")
+        hits.append(f"_hits{i}")
+    every = F.concat(*hits)
+    if how == "left_semi":
+        return out.where(F.size(every) > 0).select(*[f"`{c}`" for c in points.columns])
+    unfold = F.explode_outer if how == "left" else F.explode
+    flat = out.select(F.struct(*[f"`{c}`" for c in points.columns]).alias("l"), unfold(every).alias("r"))
+    return flat.select(*_joined_columns(points.columns, names))
+
+
 def _box_in_chip() -> Column:
     b = [f"l.{c}" for c in BBOX]
     x, y = f"(({b[0]} + {b[2]}) / 2)", f"(({b[1]} + {b[3]}) / 2)"
@@ -438,8 +501,10 @@ def points_in_polygons(
     """
     limit = joins.BROADCAST_BYTES if limit is None else limit
     plan = _point_plan(layer, cell, keep_geom, limit)
-    joined = _join_points(points, layer, plan, False, keep_geom, how, limit, heavy_rows)
     names = [c for c in layer.columns if keep_geom or c != GEOM]
+    if plan.mixed:
+        return _join_mixed(points, layer, False, keep_geom, how, limit, heavy_rows)
+    joined = _join_points(points, layer, plan, False, keep_geom, how, limit, heavy_rows)
     return joined.select(*_joined_columns(points.columns, names))
 
 
@@ -506,6 +571,8 @@ def clip_points(
     limit = joins.BROADCAST_BYTES if limit is None else limit
     region = region.select(GEOM, *BBOX)
     plan = _point_plan(region, cell, False, limit)
+    if plan.mixed:
+        return _join_mixed(points, region, True, False, "left_semi", limit, heavy_rows)
     kept = _join_points(points, region, plan, True, False, "left_semi", limit, heavy_rows)
     return kept.select(*[f"`{c}`" for c in points.columns])
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from areametrics.functions import crs
+from areametrics.functions import geometry as G
 from areametrics.operators import layers as L
 from areametrics.operators import metrics as M
 from areametrics.operators import projection as P
@@ -247,6 +248,17 @@ def colliding_names(spark, d):
     return joined.select("gbifID", "species", "park_id", "species_1")
 
 
+@query
+def mixed_sjoin(spark, d):
+    """Plots and, around them all, one large rectangle."""
+    plots = D.plots(spark, d).select(F.col("OBJECTID").alias("plot_id"), GEOM, *BBOX)
+    world = spark.range(1).select(
+        F.lit(-1).cast("long").alias("plot_id"), G.rectangle("-180D", "-90D", "0.7D", "90D").alias(GEOM)
+    ).withColumns(G.polygon_bbox(GEOM))
+    joined = S.points_in_polygons(_points(spark, d), plots.unionByName(world), keep_geom=False)
+    return joined.select("gbifID", "species", "plot_id")
+
+
 #: Settings under which joins shuffle and keys of the test tables are heavy.
 _SHUFFLED = {"limit": -1, "heavy_rows": 500}
 

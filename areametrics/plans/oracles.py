@@ -329,6 +329,9 @@ n.qr_id, n.qr_name, n.minx, n.maxx FROM joined j LEFT JOIN nbhd n
 ON j.minx >= n.minx AND j.maxx <= n.maxx AND j.miny >= n.miny AND j.maxy <= n.maxy""",
         "plot_sjoin": _with(_OCC, _PLOT_EDGES, _PLOT_HITS) + """SELECT "gbifID", species,
 h."OBJECTID" AS plot_id FROM occ o LEFT JOIN hit h ON o.x = h.x AND o.y = h.y""",
+        "mixed_sjoin": _with(_OCC, _PLOT_EDGES, _PLOT_HITS) + """SELECT "gbifID", species,
+h."OBJECTID" AS plot_id FROM occ o LEFT JOIN (SELECT * FROM hit UNION ALL
+SELECT DISTINCT x, y, -1 FROM occ WHERE x < 0.7) h ON o.x = h.x AND o.y = h.y""",
         "plot_metrics": _with(
             _OCC, _PLOT_EDGES, _PLOT_HITS,
             'joined AS (SELECT o.*, h."OBJECTID" AS plot_id FROM occ o JOIN hit h '

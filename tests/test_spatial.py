@@ -246,3 +246,38 @@ def test_heavy_keys_are_split_without_loss(spark):
     joined = joins.sized_join(left, right, ["k"], limit=0, heavy_rows=100)
     assert joined.count() == 1000
     assert joined.where("w <> l.k * 2").count() == 0
+
+
+def test_mixed_sizes(spark):
+    """Many small squares inside one large rectangle: no cell holds many chips, same answers."""
+    shapes = {f"s{i}": [[square(i % 50, i // 50, 0.9)]] for i in range(2000)}
+    shapes["ell"] = [[ring((0, 0), (30, 0), (30, 10), (10, 10), (10, 30), (0, 30))]]
+    shapes["world"] = [[ring((-1000, -1000), (1000, -1000), (1000, 1000), (-1000, 1000))]]
+    polygons = layer(spark, shapes)
+    assert S.choose_cell(polygons).mixed
+    for part in S.size_classes(polygons):
+        made = S.chips(part, S.choose_cell(part).cell)
+        assert made.groupBy("_cell").count().agg({"count": "max"}).first()[0] <= 16
+    rows = [(i, ((i * 37 % 1000) / 17, (i * 91 % 1000) / 19)) for i in range(500)]
+    rows += [(500, None), (501, (5000.0, 0.0)), (502, (30.0, 5.0)), (503, (0.9, 0.5)), (504, (float("nan"), 1.0))]
+    df = points(spark, rows)
+
+    def inside(x, y, closed):
+        lt = (lambda a, b: a <= b) if closed else (lambda a, b: a < b)
+        hits = {n for n in shapes if n[0] == "s" and all(
+            lt(lo, v) and lt(v, lo + 0.9) for lo, v in zip(shapes[n][0][0][0], (x, y)))}
+        if lt(-1000, x) and lt(x, 1000) and lt(-1000, y) and lt(y, 1000):
+            hits.add("world")
+        if lt(0, x) and lt(0, y) and (lt(x, 30) and lt(y, 10) or lt(x, 10) and lt(y, 30)):
+            hits.add("ell")
+        return hits
+
+    want = []
+    for i, p in rows:
+        hits = inside(*p, False) if p and p[0] == p[0] else set()
+        want += [(i, h) for h in hits] or [(i, None)]
+    for limit in (None, -1):
+        got = S.points_in_polygons(df, polygons, limit=limit)
+        assert sorted((r["id"], r["pid"] or "") for r in got.collect()) == sorted((i, h or "") for i, h in want)
+        kept = {r["id"] for r in S.clip_points(df, polygons, limit=limit).collect()}
+        assert kept == {i for i, p in rows if p and p[0] == p[0] and inside(*p, True)}
