@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from areametrics.llm import bpe, chat, lattice, minhash, packing, quality, rules, suffixes, toxicity, urls
 from areametrics.llm.common import importable
@@ -100,4 +101,5 @@ def op9_chat(spark, d):
 
 @query
 def op10_rules(spark, d):
-    return rules.judge(table(spark, d, "documents"))
+    found = rules.judge(table(spark, d, "documents"))
+    return found.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
