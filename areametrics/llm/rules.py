@@ -46,7 +46,7 @@ _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
 #: Reject above these distances, from these lengths on.
-CLASS_DISTANCE, CLASS_MIN_CHARS = 0.3, 200
+CLASS_DISTANCE, CLASS_MIN_CHARS = 0.33, 200
 WORD_DISTANCE, WORD_MIN_WORDS = 0.45, 100
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
 
