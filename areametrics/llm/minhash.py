@@ -10,13 +10,14 @@ are the candidate keys: at similarity 0.8 a pair shares none of the 32 bands wit
 Texts of equal shingle sets are one class (128-bit set hash), compared once. Candidates:
 
 1. each class with the least class of each of its bands;
-2. in bands that still hold several components, all pairs of different components whose registers
+2. in bands that still hold several components, pairs of different components whose registers
    agree well enough: the Jaccard estimate, corrected for chance collisions of registers, is at
    most ``MARGIN`` (over four standard errors) under the threshold.
 
 Every candidate is confirmed on the full shingle sets of the whole texts. Links among members of
 one component are not looked for again, so copies are never expanded into all pairs, and no band
-or group is capped. Bands with many rows are compared in blocks of bounded size.
+or group is capped. Bands with many rows are compared in blocks of bounded size, and pairs that
+fail never leave their block.
 
 Null and empty texts have no shingles and link with nothing; a text with fewer words than a shingle
 is one shingle. Repeated keys are one document; a null key keeps its row and links with nothing.
@@ -41,6 +42,8 @@ from areametrics.sources.shared import stored
 REGISTERS, MANTISSA, ROWS, SEED = 192, 10, 6, 11
 BANDS = REGISTERS // ROWS
 MARGIN = 0.125
+#: Rows of a band that are compared at a time, with their texts.
+TEXT_BLOCK = 600
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -175,6 +178,16 @@ def likely(pairs: DataFrame, regs: DataFrame, threshold: float) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """``100 * intersection >= percent * union`` of two sorted sets."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x) or 100 * len(x) < percent * len(y):
+        return False
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
     """The pairs with ``100 * intersection >= percent * union`` on the sets of whole texts."""
     left, right = (texts.select(F.col("rep").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
@@ -191,32 +204,34 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> Da
 
     def run(batches):
         for batch in batches:
-            good = []
-            for x, y in zip(sets(batch.column(2)), sets(batch.column(3))):
-                if len(x) > len(y):
-                    x, y = y, x
-                if 100 * len(x) < percent * len(y) or not len(x):
-                    good.append(False)
-                    continue
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both = int((y[at] == x).sum())
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
+            good = [
+                similar(x, y, percent) for x, y in zip(sets(batch.column(2)), sets(batch.column(3)))
+            ]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
     return joined.mapInArrow(run, "a long, b long")
 
 
-def near_pairs(shared: DataFrame, reps: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of different components in one band that the registers do not rule out, each from
-    the first band it shares. ``shared`` has ``band`` and ``rep``."""
+def near_links(
+    shared: DataFrame, reps: DataFrame, parts: DataFrame, texts: DataFrame, percent: int, size: int
+) -> DataFrame:
+    """Links between different components that share a band. ``shared`` has ``band`` and ``rep``.
+
+    A pair is looked at in the first band it shares, if its registers do not rule it out, and
+    confirmed on its full sets there and then; once two components are linked within a block, no
+    other pair of theirs is looked at. So what comes out grows with the rows, not with the pairs.
+    """
+    threshold = percent / 100
     named = shared.join(parts, F.col("rep") == F.col("id"), "left").select(
         "band", "rep", F.coalesce("component", "rep").alias("component")
     )
     open_ = named.groupBy("band").agg(
         F.min("component").alias("x"), F.max("component").alias("y")
     ).where("x <> y").select("band")
-    rows = named.join(open_, "band").join(reps.select("rep", "n_shingles", "regs"), "rep")
+    rows = named.join(open_, "band").join(
+        reps.select("rep", "n_shingles", "regs").join(texts, "rep"), "rep"
+    )
 
     def work(table, left, right):
         ids = table.column("rep").to_numpy()
@@ -226,27 +241,43 @@ def near_pairs(shared: DataFrame, reps: DataFrame, parts: DataFrame, threshold:
         keys = band_keys(regs)
         band = np.int64(table.column("band")[0].as_py()).view(np.uint64)
         place = int(np.argmax((keys == band).any(axis=0)))
-        a, b = [], []
+        texts_ = table.column("text")
+        sets: dict[int, np.ndarray] = {}
+        up: dict[int, int] = {}
+
+        def find(x):
+            while x in up:
+                x = up[x]
+            return x
+
+        def shingled(i):
+            if i not in sets:
+                raw = np.frombuffer(texts_[i].as_py().encode(), np.uint8)
+                sets[i] = np.sort(shingles(raw, np.array([0, len(raw)]), size)[0])
+            return sets[i]
+
+        found = []
         for i in left.tolist():
-            other = right[(part[right] != part[i]) & (ids[right] > ids[i])] if left is right else right[part[right] != part[i]]
-            low = np.minimum(sizes[other], sizes[i]) >= threshold * np.maximum(sizes[other], sizes[i]) - 1e-9
-            other = other[low]
+            other = right[part[right] != part[i]]
+            if left is right:
+                other = other[other > i]
+            fits = np.minimum(sizes[other], sizes[i]) >= threshold * np.maximum(sizes[other], sizes[i]) - 1e-9
+            other = other[fits]
             if not len(other):
                 continue
-            good = estimate((regs[other] == regs[i]).sum(axis=1)) >= threshold - MARGIN
-            other = other[good]
-            first = (keys[other] == keys[i]).argmax(axis=1) == place
-            other = other[first]
-            a.append(np.full(len(other), ids[i]))
-            b.append(ids[other])
-        none = np.zeros(0, np.int64)
-        a, b = np.concatenate(a or [none]), np.concatenate(b or [none])
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"]
-        )
+            other = other[estimate((regs[other] == regs[i]).sum(axis=1)) >= threshold - MARGIN]
+            other = other[(keys[other] == keys[i]).argmax(axis=1) == place]
+            for j in other.tolist():
+                x, y = find(int(part[i])), find(int(part[j]))
+                if x != y and similar(shingled(i), shingled(j), percent):
+                    up[max(x, y)] = min(x, y)
+                    found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+        a, b = zip(*found) if found else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return blocks.compared(
-        rows, "band", "rep", ["rep", "component", "n_shingles", "regs"], work, "a long, b long"
+        rows, "band", "rep", ["rep", "component", "n_shingles", "regs", "text"], work,
+        "a long, b long", TEXT_BLOCK,
     )
 
 
@@ -273,8 +304,9 @@ def judge(
     threshold = percent / 100
     first = stored(confirmed(likely(stars, reps, threshold), texts, percent, size), "confirmed")
     parts = components(first)
-    rest = near_pairs(shared.select("band", "rep"), reps, parts, threshold)
-    second = stored(confirmed(rest, texts, percent, size), "confirmed")
+    second = stored(
+        near_links(shared.select("band", "rep"), reps, parts, texts, percent, size), "confirmed"
+    )
     parts = components(first.unionByName(second))
     whole = reps.select("s1", "s2", F.col("n_shingles").alias("n"), "rep").join(
         parts, F.col("rep") == F.col("id"), "left"
