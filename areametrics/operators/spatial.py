@@ -34,6 +34,7 @@ from areametrics.functions import geometry as G
 from areametrics.operators import joins
 from areametrics.operators.projection import set_bbox
 from areametrics.schemas import BBOX, GEOM
+from areametrics.sources.shared import stored
 
 #: The automatic cell side may make this many chips per polygon, one per this many vertices, or
 #: ``MIN_CELLS`` in all, whichever is most: chips stay in proportion to the layer.
@@ -546,12 +547,14 @@ def cells_in_polygons(
     """Same answer as :func:`boxes_in_polygons` for rows that carry a grid cell.
 
     Containment depends on the cell alone, so it is decided once per cell of ``cells`` and the
-    rows then join by ``cell_key``: geometry work grows with the grid, not with the rows.
+    rows then join by ``cell_key``: geometry work grows with the grid, not with the rows. The
+    pairs of cell and polygon are written to the shared folder, so that measuring and joining them
+    does not find them twice.
     """
-    pairs = boxes_in_polygons(
+    pairs = stored(boxes_in_polygons(
         cells.select(F.col(cell_key).alias("_row"), *BBOX), layer, cell, keep_geom,
         limit, heavy_rows, how="inner",
-    )
+    ), "cell_pairs")
     names = [c for c in layer.columns if keep_geom or c != GEOM]
     joined = joins.sized_join(
         rows.withColumn("_row", F.col(cell_key)), pairs, ["_row"], None, "left",

@@ -1,4 +1,7 @@
-"""Tables written between jobs, in the folder that all executors share."""
+"""Tables written between jobs, in the folder that all executors share.
+
+They stay until the folder is cleared, since a DataFrame may read them at any later time.
+"""
 
 from __future__ import annotations
 
@@ -39,9 +42,3 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a table that :func:`new_path` named."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
