@@ -53,7 +53,8 @@ def test_repeats_are_removed(spark, wide):
 
 
 def test_groups_hold_all_occurrences(spark):
-    texts = {i: f"{chr(97 + i) * 20}{'the shared passage ' * 9}{chr(107 + i) * 20}" for i in range(5)}
+    passage = " ".join(f"word{i}" for i in range(25))
+    texts = {i: f"{chr(97 + i) * 20}{passage}{chr(107 + i) * 20}" for i in range(5)}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     groups = {}
     for r in suffixes.repeat_groups(df).collect():
@@ -67,7 +68,7 @@ def test_groups_hold_all_occurrences(spark):
 
 def test_suffix_array_against_sorting():
     rng = np.random.default_rng(4)
-    pieces = [bytes(rng.integers(97, 99, n)) for n in (30, 1, 9, 64, 17, 40, 8)] + [b"\0" * 12, b"\0" * 20]
+    pieces = [rng.integers(97, 99, n).astype(np.uint8).tobytes() for n in (30, 1, 9, 64, 17, 40, 8)] + [b"\0" * 12, b"\0" * 20]
     offsets = np.append(0, np.cumsum([len(p) for p in pieces]))
     data = np.frombuffer(b"".join(pieces), np.uint8)
     array = suffixes.SuffixArray(data, offsets, np.arange(len(data)))
