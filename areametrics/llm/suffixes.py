@@ -39,8 +39,9 @@ from areametrics.sources.shared import stored
 GRAM = 32
 #: More different stretches of one run than this are taken apart.
 WIDE = 10_000
-#: A suffix array is built over about so many bytes at a time, never less than a run's stretches.
-ARRAY_BYTES = 1 << 20
+#: A suffix array is built over about so many bytes at a time; all stretches of a run that is not
+#: wide have less.
+ARRAY_BYTES = 1 << 21
 NULL_ID = -(1 << 63)
 
 _PLACE_BITS = np.uint64(28)
@@ -149,7 +150,8 @@ def _sorted_out(rows: DataFrame) -> DataFrame:
     other classes too, with the number of these."""
     own = Window.partitionBy("run", "stretch").orderBy("id", "place")
     run = Window.partitionBy("run")
-    marked = rows.withColumn("nth", F.row_number().over(own)).withColumn(
+    # Dealt by run, rows lie right for both windows.
+    marked = rows.repartition("run").withColumn("nth", F.row_number().over(own)).withColumn(
         "stretches", F.sum(F.when((F.col("nth") == 1) & (F.col("place") >= 0), 1).otherwise(0)).over(run)
     )
     return marked.where("place < 0 OR nth > 1 OR stretches > 1").select(
@@ -240,7 +242,8 @@ class SuffixArray:
         for i in range(8):
             byte = np.where(self.left > i, padded[i : i + n], 0).astype(np.uint64)
             head = (head << np.uint64(8)) | byte
-        mark = np.where(self.left < 8, np.arange(1, n + 1), 0)
+        # Of equal heads the shorter suffix comes first, then each end mark by itself.
+        mark = np.where(self.left < 8, self.left * (n + 1) + np.arange(1, n + 1), 8 * (n + 1))
         ranks = self._ranks(mark, head)
         self.levels, size = [(8, ranks)], 8
         while size <= sizes.max():
