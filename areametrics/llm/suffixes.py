@@ -38,10 +38,10 @@ from areametrics.sources.shared import stored
 
 GRAM = 32
 #: More different stretches of one run than this are taken apart.
-WIDE = 10_000
+WIDE = 5_000
 #: A suffix array is built over about so many bytes at a time; all stretches of a run that is not
 #: wide have less.
-ARRAY_BYTES = 1 << 21
+ARRAY_BYTES = 1 << 20
 NULL_ID = -(1 << 63)
 
 _PLACE_BITS = np.uint64(28)
@@ -247,7 +247,7 @@ class SuffixArray:
         ranks = self._ranks(mark, head)
         self.levels, size = [(8, ranks)], 8
         while size <= sizes.max():
-            ahead = np.zeros(n, dtype=np.int64)
+            ahead = np.zeros(n, dtype=np.int32)
             ahead[: n - size] = ranks[size:] + 1
             # Of a suffix that ends before ``size`` bytes the rank is its own already.
             ranks = self._ranks(np.where(self.left > size, ahead, 0), ranks)
@@ -260,7 +260,7 @@ class SuffixArray:
     def _ranks(second: np.ndarray, first: np.ndarray) -> np.ndarray:
         order = np.lexsort((second, first))
         a, b = first[order], second[order]
-        out = np.empty(len(order), dtype=np.int64)
+        out = np.empty(len(order), dtype=np.int32)
         out[order] = np.append(0, np.cumsum((a[1:] != a[:-1]) | (b[1:] != b[:-1])))
         return out
 
