@@ -101,5 +101,5 @@ def op9_chat(spark, d):
 
 @query
 def op10_rules(spark, d):
-    found = rules.judge(table(spark, d, "documents"))
+    found = rules.judge(table(spark, d, "documents")).drop("kept_strict")
     return found.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})

@@ -32,8 +32,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep."""
-    return _only(docs, rules.judge(docs).where("kept"))
+    """Documents that the rules keep, by their strict limits too."""
+    return _only(docs, rules.judge(docs).where("kept_strict"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from areametrics.llm import bpe, packing, rules, suffixes
 from areametrics.llm.units import Units
 from llm_cases import SCHEMA, awkward, documents, sample, texts_by_id
@@ -212,6 +213,25 @@ def test_rules(spark):
         assert 0 <= r["class_distance"] <= 1 and 0 <= r["word_distance"] <= 1
 
 
+def test_lists_of_uncommon_words_are_rejected(spark):
+    prose = "the house {0} view {1} of town {2} small {3} garden {4} and"
+    text = lambda i: " ".join(prose.format(*(f"q{131 * i + 5 * j + k}z" for k in range(5))) for j in range(12))
+    rows = [(i, text(i), "en", "s", None) for i in range(40)]
+    plain = " ".join(w for w in text(99).split() if w not in rules.COMMON_WORDS["en"])
+    listed = " ".join([plain] + [f"q{i}z view house" for i in range(90)])
+    rows += [(100, listed, "en", "s", None), (101, "q1z q2z q3z house view town " * 2, "en", "s", None)]
+    df = documents(spark, rows)
+    got = {r["doc_id"]: r for r in rules.judge(df).collect()}
+    r = got[100]
+    limit = rules.CLASS_DISTANCE * rules.CLASS_SHARE
+    assert not r["base_failed"] and r["n_words"] >= 100 and r["class_distance"] < limit
+    assert r["kept"] and not r["kept_strict"]
+    assert not any(got[i]["base_failed"] for i in range(40))
+    assert all(got[i]["kept_strict"] for i in range(40))
+    passed = corpus_pipeline.quality_rules(spark, df, "").select("doc_id").collect()
+    assert {r[0] for r in passed} == {k for k, r in got.items() if r["kept_strict"]}
+
+
 def test_distance(spark):
     a, b = [3, 0, 1, 0], [1, 1, 0, 0]
     df = spark.createDataFrame([(a, b), (a, a), ([1, 0], [0, 5]), ([0, 0], [1, 2])], "x array<long>, y array<long>")
