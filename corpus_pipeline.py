@@ -58,7 +58,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 2048 token ids, a row per piece."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1, with_ids=False)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
 
 
 STAGES = [

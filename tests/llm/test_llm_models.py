@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import re
+import zlib
 
 import public_tokenizers
 import pyarrow.parquet as pq
@@ -176,6 +177,15 @@ def test_chat(spark):
     assert chat.read_back(chat.windows(none, BYTE)).collect() == []
 
 
+def test_pipeline_returns_token_ids(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i} " * 900, "en", "s", None) for i in range(4)], SCHEMA)
+    rows = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    for r in rows:
+        assert len(r["ids"]) == r["length"]
+        assert zlib.crc32(b"".join(x.to_bytes(4, "little") for x in r["ids"])) == r["ids_crc32"]
+    assert {r["doc_id"] for r in rows} == set(range(4))
+
+
 def test_pipeline_stages(spark, tmp_path):
     rows = sample() + awkward()
     documents(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
