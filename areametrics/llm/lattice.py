@@ -3,13 +3,13 @@
 Each of ``TABLES`` random projections takes a unit vector to eight dimensions, scaled, where the
 nearest point of the E8 lattice is found; E8 has the densest packing there, so its cells are rounder
 than a grid's and near vectors share one more often. A vector is entered under its own cell and
-under the ``PROBES`` neighbouring cells that lie nearest to it. Vectors of one label that share an
+under the ``PROBES`` neighbouring cells that lie nearest to it. Vectors of one label and length that share an
 entry are compared by cosine in double precision, in blocks of bounded size. A pair that shares
 several entries counts at the least of them only.
 
 Equal vectors of a label are one class; their links to each other are counted, not compared.
 
-Vectors that are null, zero or of another length than most, or that hold nulls or non-finite
+Vectors of different lengths do not link. Vectors that are null or zero, or that hold nulls or non-finite
 numbers, and vectors whose label is null, link with nothing and keep their row. Repeated ids are
 one vector (its least embedding and label); a null id keeps its row, without links. An empty table
 gives no rows.
@@ -61,7 +61,10 @@ def nearest(y: np.ndarray) -> np.ndarray:
 
 
 def entries(vectors: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Keys of unit vectors, ``TABLES * (1 + PROBES)`` a row: hashes of table, label and cell."""
+    """Keys of unit vectors, ``TABLES * (1 + PROBES)`` a row: hashes of table, label, length and
+    cell. Fewer than eight components are padded with zeros."""
+    width = vectors.shape[1]
+    vectors = np.pad(vectors, ((0, 0), (0, max(0, 8 - width))))
     out = []
     for t in range(TABLES):
         rng = np.random.default_rng(SEED + t)
@@ -73,6 +76,7 @@ def entries(vectors: np.ndarray, labels: np.ndarray) -> np.ndarray:
         around = np.concatenate([cell[:, None], cell[:, None] + _ROOTS[order]], axis=1)
         doubled = np.rint(around * 2).astype(np.int64).astype(np.uint64)
         key = mixed(labels.astype(np.int64).astype(np.uint64) + np.uint64(t << 40))[:, None]
+        key = mixed(key + np.uint64(width))
         for k in range(8):
             key = mixed(key + doubled[:, :, k] + np.uint64(k + 1))
         out.append(key)
@@ -99,28 +103,28 @@ def _classes(df: DataFrame, key: str, vector: str, label: str) -> tuple[DataFram
 def links(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
     """``a``, ``b``, ``n``: with null ``b``, ``n`` vectors in other classes are linked with those of
     class ``a`` (to be summed); else a link of classes, enough of them for the components."""
-    size = F.size("v")
-    width = classes.groupBy(size.alias("w")).count().orderBy(F.desc("count"), "w").first()
-    width = width["w"] if width else 0
 
     def run(batches):
         for batch in batches:
-            n = len(batch)
-            raw = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            vectors = raw.reshape(n, width)
-            vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)
-            vectors = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-            found = np.sort(entries(vectors, batch.column(3).to_numpy(zero_copy_only=False)), axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), batch.column(1),
-                    lists(vectors.ravel(), np.full(n, width), pa.float64()),
-                    lists(found.view(np.int64).ravel(), np.full(n, found.shape[1]), pa.int64()),
-                ],
-                ["rep", "size", "v", "keys"],
-            )
-
-    keyed = classes.where(size == width).select("rep", "size", "v", "l").mapInArrow(
+            lengths = np.diff(batch.column(2).offsets.to_numpy())
+            for width in np.unique(lengths).tolist():
+                part = batch.take(pa.array(np.flatnonzero(lengths == width)))
+                n = len(part)
+                raw = part.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                vectors = raw.reshape(n, width)
+                vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+                vectors = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+                found = np.sort(entries(vectors, part.column(3).to_numpy(zero_copy_only=False)), axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0), part.column(1),
+                        lists(vectors.ravel(), np.full(n, width), pa.float64()),
+                        lists(found.view(np.int64).ravel(), np.full(n, found.shape[1]), pa.int64()),
+                    ],
+                    ["rep", "size", "v", "keys"],
+                )
+
+    keyed = classes.select("rep", "size", "v", "l").mapInArrow(
         run, "rep long, size long, v array<double>, keys array<long>"
     )
     keyed = stored(keyed, "entries")
@@ -132,11 +136,16 @@ def links(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
     def work(table, left, right):
         ids, sizes = table.column("rep").to_numpy(), table.column("size").to_numpy()
         n = len(ids)
-        vectors = table.column("v").combine_chunks().flatten().to_numpy().reshape(n, width)
+        listed = table.column("v").combine_chunks()
+        lengths = np.diff(listed.offsets.to_numpy())
+        # Entries of different lengths could only be equal by chance; then rows are padded, and not linked.
+        vectors = np.zeros((n, lengths.max(initial=0)))
+        vectors[np.arange(vectors.shape[1]) < lengths[:, None]] = listed.flatten().to_numpy()
         keys = table.column("keys").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(n, -1)
         entry = np.int64(table.column("entry")[0].as_py()).view(np.uint64)
         near = vectors[left] @ vectors[right].T >= cosine
         near &= ids[left][:, None] != ids[right][None, :]
+        near &= lengths[left][:, None] == lengths[right][None, :]
         # Pairs that share a lesser entry are counted there.
         lesser = np.where(keys < entry, keys, entry)
         names, place = np.unique(lesser, return_inverse=True)

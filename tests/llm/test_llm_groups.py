@@ -153,6 +153,24 @@ def test_lattice(spark):
     assert all(v[2] == (v[1] == k) for k, v in got.items())
 
 
+def test_lattice_compares_each_length(spark):
+    rng = np.random.default_rng(9)
+    rows, want = [], {}
+    for width, pairs in ((24, 12), (12, 8), (3, 1), (1, 1)):
+        for _ in range(pairs):
+            v, i = rng.standard_normal(width), len(rows)
+            near = v * rng.uniform(2, 3) if width < 8 else v + rng.standard_normal(width) * 0.005
+            rows += [(i, v.tolist(), width), (i + 1, near.tolist(), width)]
+            want[i], want[i + 1] = (1, i), (1, i)
+    n = len(rows)
+    # Of one label, but not of one length.
+    rows += [(n, [1.0] + [0.0] * 8, 99), (n + 1, [1.0] + [0.0] * 7, 99), (n + 2, [1.0], 99)]
+    want |= {n + i: (0, n + i) for i in range(3)}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in lattice.judge(df.repartition(2)).collect()}
+    assert got == want
+
+
 def test_lattice_points_are_nearest():
     rng = np.random.default_rng(7)
     y = rng.uniform(-3, 3, (300, 8))
