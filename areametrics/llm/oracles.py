@@ -114,8 +114,16 @@ AND NOT (word_chars >= {rules.CLASS_MIN_CHARS} AND cd > {rules.CLASS_DISTANCE})
 AND NOT (n_words >= {rules.WORD_MIN_WORDS} AND wd > {rules.WORD_DISTANCE}) AS kept FROM far"""
 
 
+_TOPK = """WITH v AS (SELECT vec_id AS id, list_transform(CAST(embedding AS DOUBLE[]),
+lambda x: CAST(floor(1024 * x) AS BIGINT)) AS e FROM embeddings),
+s AS (SELECT q.id AS query_id, c.id AS vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e),
+lambda z: z[1] * z[2])) AS BIGINT) AS score FROM v q JOIN v c ON q.id <> c.id WHERE q.id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, CAST(n AS INT) AS rank, vec_id, score FROM r WHERE n <= 10"""
+
+
 def oracles() -> dict[str, str]:
     return {
         "op1_suffixes": _SUFFIXES, "op4_minhash": _MINHASH, "op8_lattice": _LATTICE,
-        "op10_rules": _rules(),
+        "op10_rules": _rules(), "op13_topk": _TOPK,
     }

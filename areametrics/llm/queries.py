@@ -9,7 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areametrics.llm import bpe, chat, lattice, minhash, packing, quality, rules, suffixes, toxicity, urls
+from areametrics.llm import (
+    bpe, chat, lattice, minhash, packing, quality, rules, suffixes, topk, toxicity, urls,
+)
 from areametrics.llm.common import importable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,3 +105,9 @@ def op9_chat(spark, d):
 def op10_rules(spark, d):
     found = rules.judge(table(spark, d, "documents")).drop("kept_strict")
     return found.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
+
+
+@query
+def op13_topk(spark, d):
+    rows = table(spark, d, "embeddings")
+    return topk.search(rows, rows.where("vec_id % 100 = 0"))
