@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from areametrics.llm import (
-    bpe, chat, lattice, minhash, packing, quality, rules, suffixes, topk, toxicity, urls,
+    bpe, chat, lattice, minhash, packing, quality, rules, suffixes, topk, toxicity, trie, urls,
 )
 from areametrics.llm.common import importable
 
@@ -111,3 +111,8 @@ def op10_rules(spark, d):
 def op13_topk(spark, d):
     rows = table(spark, d, "embeddings")
     return topk.search(rows, rows.where("vec_id % 100 = 0"))
+
+
+@query
+def op11_trie(spark, d):
+    return trie.rebuilt_trie(table(spark, d, "conversations"))
