@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from areametrics.llm import (
-    bpe, chat, lattice, minhash, packing, quality, rules, suffixes, topk, toxicity, trie, urls,
+    alignment, bpe, chat, lattice, minhash, packing, quality, rules, suffixes, topk, toxicity, trie, urls,
 )
 from areametrics.llm.common import importable
 
@@ -108,11 +108,19 @@ def op10_rules(spark, d):
 
 
 @query
-def op13_topk(spark, d):
-    rows = table(spark, d, "embeddings")
-    return topk.search(rows, rows.where("vec_id % 100 = 0"))
+def op11_trie(spark, d):
+    return trie.rebuilt_trie(table(spark, d, "conversations"))
 
 
 @query
-def op11_trie(spark, d):
-    return trie.rebuilt_trie(table(spark, d, "conversations"))
+def op12_alignment(spark, d):
+    return alignment.align(
+        table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"),
+    )
+
+
+@query
+def op13_topk(spark, d):
+    rows = table(spark, d, "embeddings")
+    return topk.search(rows, rows.where("vec_id % 100 = 0"))
