@@ -16,6 +16,7 @@ from areametrics.functions import crs
 from areametrics.functions import geometry as G
 from areametrics.operators import layers as L
 from areametrics.operators import metrics as M
+from areametrics.operators import overlay as O
 from areametrics.operators import projection as P
 from areametrics.operators import spatial as S
 from areametrics.plans import build as B
@@ -491,3 +492,41 @@ def species_search(spark, d):
     return M.search(_occurrences(spark, d), "species", "Bolt").select(
         "gbifID", "species", "park_name"
     )
+
+
+# --- overlay of outlines --------------------------------------------------------------------
+
+def _outline_facts() -> list[Column]:
+    """Area in lattice units, corners, and shells less holes: what a union looks like to others."""
+    return [
+        F.expr(f"CAST(round({O.area()} * 1048576) AS BIGINT)").alias("area_units"),
+        F.expr(f"CAST(size(flatten(flatten({GEOM}))) - size(flatten({GEOM})) AS BIGINT)").alias("vertices"),
+        F.expr(f"CAST(2 * size({GEOM}) - size(flatten({GEOM})) AS BIGINT)").alias("euler"),
+    ]
+
+
+@query
+def dissolve_lots(spark, d):
+    """Lots of a name as one outline, without the borders between them."""
+    return O.dissolve(D.lots(spark, d), "Nom", "lot_id").select("Nom", *_outline_facts())
+
+
+@query
+def union_lots(spark, d):
+    """All lots and zones as one layer without inner borders, summed over its parts."""
+    both = D.lots(spark, d).select(GEOM, *BBOX).unionByName(D.zones(spark, d).select(GEOM, *BBOX))
+    facts = O.union(both).select(*_outline_facts())
+    return facts.agg(*[F.sum(c).alias(c) for c in ("area_units", "vertices", "euler")])
+
+
+@query
+def clip_lots_cut(spark, d):
+    """Lots cut to the zones."""
+    return O.cut(D.lots(spark, d), D.zones(spark, d), "lot_id").select("lot_id", "Nom", *_outline_facts())
+
+
+@query
+def lots_in_zones(spark, d):
+    """Each lot with the zones that hold all of its outline."""
+    joined = O.polygons_in_polygons(D.lots(spark, d), D.zones(spark, d), "lot_id", "zone_id")
+    return joined.select("lot_id", "zone_id", "zone_name")

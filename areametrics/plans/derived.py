@@ -191,6 +191,42 @@ def plots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_plots(spark, sf_dir).withColumns(G.polygon_bbox(GEOM))
 
 
+def lots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An outline per customer in units of 1/1024, on the lattice of the plots: neighbours share borders in
+    part, every fifth reaches into the next, and some have a hole. Four neighbours share a name."""
+    x, y = f"((c_custkey % {PLOT_ROW}) * 8)", f"((c_custkey DIV {PLOT_ROW}) * 8)"
+    u = f"{PLOT_UNIT!r}D"
+
+    def ring(x0: str, y0: str, x1: str, y1: str) -> str:
+        vs = [(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]
+        return "array(" + ", ".join(f"named_struct('x', ({a}) * {u}, 'y', ({b}) * {u})" for a, b in vs) + ")"
+
+    shell = ring(x, y, f"{x} + IF(c_custkey % 5 = 0, 11, 8)", f"{y} + IF(c_custkey % 7 = 3, 8, 5 + c_custkey % 3)")
+    hole = ring(f"{x} + 2", f"{y} + 2", f"{x} + 5", f"{y} + 5")
+    return table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS lot_id", "CASE WHEN c_custkey % 50 <> 7 THEN concat('Green ', c_custkey DIV 4) END AS Nom",
+        f"array(CASE WHEN c_custkey % 7 = 3 THEN array({shell}, {hole}) ELSE array({shell}) END) AS {GEOM}",
+    ).withColumns(G.polygon_bbox(GEOM))
+
+
+def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rectangle per nation over the lots, in the same units; some overlap, some have a hole."""
+    x, y = "((n_nationkey % 5) * 205 + 3)", "((n_nationkey DIV 5) * 19 + 2)"
+    u = f"{PLOT_UNIT!r}D"
+
+    def box(x0: str, y0: str, x1: str, y1: str) -> str:
+        sides = [f"({v}) * {u}" for v in (x0, y0, x1, y1)]
+        vs = [(0, 1), (2, 1), (2, 3), (0, 3), (0, 1)]
+        return "array(" + ", ".join(f"named_struct('x', {sides[a]}, 'y', {sides[b]})" for a, b in vs) + ")"
+
+    shell = box(x, y, f"{x} + 160 + (n_nationkey % 3) * 40", f"{y} + 12 + (n_nationkey % 4) * 5")
+    hole = box(f"{x} + 20", f"{y} + 3", f"{x} + 100", f"{y} + 8")
+    return table(spark, sf_dir, "nation").selectExpr(
+        "n_nationkey AS zone_id", "n_name AS zone_name",
+        f"array(CASE WHEN n_nationkey % 6 = 1 THEN array({shell}, {hole}) ELSE array({shell}) END) AS {GEOM}",
+    ).withColumns(G.polygon_bbox(GEOM))
+
+
 # Values the type filter looks for, by column, as terms of one disjunction.
 PARK_TYPE_TERMS = [
     ("TYPO1", "Grand parc"),

@@ -416,4 +416,40 @@ FROM (SELECT species, bool_or(park_name = 'NATION_1') AS a, bool_or(park_name =
 FROM occ WHERE species IS NOT NULL AND park_name IN ('NATION_1', 'NATION_2') GROUP BY species) q""",
         "species_search": occ + """SELECT "gbifID", species, park_name FROM occ
 WHERE lower(species) LIKE '%bolt%'""",
+        **_overlay(),
+    }
+
+
+def _overlay() -> dict[str, str]:
+    """Outlines on a lattice, as sets of unit squares. A lattice point with one or three squares around
+    it is a corner, one with two that face each other is two."""
+    squares = """lot AS (SELECT c_custkey AS k, (c_custkey % 128) * 8 AS x0, (c_custkey // 128) * 8 AS y0,
+CASE WHEN c_custkey % 5 = 0 THEN 11 ELSE 8 END AS w,
+CASE WHEN c_custkey % 7 = 3 THEN 8 ELSE 5 + c_custkey % 3 END AS h,
+CASE WHEN c_custkey % 50 <> 7 THEN concat('Green ', c_custkey // 4) END AS "Nom" FROM customer),
+lot_square AS (SELECT k, "Nom", x0 + i AS ux, y0 + j AS uy FROM lot, range(11) a(i), range(8) b(j)
+WHERE i < w AND j < h AND NOT (k % 7 = 3 AND i BETWEEN 2 AND 4 AND j BETWEEN 2 AND 4)),
+zone AS (SELECT n_nationkey AS z, n_name AS zone_name, (n_nationkey % 5) * 205 + 3 AS x0,
+(n_nationkey // 5) * 19 + 2 AS y0, 160 + (n_nationkey % 3) * 40 AS w, 12 + (n_nationkey % 4) * 5 AS h FROM nation),
+zone_square AS (SELECT z, zone_name, x0 + i AS ux, y0 + j AS uy FROM zone, range(240) a(i), range(27) b(j)
+WHERE i < w AND j < h AND NOT (z % 6 = 1 AND i BETWEEN 20 AND 99 AND j BETWEEN 3 AND 7))"""
+    facts = """corner AS (SELECT g, vx, vy, sum(bit) AS m FROM (
+SELECT g, ux AS vx, uy AS vy, 1 AS bit FROM sq UNION ALL SELECT g, ux + 1, uy, 2 FROM sq
+UNION ALL SELECT g, ux, uy + 1, 4 FROM sq UNION ALL SELECT g, ux + 1, uy + 1, 8 FROM sq) c GROUP BY ALL),
+kinds AS (SELECT g, count(*) FILTER (m IN (1, 2, 4, 8)) + 2 * count(*) FILTER (m IN (6, 9)) AS outer_n,
+count(*) FILTER (m IN (7, 11, 13, 14)) AS inner_n FROM corner GROUP BY g),
+sizes AS (SELECT g, count(*) AS area_units FROM sq GROUP BY g),
+facts AS (SELECT g, CAST(area_units AS BIGINT) AS area_units, CAST(outer_n + inner_n AS BIGINT) AS vertices,
+CAST((outer_n - inner_n) // 4 AS BIGINT) AS euler FROM sizes JOIN kinds USING (g))"""
+    return {
+        "dissolve_lots": f"""WITH {squares}, sq AS (SELECT DISTINCT "Nom" AS g, ux, uy FROM lot_square
+WHERE "Nom" IS NOT NULL), {facts} SELECT g AS "Nom", area_units, vertices, euler FROM facts""",
+        "union_lots": f"""WITH {squares}, sq AS (SELECT 0 AS g, ux, uy FROM lot_square UNION
+SELECT 0, ux, uy FROM zone_square), {facts} SELECT area_units, vertices, euler FROM facts""",
+        "clip_lots_cut": f"""WITH {squares}, zoned AS (SELECT DISTINCT ux, uy FROM zone_square),
+sq AS (SELECT k AS g, ux, uy FROM lot_square JOIN zoned USING (ux, uy)), {facts}
+SELECT k AS lot_id, "Nom", area_units, vertices, euler FROM facts JOIN lot ON k = g""",
+        "lots_in_zones": f"""WITH {squares}, held AS (SELECT k, z, zone_name, count(*) AS n FROM lot_square
+JOIN zone_square USING (ux, uy) GROUP BY ALL), whole AS (SELECT k, count(*) AS n FROM lot_square GROUP BY k)
+SELECT whole.k AS lot_id, z AS zone_id, zone_name FROM whole LEFT JOIN held ON held.k = whole.k AND held.n = whole.n""",
     }
