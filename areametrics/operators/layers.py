@@ -94,9 +94,8 @@ def cells_within(layer: DataFrame, lon: float, lat: float, metres: float) -> Dat
     return near.withColumn("distance", away).where(F.col("distance") <= metres)
 
 
-def distance_to_point(geom: str, x: float, y: float) -> Column:
-    """Planar distance from (x, y) to a polygon: 0 inside or on the border."""
-    px, py = f"{float(x)!r}D", f"{float(y)!r}D"
+def distance_between(geom: str, px: str, py: str) -> str:
+    """Planar distance from a location (two expressions) to a polygon: 0 inside or on the border."""
     # Position of the nearest location on the edge, as a fraction clamped to its ends.
     length = "(pow(e.hx - e.lx, 2) + pow(e.hy - e.ly, 2))"
     along = (
@@ -108,12 +107,17 @@ def distance_to_point(geom: str, x: float, y: float) -> Column:
         f"pow(q.e.lx + q.t * (q.e.hx - q.e.lx) - {px}, 2) "
         f"+ pow(q.e.ly + q.t * (q.e.hy - q.e.ly) - {py}, 2))"
     )
-    return F.expr(
+    return (
         f"array_min(transform({geom}, p -> CASE WHEN ({G.parity(G.edge_list('p'), px, py)}) % 2 <> 0 "
         f"THEN 0D ELSE sqrt(array_min({squared})) END))"
     )
 
 
+def distance_to_point(geom: str, x: float, y: float) -> Column:
+    """Planar distance from (x, y) to a polygon: 0 inside or on the border."""
+    return F.expr(distance_between(geom, f"{float(x)!r}D", f"{float(y)!r}D"))
+
+
 def closest(layer: DataFrame, x: float, y: float, k: int, key: str) -> DataFrame:
     """The ``k`` polygons nearest to a location; ties in key order."""
     out = layer.withColumn("distance", distance_to_point(GEOM, x, y))

@@ -16,6 +16,7 @@ from areametrics.functions import crs
 from areametrics.functions import geometry as G
 from areametrics.operators import layers as L
 from areametrics.operators import metrics as M
+from areametrics.operators import near as N
 from areametrics.operators import overlay as O
 from areametrics.operators import projection as P
 from areametrics.operators import spatial as S
@@ -530,3 +531,27 @@ def lots_in_zones(spark, d):
     """Each lot with the zones that hold all of its outline."""
     joined = O.polygons_in_polygons(D.lots(spark, d), D.zones(spark, d), "lot_id", "zone_id")
     return joined.select("lot_id", "zone_id", "zone_name")
+
+
+# --- joins by distance ----------------------------------------------------------------------
+
+@query
+def nearest_plots(spark, d):
+    """The three plots nearest to every station."""
+    plots = D.plots(spark, d).select(F.col("OBJECTID").alias("plot_id"), GEOM, *BBOX)
+    found = N.nearest(D.stations(spark, d), plots, "station_id", "plot_id", 3)
+    return found.withColumn("distance", F.round("distance", 9))
+
+
+@query
+def ships_near_ports(spark, d):
+    """Ships and ports at most 4 km apart."""
+    found = N.within_metres(D.ships(spark, d), D.ports(spark, d), "ship_id", "port_id", 4000.0)
+    return found.withColumn("distance", F.round("distance", 3))
+
+
+@query
+def ships_near_ports_shuffled(spark, d):
+    """The same by shuffling both sides, with cubes of many ships split."""
+    found = N.within_metres(D.ships(spark, d), D.ports(spark, d), "ship_id", "port_id", 4000.0, limit=-1, heavy_rows=3)
+    return found.withColumn("distance", F.round("distance", 3))

@@ -191,6 +191,34 @@ def plots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_plots(spark, sf_dir).withColumns(G.polygon_bbox(GEOM))
 
 
+def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A location per supplier, among the plots and around them; every tenth has none."""
+    return table(spark, sf_dir, "supplier").selectExpr(
+        "s_suppkey AS station_id",
+        f"CASE WHEN s_suppkey % 10 <> 4 THEN named_struct('x', ((s_suppkey * 7919) % 10007) / 10007D * 1.4D - 0.2D, "
+        f"'y', ((s_suppkey * 104729) % 10009) / 10009D * 0.3D - 0.1D) END AS {GEOM}",
+    )
+
+
+def _across(key: str, name: str, factor: int) -> list[str]:
+    """Location within a degree of where the antimeridian meets 60 degrees north."""
+    lon = f"(179D + (({key} * {factor}) % 10007) / 10007D * 2D)"
+    return [
+        f"{key} AS {name}",
+        f"named_struct('x', IF({lon} > 180D, {lon} - 360D, {lon}), 'y', 59D + (({key} * 7907) % 10009) / 10009D * 2D) AS {GEOM}",
+    ]
+
+
+def ships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A location per customer, on both sides of the antimeridian."""
+    return table(spark, sf_dir, "customer").selectExpr(*_across("c_custkey", "ship_id", 7919))
+
+
+def ports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A location per supplier, on both sides of the antimeridian."""
+    return table(spark, sf_dir, "supplier").selectExpr(*_across("s_suppkey", "port_id", 3571))
+
+
 def lots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An outline per customer in units of 1/1024, on the lattice of the plots: neighbours share borders in
     part, every fifth reaches into the next, and some have a hole. Four neighbours share a name."""

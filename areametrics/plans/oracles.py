@@ -417,6 +417,31 @@ FROM occ WHERE species IS NOT NULL AND park_name IN ('NATION_1', 'NATION_2') GRO
         "species_search": occ + """SELECT "gbifID", species, park_name FROM occ
 WHERE lower(species) LIKE '%bolt%'""",
         **_overlay(),
+        **_distances(),
+    }
+
+
+def _distances() -> dict[str, str]:
+    def across(table: str, key: str, factor: int) -> str:
+        return f"""SELECT id, CASE WHEN lon > 180 THEN lon - 360 ELSE lon END AS x, y FROM (SELECT {key} AS id,
+179 + (({key} * {factor}) % 10007) / CAST(10007 AS DOUBLE) * 2 AS lon,
+59 + (({key} * 7907) % 10009) / CAST(10009 AS DOUBLE) * 2 AS y FROM {table}) {table}_place"""
+
+    near = f"""SELECT * FROM (SELECT a.id AS ship_id, b.id AS port_id, round(2 * 6371008.8 * asin(sqrt(
+pow(sin(radians(b.y - a.y) / 2), 2) + cos(radians(a.y)) * cos(radians(b.y)) * pow(sin(radians(b.x - a.x) / 2), 2))), 3) AS distance
+FROM ({across("customer", "c_custkey", 7919)}) a, ({across("supplier", "s_suppkey", 3571)}) b) q WHERE distance <= 4000"""
+    return {
+        "ships_near_ports": near, "ships_near_ports_shuffled": near,
+        "nearest_plots": _with(_PLOT_EDGES) + """SELECT station_id, CAST(n AS INT) AS rank, plot_id, round(d, 9) AS distance
+FROM (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY d, plot_id) AS n FROM (
+SELECT station_id, "OBJECTID" AS plot_id, CASE WHEN bool_or(inside) THEN CAST(0 AS DOUBLE) ELSE min(d) END AS d FROM (
+SELECT station_id, "OBJECTID", part, """ + _CROSS + """ % 2 = 1 AS inside, min(sqrt(
+pow(px + u * (qx - px) - x, 2) + pow(py + u * (qy - py) - y, 2))) AS d FROM (
+SELECT *, greatest(0, least(1, ((x - px) * (qx - px) + (y - py) * (qy - py))
+/ (pow(qx - px, 2) + pow(qy - py, 2)))) AS u FROM plot_edge, (SELECT s_suppkey AS station_id,
+((s_suppkey * 7919) % 10007) / CAST(10007 AS DOUBLE) * 1.4 - 0.2 AS x,
+((s_suppkey * 104729) % 10009) / CAST(10009 AS DOUBLE) * 0.3 - 0.1 AS y FROM supplier WHERE s_suppkey % 10 <> 4) s) q
+GROUP BY station_id, "OBJECTID", part) w GROUP BY station_id, "OBJECTID") z) r WHERE n <= 3""",
     }
 
 
