@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from areametrics.functions import crs
 from areametrics.functions import geometry as G
+from areametrics.functions import wkb
 from areametrics.operators import layers as L
 from areametrics.operators import metrics as M
 from areametrics.operators import near as N
@@ -23,7 +24,7 @@ from areametrics.operators import spatial as S
 from areametrics.plans import build as B
 from areametrics.plans import derived as D
 from areametrics.schemas import BBOX, CSV_TYPES, GEOM
-from areametrics.sources import readers, writers
+from areametrics.sources import readers, shapefile, writers
 from areametrics.sources.shared import new_path, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -397,6 +398,25 @@ def geojson_roundtrip(spark, d):
     )
 
 
+@query
+def shapefile_roundtrip(spark, d):
+    """Plots written as shapefiles and read by ranges of records, nulls included."""
+    path = new_path(spark, "shapefile")
+    shapefile.write_shapefile(spread(D.raw_plots(spark, d).drop("area_value"), "OBJECTID"), path, 4326)
+    back = shapefile.read_shapefile(spark, path, split_bytes=64 << 10)
+    return back.select("OBJECTID", "Nom", "Type", "TYPO1", "TYPO2", *_vertex_sums(back))
+
+
+@query
+def wkb_roundtrip(spark, d):
+    """Plots as well-known binary in both byte orders by turns, and back."""
+    plots = D.raw_plots(spark, d).drop("area_value")
+    little, big = (wkb.polygon_to_wkb(GEOM, b) for b in (False, True))
+    coded = plots.withColumn("coded", F.when(F.col("OBJECTID") % 2 == 0, little).otherwise(big))
+    back = coded.drop(GEOM).withColumn(GEOM, wkb.polygon_from_wkb("coded"))
+    return back.select("OBJECTID", "Nom", "Type", "TYPO1", "TYPO2", *_vertex_sums(back))
+
+
 @query
 def staged_build(spark, d):
     """All stages from files; the first run is capped, and the second must not keep its tables."""

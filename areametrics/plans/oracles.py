@@ -416,6 +416,8 @@ FROM (SELECT species, bool_or(park_name = 'NATION_1') AS a, bool_or(park_name =
 FROM occ WHERE species IS NOT NULL AND park_name IN ('NATION_1', 'NATION_2') GROUP BY species) q""",
         "species_search": occ + """SELECT "gbifID", species, park_name FROM occ
 WHERE lower(species) LIKE '%bolt%'""",
+        **dict.fromkeys(("shapefile_roundtrip", "wkb_roundtrip"), _with(_PLOT_EDGES) + f"""SELECT "OBJECTID",
+"Nom", "Type", "TYPO1", "TYPO2", {_PLOT_SUMS} FROM plot JOIN plot_edge USING ("OBJECTID") GROUP BY ALL"""),
         **_overlay(),
         **_distances(),
     }
