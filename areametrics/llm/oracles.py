@@ -80,6 +80,7 @@ def _rules() -> str:
         f"('{lang}', '{w}', {i + 1})" for lang, ws in rules.COMMON_WORDS.items() for i, w in enumerate(ws)
     )
     bins = rules.WORD_BINS
+    bare = f"[{'0, ' * (bins - 1)}1]"
     sums = lambda name, n: ", ".join(f"sum({name}[{i + 1}])" for i in range(n))
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, lang FROM documents),
 w AS (SELECT doc_id, lang, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM (
@@ -106,12 +107,14 @@ judged AS (SELECT *, n_words < {rules.MIN_WORDS}
 OR 100 * n_repeat_words > {rules.REPEAT_PERCENT} * n_words AS base_failed FROM base),
 pooled AS (SELECT lang AS of, [{sums('classes', rules.CLASS_BINS)}] AS rc, [{sums('common', bins)}] AS rw
 FROM judged WHERE NOT base_failed GROUP BY lang),
-far AS (SELECT j.*, {_divergence('classes', 'rc')} AS cd, {_divergence('common', 'rw')} AS wd
-FROM judged j LEFT JOIN pooled ON of IS NOT DISTINCT FROM lang)
+far AS (SELECT j.*, rw, {_divergence('classes', 'rc')} AS cd, {_divergence('common', 'rw')} AS wd,
+{_divergence(bare, 'rw')} AS bare FROM judged j LEFT JOIN pooled ON of IS NOT DISTINCT FROM lang)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
 round(cd, 6) AS class_distance, round(wd, 6) AS word_distance, NOT base_failed
-AND NOT (word_chars >= {rules.CLASS_MIN_CHARS} AND cd > {rules.CLASS_DISTANCE})
-AND NOT (n_words >= {rules.WORD_MIN_WORDS} AND wd > {rules.WORD_DISTANCE}) AS kept FROM far"""
+AND NOT (word_chars >= {rules.CLASS_MIN_CHARS} AND cd > {rules.CLASS_DISTANCE} * ({rules.CLASS_SHARE}
++ {1 - rules.CLASS_SHARE} * sqrt({rules.CLASS_MIN_CHARS} / CAST(greatest(word_chars, 1) AS DOUBLE))))
+AND NOT (n_words >= {rules.WORD_MIN_WORDS} AND wd > {rules.WORD_SHARE} * bare AND coalesce(
+common[{bins}] * list_sum(rw)::DOUBLE > rw[{bins}] * n_words::DOUBLE, false)) AS kept FROM far"""
 
 
 _TOPK = """WITH v AS (SELECT vec_id AS id, list_transform(CAST(embedding AS DOUBLE[]),

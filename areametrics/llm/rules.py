@@ -3,10 +3,10 @@
 Base rules: too few words, or too many words in repeated 5-word windows. Beyond them a document's
 histograms of character classes and of common words are compared with its language's, pooled over
 all documents that pass the base rules, by the Jensen-Shannon distance (base 2, so 0 to 1). A
-minimum length guards each comparison, since the histogram of a few words says nothing. ``kept``
-has fixed limits, as in the SQL. ``kept_strict`` also has limits on scales that texts reach: for
-words, a share of the distance that a text without any common word has to the reference, if the text
-has a smaller share of common words than that; for classes, a limit that falls with the length.
+minimum length guards each comparison, since the histogram of a few words says nothing. The limits
+lie on scales that texts reach: for words, a share of the distance that a text without any common word
+has to the reference, if the text has a smaller share of common words than that; for classes, a limit
+that falls with the length.
 
 Null text has no words. A language that is null, or without a word list, is a language of its own,
 whose common-word histogram has one bin, so that its distance is 0. Repeated keys are one document:
@@ -48,13 +48,14 @@ _LOWER[ord("A") : ord("Z") + 1] += 32
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
-#: Reject above these distances, from these lengths on.
-CLASS_DISTANCE, CLASS_MIN_CHARS = 0.33, 200
-WORD_DISTANCE, WORD_MIN_WORDS = 0.45, 100
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
-#: Strict limits: this share of the distance of a text without common words; the class limit goes
-#: from its whole at the least length towards this share, by the square root of the length.
-WORD_SHARE, CLASS_SHARE = 0.8, 0.5
+#: Lengths from which on distances count.
+CLASS_MIN_CHARS, WORD_MIN_WORDS = 200, 100
+#: The class limit goes from the first figure at the least length towards this share of it, by the
+#: square root of the length.
+CLASS_DISTANCE, CLASS_SHARE = 0.33, 0.5
+#: The word limit is this share of the distance of a text without common words.
+WORD_SHARE = 0.8
 
 
 def counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
@@ -179,7 +180,7 @@ def references(measured: DataFrame) -> DataFrame:
 
 
 def judge(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """Base columns, ``base_failed``, ``class_distance``, ``word_distance``, ``kept``, ``kept_strict``.
+    """Base columns, ``base_failed``, ``class_distance``, ``word_distance``, ``kept``.
 
     Measures are written to the shared folder once, since the references need all of them first.
     """
@@ -202,10 +203,6 @@ def judge(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
         "word_distance": distance("common", "ref_common"),
         "bare_distance": distance(f"array_append(array_repeat(0L, {WORD_BINS - 1}), 1L)", "ref_common"),
     })
-    kept = F.expr(
-        f"NOT base_failed AND NOT (word_chars >= {CLASS_MIN_CHARS} AND class_distance > {CLASS_DISTANCE})"
-        f" AND NOT (n_words >= {WORD_MIN_WORDS} AND word_distance > {WORD_DISTANCE})"
-    )
     last = WORD_BINS - 1
     fewer = (
         f"double(get(common, {last})) * aggregate(ref_common, 0L, (s, v) -> s + v)"
@@ -214,12 +211,12 @@ def judge(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     limit = (
         f"{CLASS_DISTANCE} * ({CLASS_SHARE} + {1 - CLASS_SHARE} * sqrt({CLASS_MIN_CHARS}D / greatest(word_chars, 1)))"
     )
-    strict = F.expr(
-        f"kept AND NOT (word_chars >= {CLASS_MIN_CHARS} AND class_distance > {limit})"
+    kept = F.expr(
+        f"NOT base_failed AND NOT (word_chars >= {CLASS_MIN_CHARS} AND class_distance > {limit})"
         f" AND NOT (n_words >= {WORD_MIN_WORDS} AND word_distance > {WORD_SHARE} * bare_distance"
         f" AND coalesce({fewer}, false))"
     )
-    return joined.withColumn("kept", kept).withColumn("kept_strict", strict).select(
+    return joined.withColumn("kept", kept).select(
         key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        "class_distance", "word_distance", "kept", "kept_strict",
+        "class_distance", "word_distance", "kept",
     )

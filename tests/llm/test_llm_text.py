@@ -225,11 +225,11 @@ def test_lists_of_uncommon_words_are_rejected(spark):
     r = got[100]
     limit = rules.CLASS_DISTANCE * rules.CLASS_SHARE
     assert not r["base_failed"] and r["n_words"] >= 100 and r["class_distance"] < limit
-    assert r["kept"] and not r["kept_strict"]
+    assert not r["kept"]
     assert not any(got[i]["base_failed"] for i in range(40))
-    assert all(got[i]["kept_strict"] for i in range(40))
+    assert all(got[i]["kept"] for i in range(40))
     passed = corpus_pipeline.quality_rules(spark, df, "").select("doc_id").collect()
-    assert {r[0] for r in passed} == {k for k, r in got.items() if r["kept_strict"]}
+    assert {r[0] for r in passed} == {k for k, r in got.items() if r["kept"]}
 
 
 def test_distance(spark):
