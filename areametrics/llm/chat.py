@@ -4,14 +4,16 @@ A turn is written ``<|im_start|>role\ntext<|im_end|>\n``. In texts and roles eve
 backslashes and a ``|`` follow gets one backslash more, so that no control string can stand inside
 them, and taking one away gives the text back. A line feed in a role is written ``<|lf|>``.
 
-A conversation is written into windows of whole turns. Running sums of turn tokens say which turns
-still fit the budget; a window starts with the system turn (the first turn, if its role is
-``system``) and the last turns before it that fit the history budget, and then goes on with new
-turns. Repeated turns are not under the loss mask again: each assistant text is a target once. A
-turn longer than the budget has a window to itself besides the system turn.
+A conversation is written into windows of whole turns. Running sums of the tokens of turns as they are
+written, marks and escapes included, say which turns still fit the budget; a window starts with the
+system turn (the first turn, if its role is ``system``) and the last turns before it that fit the
+history budget, and then goes on with new turns. Repeated turns are not under the loss mask again:
+each assistant text is a target once. A turn longer than the budget has a window to itself; the system
+turn is not repeated where it leaves no room for a new turn. So only such a turn's window is over.
 
-Turns stream through a partition in order of conversation and turn, so a task holds one window at
-a time, however long a conversation is.
+Tokens are counted before conversations are brought together, on whatever tasks read the rows. Turns
+then stream through a partition in order of conversation and turn, so a task holds one window at a
+time, however long a conversation is.
 
 Null text and role are empty; a null conversation id or turn number sorts first and is an id like
 any other; ties in the turn number go by role and text; repeated rows are turns of their own; an
@@ -32,8 +34,6 @@ from areametrics.llm.common import groups, text_bytes
 from areametrics.llm.units import units_of
 
 START, END, LINE = "<|im_start|>", "<|im_end|>", "<|lf|>"
-#: Tokens counted for the marks of a turn.
-TURN_TOKENS = 6
 
 _OPEN = re.compile(r"<(\\*)\|")
 _CLOSED = re.compile(r"<\\(\\*)\|")
@@ -63,6 +63,27 @@ def parsed(window: str) -> list[tuple[str, str, int]]:
     ]
 
 
+def counted(rows: DataFrame, tokenizer: str) -> DataFrame:
+    """``rows`` (``conv_id``, ``turn``, ``role``, ``text``) with ``tokens`` of each turn as written. A
+    turn starts and ends where the tokenizer always cuts, so a window has the sum of its turns."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+
+    def run(batches):
+        units = units_of(tokenizer)
+        for batch in batches:
+            said = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+            data, offsets = text_bytes(pa.array([written(who, what)[0] for who, what in said], pa.large_string()))
+            tokens = np.concatenate([
+                units.group(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[1]
+                for i, j in groups(offsets)
+            ] or [np.zeros(0, np.int64)])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(tokens, pa.int64())], [*batch.schema.names, "tokens"]
+            )
+
+    return rows.mapInArrow(run, f"{schema}, tokens long")
+
+
 def windows(
     df: DataFrame, tokenizer: str, budget: int = 2048, history: int = 512, conv: str = "conv_id",
     turn: str = "turn", role: str = "role", text: str = "text",
@@ -75,9 +96,12 @@ def windows(
             F.coalesce(F.col(role), F.lit("")).alias("role"),
             F.coalesce(F.col(text), F.lit("")).alias("text"),
         )
+    )
+    rows = (
+        counted(rows, tokenizer)
         .repartition("conv_id")
         .sortWithinPartitions("conv_id", "turn", "role", "text")
-        .select("conv_id", "role", "text")
+        .select("conv_id", "role", "text", "tokens")
     )
     kind = rows.schema["conv_id"].dataType.simpleString()
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -106,18 +130,9 @@ def windows(
                 ["conv_id", "window", "text", "tokens", "repeated", "loss"],
             )
 
-        units = units_of(tokenizer)
         for batch in batches:
             own_kind = batch.schema.field(0).type
-            data, offsets = text_bytes(batch.column(2))
-            tokens = np.concatenate([
-                units.group(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[1]
-                for i, j in groups(offsets)
-            ] or [np.zeros(0, np.int64)])
-            for conv_id, who, said, n in zip(
-                batch.column(0).to_pylist(), batch.column(1).to_pylist(),
-                batch.column(2).to_pylist(), (tokens + TURN_TOKENS).tolist(),
-            ):
+            for conv_id, who, said, n in zip(*(c.to_pylist() for c in batch.columns)):
                 new = (who, said, n)
                 if state is None or state[0] != conv_id:
                     if state:
@@ -128,7 +143,7 @@ def windows(
                 if state[4] + n > budget and len(state[3]) > state[5]:
                     close()
                     _, number, system, turns, _, _ = state
-                    lead = [system] if system else []
+                    lead = [system] if system and system[2] + n <= budget else []
                     fixed = sum(t[2] for t in lead)
                     back, held = [], 0
                     # From the window's own turns, the system turn at its head aside.
