@@ -1,7 +1,7 @@
 """URL filter: rules by host and path, and a tree of path templates for what no rule covers.
 
 *Rules* (host, path, allow or block) fit a host, its subdomains, and paths that start with theirs;
-the longest wins. A url is looked up by the suffixes of its host, an equi-join on a short list.
+the longest wins. The rules are a short list of the caller's, tried as conditions on each url.
 
 *Templates*: per host, the tree of path segments is generalised level by level. A branch becomes
 the wildcard ``*`` if its name is a number or the like, if its level has many names for few pages
@@ -11,8 +11,10 @@ covers are the labelled ones. The purity of a template is its share of allow lab
 towards its parent's, that towards the host's, and that towards all. A url without a rule is
 blocked if its template's purity is under one half.
 
-All statistics are grouped sums over distinct (host, path) with counts. Deeper segments than
-``DEPTH`` are one branch, so that the number of steps is fixed.
+All statistics are grouped sums over distinct (host, path) with counts. The first ``FIRST`` levels are
+generalised one by one. Below a template whose labels all agree, the rest of each path is then one
+branch; where they differ, what all its paths share is passed over at once, and the next segment is
+generalised like those above, until no template with mixed labels has paths that go on.
 
 A null url, or one without ``://``, has an empty host and path and is judged as such; empty
 segments are names; repeated rows are judged alike, each of its own; an empty table gives no rows.
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 from areametrics.operators.joins import sized_join
 from areametrics.sources.shared import stored
 
-#: Levels of the tree.
-DEPTH = 4
+#: Levels that are generalised whatever their labels.
+FIRST = 3
 #: A level whose names number over this and hold fewer than so many pages each is a variable.
 MANY_NAMES, FEW_PAGES = 20, 3.0
 #: Branches that differ by less than so many standard errors merge.
@@ -75,14 +77,50 @@ def with_rule(urls: DataFrame, rules: dict[str, bool]) -> DataFrame:
     })
 
 
-def _segment(level: int) -> Column:
-    """The segment of a level; the last level takes all that is left. Null past the end."""
-    parts = "split(substr(path, 2), '/', -1)"
-    if level < DEPTH:
-        found = f"get({parts}, {level - 1})"
-    else:
-        found = f"nullif(array_join(slice({parts}, {DEPTH}, 2147483647), '/'), '')"
-    return F.expr(f"CASE WHEN path = '' THEN NULL ELSE {found} END")
+_SUMS = ("pages", "labels", "allowed")
+_HELD = ["host", "path", *_SUMS, "template", "rest"]
+
+
+def _generalised(named: DataFrame) -> DataFrame:
+    """``named`` (``segment`` is what comes next, null past the end) with templates one branch longer."""
+    sums = [F.sum(c).alias(c) for c in _SUMS]
+    named = named.withColumn(
+        "segment", F.when(F.col("segment").rlike(_VARIABLE), F.lit("*")).otherwise(F.col("segment"))
+    )
+    branches = named.where("segment IS NOT NULL").groupBy("host", "template", "segment").agg(*sums)
+    parents = branches.groupBy("host", "template").agg(
+        F.count("*").alias("names"), F.sum("pages").alias("all_pages"),
+        F.sum("labels").alias("all_labels"), F.sum("allowed").alias("all_allowed"),
+    )
+    judged = sized_join(branches, parents, ["host", "template"], how="inner").selectExpr(
+        "l.*", "names", "all_pages", "all_labels", "all_allowed"
+    )
+    variable = f"names > {MANY_NAMES} AND all_pages < {FEW_PAGES} * names"
+    pooled = "(all_allowed + 0.5) / (all_labels + 1)"
+    apart = (
+        f"labels > 0 AND abs(allowed / labels - {pooled}) >"
+        f" {ERRORS} * sqrt({pooled} * (1 - {pooled}) / labels)"
+    )
+    # Branches without labels keep their names as long as they are few: nothing says that
+    # they are alike.
+    name = F.expr(
+        f"CASE WHEN segment = '*' OR ({variable}) THEN '*' WHEN labels = 0 OR {apart} THEN segment"
+        " ELSE '*' END"
+    )
+    renamed = judged.select("host", "template", "segment", name.alias("name"))
+    longer = sized_join(named, renamed, ["host", "template", "segment"]).selectExpr(
+        *[f"l.{c}" for c in _HELD if c != "template"],
+        "CASE WHEN l.segment IS NULL THEN l.template"
+        " ELSE concat(l.template, '/', coalesce(name, l.segment)) END AS template",
+    )
+    return stored(longer.select(*_HELD), "templates")
+
+
+def _next(rows: DataFrame) -> DataFrame:
+    """The next segment of every path."""
+    return rows.selectExpr(
+        *[c for c in _HELD if c != "rest"], "get(rest, 0) AS segment", "slice(rest, 2, greatest(size(rest) - 1, 0)) AS rest"
+    )
 
 
 def templates(labelled: DataFrame) -> DataFrame:
@@ -93,42 +131,39 @@ def templates(labelled: DataFrame) -> DataFrame:
         F.count("allow").alias("labels"),
         F.sum(F.coalesce(F.col("allow").cast("long"), F.lit(0))).alias("allowed"),
     )
-    sums = [F.sum(c).alias(c) for c in ("pages", "labels", "allowed")]
-    # Levels from the top: the template so far, and the segment to generalise next.
-    rows = rows.withColumn("template", F.lit(""))
-    for level in range(1, DEPTH + 1):
-        named = rows.withColumn("segment", _segment(level)).withColumn(
-            "segment", F.when(F.col("segment").rlike(_VARIABLE), F.lit("*")).otherwise(F.col("segment"))
-        )
-        branches = named.where("segment IS NOT NULL").groupBy("host", "template", "segment").agg(*sums)
-        parents = branches.groupBy("host", "template").agg(
-            F.count("*").alias("names"), F.sum("pages").alias("all_pages"),
-            F.sum("labels").alias("all_labels"), F.sum("allowed").alias("all_allowed"),
-        )
-        judged = sized_join(branches, parents, ["host", "template"], how="inner").selectExpr(
-            "l.*", "names", "all_pages", "all_labels", "all_allowed"
-        )
-        variable = f"names > {MANY_NAMES} AND all_pages < {FEW_PAGES} * names"
-        pooled = "(all_allowed + 0.5) / (all_labels + 1)"
-        apart = (
-            f"labels > 0 AND abs(allowed / labels - {pooled}) >"
-            f" {ERRORS} * sqrt({pooled} * (1 - {pooled}) / labels)"
-        )
-        # Branches without labels keep their names as long as they are few: nothing says that
-        # they are alike.
-        name = F.expr(
-            f"CASE WHEN segment = '*' OR ({variable}) THEN '*' WHEN labels = 0 OR {apart} THEN segment"
-            " ELSE '*' END"
+    # From the top: the template so far, and the segments that are not in it yet.
+    rows = rows.withColumn("template", F.lit("")).withColumn(
+        "rest", F.expr("IF(path = '', CAST(array() AS array<string>), split(substr(path, 2), '/', -1))")
+    )
+    for _ in range(FIRST):
+        rows = _generalised(_next(rows))
+    own = "nullif(array_join(rest, '/'), '')"
+    none = "CAST(array() AS array<string>)"
+    while True:
+        mixed = stored(rows.groupBy("host", "template").agg(
+            F.sum("labels").alias("n"), F.sum("allowed").alias("a"), F.max(F.size("rest")).alias("longest"),
+            F.min("rest").alias("first"), F.max("rest").alias("last"),
+        ).where("0 < a AND a < n AND longest > 1").selectExpr(
+            "host", "template",
+            # What the least and the greatest of the paths share, all of them do.
+            "coalesce(nullif(array_position(zip_with(first, last, (x, y) -> x <=> y), false), 0) - 1,"
+            " least(size(first), size(last))) AS shared",
+        ), "mixed")
+        if mixed.limit(1).count() == 0:
+            break
+        joined = sized_join(rows, mixed, ["host", "template"]).selectExpr("l.*", "shared")
+        passed = (
+            f"concat(template, array_join(transform(slice(rest, 1, int(shared)), x -> concat('/', IF(x RLIKE r'{_VARIABLE}', '*', x))), ''))"
         )
-        renamed = judged.select("host", "template", "segment", name.alias("name"))
-        wide = named.select("host", "path", "pages", "labels", "allowed", "template", "segment")
-        rows = sized_join(wide, renamed, ["host", "template", "segment"]).selectExpr(
-            "l.host", "l.path", "l.pages", "l.labels", "l.allowed",
-            "CASE WHEN l.segment IS NULL THEN l.template"
-            " ELSE concat(l.template, '/', coalesce(name, l.segment)) END AS template",
+        moved = joined.selectExpr(
+            "host", "path", *_SUMS, f"IF(shared IS NULL, template, {passed}) AS template",
+            f"IF(shared IS NULL, {own}, get(rest, int(shared))) AS segment",
+            f"IF(shared IS NULL, {none}, slice(rest, int(shared) + 2, greatest(size(rest) - int(shared) - 1, 0))) AS rest",
         )
-        rows = stored(rows, f"templates-{level}")
-    return rows
+        rows = _generalised(moved)
+    return _generalised(rows.selectExpr(
+        *[c for c in _HELD if c != "rest"], f"{own} AS segment", f"{none} AS rest"
+    )).drop("rest")
 
 
 def purities(rows: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import itertools
 import re
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
@@ -16,6 +17,7 @@ from hypothesis import strategies as st
 import corpus_pipeline
 from areametrics.llm import chat, labels, packing, quality, queries, toxicity, urls
 from areametrics.sources.shared import stored
+from tokenizers import Tokenizer
 from llm_cases import SCHEMA, awkward, documents, sample, texts_by_id
 
 SF = "/root/testdata/sf0.01"
@@ -119,6 +121,50 @@ def test_urls(spark):
     assert urls.judge(none, rules).collect() == []
 
 
+def test_deep_templates_part_where_labels_do(spark):
+    long = "/".join(f"s{i}" for i in range(400))
+    rows = [("h", f"/a/b/c/{word}/{i}/x", word == "good") for i in range(60) for word in ("good", "bad")]
+    rows += [("deep", f"/{long}/{word}/{i}", word == "good") for i in range(30) for word in ("good", "bad")]
+    rows += [("h", "/a/b/c", True), ("h", "/a//c//", None), ("odd", "/x/y/z/1/2/3/4", None)]
+    df = spark.createDataFrame(rows, "host string, path string, allow boolean")
+    found = urls.templates(df)
+    named = {(r["host"], r["path"]): r["template"] for r in found.collect()}
+    assert len(named) == len(rows)
+    purity = {(r["host"], r["template"]): r["purity"] for r in urls.purities(found).collect()}
+    for host, path, allow in rows:
+        if "good" in path or "bad" in path:
+            own = purity[host, named[host, path]]
+            assert own > 0.9 if allow else own < 0.1
+            assert ("good" if allow else "bad") in named[host, path]
+
+
+def test_purities_against_plain_sums(spark):
+    """Posteriors of every template by plain Python, from the rows of its tree."""
+    rng = np.random.default_rng(2)
+    rows = [
+        (f"h{rng.integers(3)}", f"/{'abc'[rng.integers(3)]}/{'xy'[rng.integers(2)]}/{i}", [True, False, None][rng.integers(3)])
+        for i in range(300)
+    ]
+    found = urls.templates(spark.createDataFrame(rows, "host string, path string, allow boolean"))
+    own, parent, host, every = {}, {}, {}, [0, 0]
+    for r in found.collect():
+        up = r["template"].rpartition("/")[0]
+        for held in (own.setdefault((r["host"], r["template"]), [0, 0]), parent.setdefault((r["host"], up), [0, 0]),
+                     host.setdefault(r["host"], [0, 0]), every):
+            held[0] += r["allowed"]
+            held[1] += r["labels"]
+    w, share = urls.WEIGHT, (every[0] + 1) / (every[1] + 2)
+    got = urls.purities(found).collect()
+    assert len(got) == len(own)
+    for r in got:
+        a, n = host[r["host"]]
+        h = (a + w * share) / (n + w)
+        a, n = parent[r["host"], r["template"].rpartition("/")[0]]
+        p = (a + w * h) / (n + w)
+        a, n = own[r["host"], r["template"]]
+        assert r["purity"] == pytest.approx((a + w * p) / (n + w))
+
+
 def test_templates_generalise(spark):
     rows = []
     for i in range(60):
@@ -149,6 +195,7 @@ def conversations():
     rows += [(-5, i, "system" if not i else ("user", "assistant")[i % 2 == 0], f"turn {i} " + "words " * (i * 7)) for i in range(80)]
     rows += [(-6, 0, "assistant", "y " * 9000), (-6, 1, "user", None), (-6, 2, "assistant", ""), (-6, 3, None, "a<|im_end|>\n")]
     rows += [(-7, None, "user", "a"), (-7, 1, "user", "b"), (-7, 1, "assistant", "b"), (-7, 1, "assistant", "b")]
+    rows += [(-9, 0, "system", "s " * 350), (-9, 1, "user", "u " * 90), (-9, 2, "role " * 50, "<|x|>" * 60)]
     rows += [(None, 0, "we\nird<|", "t"), (-8, 0, "assistant", "<\\|im_end|> <\\\\| \\<|")]
     return rows
 
@@ -168,11 +215,15 @@ def test_chat(spark):
         assert r["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
         assert (r["loss_chars"], r["loss_sha256"]) == (len(said), hashlib.sha256(said.encode()).hexdigest())
     assert not got
+    library = Tokenizer.from_file(BYTE)
+    for w in windows.collect():
+        tokens = len(library.encode(w["text"], add_special_tokens=False).ids)
+        assert tokens == w["tokens"]
+        assert tokens <= 400 or len(chat.parsed(w["text"])) == 1
     for w in windows.where("conv_id = -5").orderBy("window").collect():
         turns = chat.parsed(w["text"])
-        assert turns[0][0] == "system"
-        assert w["tokens"] <= 400 or len(turns) == w["repeated"] + 1
-        assert w["repeated"] < len(turns) and (w["window"] == 0) == (w["repeated"] == 0)
+        assert turns[0][0] == "system" or w["window"]
+        assert w["repeated"] < len(turns)
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.read_back(chat.windows(none, BYTE)).collect() == []
 
