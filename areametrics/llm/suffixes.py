@@ -44,6 +44,8 @@ WIDE = 5_000
 ARRAY_BYTES = 1 << 20
 NULL_ID = -(1 << 63)
 
+#: Distances to an anchor, less than ``length - GRAM + 1``, are held in eight bits.
+LONGEST = GRAM + 255
 _PLACE_BITS = np.uint64(28)
 _PLACE = np.uint64((1 << 28) - 1)
 
@@ -408,6 +410,8 @@ def _prepared(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def _found(docs: DataFrame, length: int, wide: int) -> tuple[DataFrame, DataFrame]:
     """Anchors sorted out, written once, and the stretches to compare."""
+    if not GRAM <= length <= LONGEST:
+        raise ValueError(f"strings of {length} bytes: from {GRAM} to {LONGEST} are compared")
     rows = stored(_sorted_out(_anchor_rows(docs, length)), "anchors")
     asked = rows.where("stretches IS NOT NULL").select("run", "id", "place", "stretches")
     return rows, stored(_stretches(docs, asked, length, wide), "stretches")

@@ -249,3 +249,10 @@ def test_empty_tables(spark):
     assert bpe.round_trip(df, WORD).collect() == []
     assert packing.pack(df, BYTE, end_id=1).collect() == []
     assert rules.judge(df).collect() == []
+
+
+def test_lengths_out_of_reach_raise(spark):
+    df = documents(spark, [(1, "text", "en", "s", 1)])
+    for length in (31, 288, 400):
+        with pytest.raises(ValueError):
+            suffixes.dedup(df, length=length)
