@@ -1,6 +1,7 @@
-"""Coordinate systems: longitude/latitude and transverse Mercator, in closed form.
+"""Coordinate systems: longitude/latitude, transverse Mercator, Lambert conformal conic and web
+Mercator, in closed form.
 
-The series are Snyder's (Map Projections - A Working Manual, USGS PP 1395, 8-9 to 8-25). NAD83
+The series are Snyder's (Map Projections - A Working Manual, USGS PP 1395, 8-9 to 8-25, 15-1 to 15-11, 3-5). NAD83
 and WGS 84 are taken as the same datum. Each formula is a list of named steps, so a step used
 many times is computed once, both on plain columns and inside vertex arrays.
 """
@@ -9,7 +10,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from math import radians, sqrt
+from math import cos, log, pi, radians, sin, sqrt, tan
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,12 +38,58 @@ class TransverseMercator:
         return f * (2 - f)
 
 
-def projection(srid: int) -> TransverseMercator | None:
+@dataclass(frozen=True)
+class LambertConformal:
+    """Ellipsoid, two standard parallels, latitude and longitude of origin; no false origin."""
+
+    axis: float
+    inverse_flattening: float
+    first: float
+    second: float
+    latitude: float
+    meridian: float
+
+    @property
+    def e2(self) -> float:
+        f = 1 / self.inverse_flattening
+        return f * (2 - f)
+
+    def cone(self) -> tuple[float, float, float]:
+        """Constant of the cone, ``axis * F``, and the radius at the latitude of origin."""
+        e = sqrt(self.e2)
+
+        def m(lat: float) -> float:
+            return cos(lat) / sqrt(1 - self.e2 * sin(lat) ** 2)
+
+        def t(lat: float) -> float:
+            return tan(pi / 4 - lat / 2) / ((1 - e * sin(lat)) / (1 + e * sin(lat))) ** (e / 2)
+
+        a, b, origin = (radians(v) for v in (self.first, self.second, self.latitude))
+        n = (log(m(a)) - log(m(b))) / (log(t(a)) - log(t(b)))
+        size = self.axis * m(a) / (n * t(a) ** n)
+        return n, size, size * t(origin) ** n
+
+
+@dataclass(frozen=True)
+class WebMercator:
+    """The sphere of map tiles."""
+
+    axis: float
+
+
+Projection = TransverseMercator | LambertConformal | WebMercator
+
+
+def projection(srid: int) -> Projection | None:
     """Parameters of an EPSG code; ``None`` for longitude/latitude, an error if unknown.
 
     Zones by rule: MTM 3-10 (32183-32190), UTM north on WGS 84 (32601-32660) and on NAD83
-    (26901-26923).
+    (26901-26923). Besides, Quebec Lambert (32198) and web Mercator (3857).
     """
+    if srid == 3857:
+        return WebMercator(6378137.0)
+    if srid == 32198:
+        return LambertConformal(*_GRS80, 60.0, 46.0, 44.0, -68.5)
     if srid in _LONLAT_CODES:
         return None
     if 32183 <= srid <= 32190:
@@ -63,7 +110,47 @@ def _d(v: float) -> str:
     return f"({v!r}D)"
 
 
-def _to_lonlat(p: TransverseMercator) -> list[tuple[str, str]]:
+def _lambert_to_lonlat(p: LambertConformal) -> list[tuple[str, str]]:
+    n, size, origin = p.cone()
+    e2 = p.e2
+    series = [
+        e2 / 2 + 5 * e2**2 / 24 + e2**3 / 12 + 13 * e2**4 / 360,
+        7 * e2**2 / 48 + 29 * e2**3 / 240 + 811 * e2**4 / 11520,
+        7 * e2**3 / 120 + 81 * e2**4 / 1120,
+        4279 * e2**4 / 161280,
+    ]
+    more = " + ".join(f"{_d(k)} * sin({2 * (i + 1)} * chi)" for i, k in enumerate(series))
+    return [
+        ("up", f"{_d(origin)} - y"),
+        ("t", f"pow(sqrt(x * x + up * up) / {_d(size)}, {_d(1 / n)})"),
+        ("chi", f"{_d(pi / 2)} - 2 * atan(t)"),
+        ("lat", f"degrees(chi + {more})"),
+        ("lon", f"{_d(p.meridian)} + degrees(atan2(x, up)) / {_d(n)}"),
+    ]
+
+
+def _lambert_from_lonlat(p: LambertConformal) -> list[tuple[str, str]]:
+    n, size, origin = p.cone()
+    e = _d(sqrt(p.e2))
+    return [
+        ("f", "radians(y)"),
+        ("s", f"{e} * sin(f)"),
+        ("t", f"tan({_d(pi / 4)} - f / 2) / pow((1 - s) / (1 + s), {e} / 2)"),
+        ("r", f"{_d(size)} * pow(greatest(t, 0D), {_d(n)})"),
+        ("a", f"{_d(n)} * radians(x - {_d(p.meridian)})"),
+        ("lon", "r * sin(a)"),
+        ("lat", f"{_d(origin)} - r * cos(a)"),
+    ]
+
+
+def _to_lonlat(p: Projection) -> list[tuple[str, str]]:
+    if isinstance(p, LambertConformal):
+        return _lambert_to_lonlat(p)
+    if isinstance(p, WebMercator):
+        return [
+            ("lon", f"degrees(x / {_d(p.axis)})"),
+            ("lat", f"degrees(2 * atan(exp(y / {_d(p.axis)})) - {_d(pi / 2)})"),
+        ]
     e2 = p.e2
     ep = _d(e2 / (1 - e2))
     e1 = (1 - sqrt(1 - e2)) / (1 + sqrt(1 - e2))
@@ -92,7 +179,14 @@ def _to_lonlat(p: TransverseMercator) -> list[tuple[str, str]]:
     ]
 
 
-def _from_lonlat(p: TransverseMercator) -> list[tuple[str, str]]:
+def _from_lonlat(p: Projection) -> list[tuple[str, str]]:
+    if isinstance(p, LambertConformal):
+        return _lambert_from_lonlat(p)
+    if isinstance(p, WebMercator):
+        return [
+            ("lon", f"{_d(p.axis)} * radians(x)"),
+            ("lat", f"{_d(p.axis)} * ln(tan({_d(pi / 4)} + radians(y) / 2))"),
+        ]
     e2 = p.e2
     ep = _d(e2 / (1 - e2))
     arc = [

@@ -16,6 +16,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from areametrics.operators.joins import sized_join
+from areametrics.sources.shared import stored
+
 # Ranks counted per area, with the result column of each.
 RANKS = {
     "kingdom": "kingdom_richness",
@@ -340,6 +343,28 @@ def compare_areas(df: DataFrame, key: str, first: object, second: object) -> Dat
     )
 
 
+def compare_all_areas(df: DataFrame, key: str = "park_name", **options: object) -> DataFrame:
+    """``first``, ``second`` (the smaller name first), ``shared``, ``first_only``, ``second_only`` for
+    every pair of areas that have a species in common.
+
+    Sets of species are joined with themselves by species, so only pairs that share one meet; species
+    of very many areas are split by the join's own rule (``options`` are those of ``sized_join``), and
+    shared species are counted before pairs are shuffled. Null areas and species are left out.
+    """
+    sets = keep_keyed(df, key).where("species IS NOT NULL").select(_q(key).alias("area"), "species").distinct()
+    sets = stored(sets, "species_of_areas")
+    sizes = sets.groupBy("area").agg(F.count("*").alias("n"))
+    pairs = sized_join(
+        sets, sets.withColumnRenamed("area", "other"), ["species"], F.col("l.area") < F.col("r.other"), "inner", **options
+    ).groupBy(F.col("l.area").alias("first"), F.col("r.other").alias("second")).agg(F.count("*").alias("shared"))
+    sized = pairs.join(sizes.withColumnsRenamed({"area": "first", "n": "n_first"}), "first").join(
+        sizes.withColumnsRenamed({"area": "second", "n": "n_second"}), "second"
+    )
+    return sized.selectExpr(
+        "first", "second", "shared", "n_first - shared AS first_only", "n_second - shared AS second_only"
+    )
+
+
 def search(df: DataFrame, column: str, term: str) -> DataFrame:
     """Rows whose ``column`` contains ``term``, letter case ignored."""
     return df.where(F.lower(_q(column)).contains(term.lower()))

@@ -575,3 +575,30 @@ def ships_near_ports_shuffled(spark, d):
     """The same by shuffling both sides, with cubes of many ships split."""
     found = N.within_metres(D.ships(spark, d), D.ports(spark, d), "ship_id", "port_id", 4000.0, limit=-1, heavy_rows=3)
     return found.withColumn("distance", F.round("distance", 3))
+
+
+# --- comparisons, projections ---------------------------------------------------------------
+
+@query
+def park_comparisons(spark, d):
+    """Species that every two parks share, and those of one only."""
+    return M.compare_all_areas(_occurrences(spark, d))
+
+
+@query
+def park_comparisons_shuffled(spark, d):
+    return M.compare_all_areas(_occurrences(spark, d), **_SHUFFLED)
+
+
+@query
+def reproject_planes(spark, d):
+    """Longitude and latitude in two planes, and back from the first."""
+    degrees = _spread_occurrences(spark, d).where(f"{D.LON} IS NOT NULL").selectExpr(
+        "gbifID", f"{D.LON} * 20 - 80 AS lon", f"{D.LAT} * 15 + 45 AS lat"
+    )
+    both = degrees.withColumns({"x": F.col("lon"), "y": F.col("lat"), "mx": F.col("lon"), "my": F.col("lat")})
+    moved = crs.reproject_xy(crs.reproject_xy(both, "x", "y", 4326, 32198), "mx", "my", 4326, 3857)
+    back = crs.reproject_xy(moved.withColumns({"lon": F.col("x"), "lat": F.col("y")}), "lon", "lat", 32198, 4326)
+    return back.select(
+        "gbifID", *[_rounded(c, 3) for c in ("x", "y", "mx", "my")], *[_rounded(c, 8) for c in ("lon", "lat")]
+    )

@@ -420,9 +420,32 @@ WHERE lower(species) LIKE '%bolt%'""",
 "Nom", "Type", "TYPO1", "TYPO2", {_PLOT_SUMS} FROM plot JOIN plot_edge USING ("OBJECTID") GROUP BY ALL"""),
         **_overlay(),
         **_distances(),
+        **dict.fromkeys(("park_comparisons", "park_comparisons_shuffled"), occ + """SELECT first, second, shared,
+a.n - shared AS first_only, b.n - shared AS second_only FROM (SELECT x.park_name AS first, y.park_name AS second,
+count(DISTINCT x.species) AS shared FROM (SELECT DISTINCT park_name, species FROM occ) x JOIN (SELECT DISTINCT
+park_name, species FROM occ) y ON x.species = y.species AND x.park_name < y.park_name GROUP BY 1, 2) p
+JOIN (SELECT park_name, count(DISTINCT species) AS n FROM occ GROUP BY 1) a ON a.park_name = first
+JOIN (SELECT park_name, count(DISTINCT species) AS n FROM occ GROUP BY 1) b ON b.park_name = second"""),
+        "reproject_planes": occ + _planes(),
     }
 
 
+def _planes() -> str:
+    """Snyder's conformal conic from its definition, parallels 46 and 60 degrees; spherical Mercator."""
+    e = "0.0818191910428158"
+    m = lambda lat: f"(cos(radians({lat})) / sqrt(1 - {e} * {e} * pow(sin(radians({lat})), 2)))"
+    t = lambda lat: (
+        f"(tan(pi() / 4 - radians({lat}) / 2) / pow((1 - {e} * sin(radians({lat}))) / (1 + {e} * sin(radians({lat}))), {e} / 2))"
+    )
+    return f"""SELECT "gbifID", round(r * sin(a), 3) + 0.0 AS x, round(r0 - r * cos(a), 3) + 0.0 AS y,
+round(6378137 * radians(lon), 3) + 0.0 AS mx, round(6378137 * ln(tan(pi() / 4 + radians(lat) / 2)), 3) + 0.0 AS my,
+round(lon, 8) + 0.0 AS lon, round(lat, 8) + 0.0 AS lat FROM (SELECT *, 6378137 * f * pow({t("lat")}, n) AS r,
+6378137 * f * pow({t("44")}, n) AS r0, n * radians(lon + 68.5) AS a FROM (
+SELECT *, {m("60")} / (n * pow({t("60")}, n)) AS f FROM (SELECT "gbifID", x * 20 - 80 AS lon,
+y * 15 + 45 AS lat, (ln({m("60")}) - ln({m("46")})) / (ln({t("60")}) - ln({t("46")})) AS n
+FROM occ WHERE x IS NOT NULL) o) q) z"""
+
+
 def _distances() -> dict[str, str]:
     def across(table: str, key: str, factor: int) -> str:
         return f"""SELECT id, CASE WHEN lon > 180 THEN lon - 360 ELSE lon END AS x, y FROM (SELECT {key} AS id,

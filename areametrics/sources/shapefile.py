@@ -29,7 +29,7 @@ from pyspark.sql.datasource import (
     DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage,
 )
 
-from areametrics.functions.crs import projection
+from areametrics.functions.crs import TransverseMercator, projection
 from areametrics.schemas import GEOM, POINT, POLYGON
 from areametrics.session import importable
 
@@ -393,6 +393,8 @@ def write_shapefile(df: DataFrame, path: str, srid: int | None = None) -> None:
 def prj_text(srid: int) -> str:
     """What a ``.prj`` says of a coordinate system."""
     plane = projection(srid)
+    if plane and not isinstance(plane, TransverseMercator):
+        raise ValueError(f"no .prj text for coordinate system {srid}")
     axis, flat = (plane.axis, plane.inverse_flattening) if plane else (6378137.0, 298.257223563)
     # Names of the two datums.
     datum = ("D_WGS_1984", "WGS_1984") if flat == 298.257223563 else ("D_North_American_1983", "GRS_1980")

@@ -124,6 +124,27 @@ def test_polygons_and_points_move_alike(spark):
     assert math.isclose(v.x, -73.561, abs_tol=1e-2)
 
 
+@pytest.mark.parametrize("srid", [32198, 3857])
+def test_other_planes(spark, srid):
+    rows = [(i, (-79.0 + i * 1.7, 40.0 + i * 1.9)) for i in range(12)] + [(20, (-68.5, 44.0)), (21, None)]
+    df = points(spark, rows).select("id", "geom")
+    moved = crs.reproject(df, 4326, srid)
+    back = {r.id: r.geom for r in crs.reproject(moved, srid, 4326).collect()}
+    for i, p in rows:
+        assert back[i] == p if p is None else tuple(back[i]) == pytest.approx(p, abs=1e-8)
+
+
+def test_lambert_is_true_on_its_parallels(spark):
+    """The scale along a standard parallel is one, and the origin lies at zero."""
+    e2 = 0.00669438002290
+    for lat in (46.0, 60.0):
+        df = points(spark, [(1, (-70.0, lat)), (2, (-70.0 + 1e-4, lat)), (3, (-68.5, 44.0))]).select("id", "geom")
+        a, b, origin = (r.geom for r in crs.reproject(df, 4326, 32198).orderBy("id").collect())
+        arc = 6378137.0 * math.cos(math.radians(lat)) / math.sqrt(1 - e2 * math.sin(math.radians(lat)) ** 2) * math.radians(1e-4)
+        assert math.hypot(b.x - a.x, b.y - a.y) == pytest.approx(arc, rel=1e-7)
+        assert tuple(origin) == pytest.approx((0.0, 0.0), abs=1e-6)
+
+
 def test_crs_rules(spark):
     df = points(spark, [(1, (1.0, 2.0))])
     assert crs.reproject(df, 4326, 4326) is df
