@@ -592,13 +592,14 @@ def park_comparisons_shuffled(spark, d):
 
 @query
 def reproject_planes(spark, d):
-    """Longitude and latitude in two planes, and back from the first."""
+    """Longitude and latitude in two planes, and how far off the way back from the first ends."""
     degrees = _spread_occurrences(spark, d).where(f"{D.LON} IS NOT NULL").selectExpr(
         "gbifID", f"{D.LON} * 20 - 80 AS lon", f"{D.LAT} * 15 + 45 AS lat"
     )
     both = degrees.withColumns({"x": F.col("lon"), "y": F.col("lat"), "mx": F.col("lon"), "my": F.col("lat")})
     moved = crs.reproject_xy(crs.reproject_xy(both, "x", "y", 4326, 32198), "mx", "my", 4326, 3857)
-    back = crs.reproject_xy(moved.withColumns({"lon": F.col("x"), "lat": F.col("y")}), "lon", "lat", 32198, 4326)
-    return back.select(
-        "gbifID", *[_rounded(c, 3) for c in ("x", "y", "mx", "my")], *[_rounded(c, 8) for c in ("lon", "lat")]
+    back = crs.reproject_xy(moved.withColumns({"bx": F.col("x"), "by": F.col("y")}), "bx", "by", 32198, 4326)
+    off = back.withColumns({"lon_off": F.col("bx") - F.col("lon"), "lat_off": F.col("by") - F.col("lat")})
+    return off.select(
+        "gbifID", *[_rounded(c, 3) for c in ("x", "y", "mx", "my")], *[_rounded(c, 8) for c in ("lon_off", "lat_off")]
     )

@@ -439,7 +439,7 @@ def _planes() -> str:
     )
     return f"""SELECT "gbifID", round(r * sin(a), 3) + 0.0 AS x, round(r0 - r * cos(a), 3) + 0.0 AS y,
 round(6378137 * radians(lon), 3) + 0.0 AS mx, round(6378137 * ln(tan(pi() / 4 + radians(lat) / 2)), 3) + 0.0 AS my,
-round(lon, 8) + 0.0 AS lon, round(lat, 8) + 0.0 AS lat FROM (SELECT *, 6378137 * f * pow({t("lat")}, n) AS r,
+CAST(0 AS DOUBLE) AS lon_off, CAST(0 AS DOUBLE) AS lat_off FROM (SELECT *, 6378137 * f * pow({t("lat")}, n) AS r,
 6378137 * f * pow({t("44")}, n) AS r0, n * radians(lon + 68.5) AS a FROM (
 SELECT *, {m("60")} / (n * pow({t("60")}, n)) AS f FROM (SELECT "gbifID", x * 20 - 80 AS lon,
 y * 15 + 45 AS lat, (ln({m("60")}) - ln({m("46")})) / (ln({t("60")}) - ln({t("46")})) AS n
