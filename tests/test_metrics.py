@@ -136,3 +136,19 @@ def test_wide_aggregations_hash_instead_of_sorting(data):
     assert plan.count("Expand") == 1 and "SortAggregate" not in plan
     assert "SortAggregate" not in plan_text(M.shannon_index(data))
     assert "Window" not in plan_text(M.shannon_index(data))
+
+
+def test_all_areas_are_compared(spark):
+    rows = [("a", "x"), ("a", "y"), ("b", "y"), ("b", "y"), ("b", "z"), ("c", "q"), ("d", None), (None, "y")]
+    rows += [(f"p{i:02}", "everywhere") for i in range(40)]
+    df = spark.createDataFrame(rows, "park_name string, species string")
+    sets = {}
+    for area, species in rows:
+        if area and species:
+            sets.setdefault(area, set()).add(species)
+    want = {
+        (a, b, len(sets[a] & sets[b]), len(sets[a] - sets[b]), len(sets[b] - sets[a]))
+        for a in sets for b in sets if a < b and sets[a] & sets[b]
+    }
+    for options in ({}, {"limit": -1, "heavy_rows": 5}):
+        assert {tuple(r) for r in M.compare_all_areas(df, **options).collect()} == want
