@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from areametrics.functions import crs
 from areametrics.functions import geometry as G
 from areametrics.functions import wkb
+from areametrics.operators import heightmap as H
 from areametrics.operators import layers as L
 from areametrics.operators import metrics as M
 from areametrics.operators import near as N
@@ -24,7 +25,7 @@ from areametrics.operators import spatial as S
 from areametrics.plans import build as B
 from areametrics.plans import derived as D
 from areametrics.schemas import BBOX, CSV_TYPES, GEOM
-from areametrics.sources import readers, shapefile, writers
+from areametrics.sources import readers, shapefile, sniff, writers
 from areametrics.sources.shared import new_path, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -380,6 +381,26 @@ def csv_to_parquet(spark, d):
     return readers.read_occurrences(spark, table)
 
 
+@query
+def csv_sniffed(spark, d):
+    """Semicolons, a header and quotes, none of which the reader is told."""
+    text = new_path(spark, "csv")
+    rows = _spread_occurrences(spark, d).select(*[f"`{c}`" for c in CSV_TYPES])
+    rows.write.option("sep", ";").option("header", True).option("quoteAll", True).option("escape", '"').csv(text)
+    return sniff.read_delimited(spark, text)
+
+
+@query
+def csv_sniffed_headerless(spark, d):
+    """Commas without a header: types come from all rows."""
+    text = new_path(spark, "csv")
+    rows = _spread_occurrences(spark, d).selectExpr(
+        "gbifID", "species", "day", "eventDate", "gbifID / 8 AS eighth", "year > 1995 AS recent"
+    )
+    rows.write.csv(text)
+    return sniff.read_delimited(spark, text)
+
+
 @query
 def area_rows(spark, d):
     table = new_path(spark, "area")
@@ -486,6 +507,31 @@ def richness_hotspots(spark, d):
     return M.by_richness(M.taxa_richness(rows, "id"), "id").select("id", "species_richness").limit(20)
 
 
+def _places(spark: SparkSession, d: str) -> DataFrame:
+    rows = _spread_occurrences(spark, d)
+    return rows.select("species", F.col(D.LON).alias("minx"), F.col(D.LAT).alias("miny"))
+
+
+@query
+def height_map(spark, d):
+    """Rows and relief of every cell on ten levels over the unit square."""
+    found = H.height_map(_places(spark, d), (0, 0, 1, 1))
+    return found.select("level", "quad", "observations", _rounded("height", 9))
+
+
+@query
+def height_map_species(spark, d):
+    """Species of all cells by level, and whether each cell's estimate is within 5 %."""
+    places = stored(_places(spark, d), "places")
+    exact = H.exact_richness(places, (0, 0, 1, 1)).withColumnRenamed("species_richness", "exact")
+    both = H.height_map(places, (0, 0, 1, 1)).join(exact, ["level", "quad"], "left")
+    n = F.coalesce("exact", F.lit(0))
+    return both.groupBy("level").agg(
+        F.count("*").alias("cells"), F.sum(n).alias("species"),
+        F.bool_and(F.abs(F.col("species_richness") - n) <= 0.05 * n).alias("within"),
+    )
+
+
 @query
 def closest_plots(spark, d):
     near = L.closest(D.raw_plots(spark, d), 0.3, 0.05, 10, "OBJECTID")

@@ -35,6 +35,12 @@ SELECT CAST(cx * {D.GRID} + cy AS INTEGER) AS id, cx / CAST({D.GRID} AS DOUBLE)
   (cy + 1) / CAST({D.GRID} AS DOUBLE) AS maxy
 FROM range({D.GRID}) a(cx), range({D.GRID}) b(cy))"""
 
+_QUADS = f"""quads AS (
+SELECT CAST(level AS INTEGER) AS level, left(quad, level) AS quad, species FROM (SELECT species, concat({", ".join(
+    f"(cx // {1 << i}) % 2 + (cy // {1 << i}) % 2 * 2" for i in reversed(range(10))
+)}) AS quad FROM (SELECT species, CAST(floor(x * 1024) AS BIGINT) AS cx, CAST(floor(y * 1024) AS BIGINT) AS cy
+FROM occ WHERE x IS NOT NULL AND y IS NOT NULL) a) b, range(1, 11) l(level))"""
+
 _NBHD = """nbhd AS (
 SELECT r_regionkey AS qr_id, r_name AS qr_name, r_regionkey / CAST(5 AS DOUBLE) AS minx,
   CAST(0 AS DOUBLE) AS miny, (r_regionkey + 1) / CAST(5 AS DOUBLE) AS maxx,
@@ -363,6 +369,11 @@ FROM plot p JOIN plot_box USING ("OBJECTID") WHERE "Nom" IS NOT NULL GROUP BY "N
 round(max(lon), 8) AS maxx, round(max(lat), 8) AS maxy FROM moved GROUP BY "OBJECTID" """,
         "csv_to_parquet": occ
         + f'SELECT {_occ_cols()}, x AS "decimalLongitude", y AS "decimalLatitude" FROM occ',
+        "csv_sniffed": occ
+        + f'SELECT {_occ_cols()}, x AS "decimalLongitude", y AS "decimalLatitude" FROM occ',
+        "csv_sniffed_headerless": occ + """SELECT "gbifID" AS column0, species AS column1,
+CAST(day AS BIGINT) AS column2, CAST("eventDate" AS DATE) AS column3, "gbifID" / 8 AS column4,
+year > 1995 AS column5 FROM occ""",
         "area_rows": occ + 'SELECT "gbifID", park_id, park_name FROM occ WHERE park_id IS NOT NULL',
         "geojson_roundtrip": _with(_PLOT_EDGES) + f"""SELECT "OBJECTID", "Nom", "Type", "TYPO1",
 "TYPO2", {_PLOT_SUMS} FROM plot JOIN plot_edge USING ("OBJECTID")
@@ -394,6 +405,12 @@ FROM occ GROUP BY kingdom""",
         "richness_hotspots": _with(_OCC, _GRID, _GRID_JOINED) + """SELECT id,
 count(DISTINCT species) AS species_richness FROM joined WHERE id IS NOT NULL GROUP BY id
 ORDER BY species_richness DESC, id LIMIT 20""",
+        "height_map": _with(_OCC, _QUADS) + """SELECT level, quad, observations,
+round(ln(1 + observations) / ln(1 + max(observations) OVER (PARTITION BY level)), 9) AS height
+FROM (SELECT level, quad, count(*) AS observations FROM quads GROUP BY level, quad) q""",
+        "height_map_species": _with(_OCC, _QUADS) + """SELECT level, count(*) AS cells,
+CAST(sum(n) AS BIGINT) AS species, TRUE AS within FROM (SELECT level, quad, count(DISTINCT species) AS n
+FROM quads GROUP BY level, quad) q GROUP BY level""",
         "closest_plots": _with(_PLOT_EDGES) + """SELECT "OBJECTID", round(d, 9) AS distance FROM (
 SELECT "OBJECTID", CASE WHEN bool_or(inside) THEN CAST(0 AS DOUBLE) ELSE min(d) END AS d FROM (
 SELECT "OBJECTID", part, """ + _CROSS + """ % 2 = 1 AS inside, min(sqrt(

@@ -38,11 +38,11 @@ def read_csv(
         reader = reader.option("pathGlobFilter", pattern)
     raw = reader.csv(path)
     return raw.select(*[
-        _typed(c, CSV_TYPES[c]) if c in CSV_TYPES else F.col(f"`{c}`") for c in raw.columns
+        typed(c, CSV_TYPES[c]) if c in CSV_TYPES else F.col(f"`{c}`") for c in raw.columns
     ])
 
 
-def _typed(column: str, kind: str | T.DataType) -> Column:
+def typed(column: str, kind: str | T.DataType) -> Column:
     """The column cast, or an error that names the value which does not fit."""
     value = F.col(f"`{column}`")
     cast = value.try_cast(kind)

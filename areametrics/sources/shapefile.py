@@ -73,25 +73,25 @@ class Layer:
     encoding: str
 
 
-def _open(path: str):
+def file_system(path: str):
     system, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
     return system, inner
 
 
 def _read(path: str, start: int = 0, size: int | None = None) -> bytes:
-    system, inner = _open(path)
+    system, inner = file_system(path)
     with system.open_input_file(inner) as f:
         return f.read_at(f.size() - start if size is None else size, start)
 
 
 def _exists(path: str) -> bool:
-    system, inner = _open(path)
+    system, inner = file_system(path)
     return system.get_file_info(inner).type == fs.FileType.File
 
 
 def layers(path: str) -> list[str]:
     """Paths, without their ending, of the shapefiles at ``path``: a file or a folder."""
-    system, inner = _open(path)
+    system, inner = file_system(path)
     prefix = path[: len(path) - len(inner)] if path.endswith(inner) else ""
     if system.get_file_info(inner).type == fs.FileType.Directory:
         found = system.get_file_info(fs.FileSelector(inner, recursive=True))
@@ -225,7 +225,7 @@ class Reader(DataSourceReader):
         out = []
         for base in layers(self.path):
             layer = heads(base)
-            system, inner = _open(f"{base}.shp")
+            system, inner = file_system(f"{base}.shp")
             tasks = max(1, -(-system.get_file_info(inner).size // self.split))
             step = max(1, -(-layer.records // tasks))
             out += [Range(layer, i, min(i + step, layer.records)) for i in range(0, layer.records, step)]
@@ -324,7 +324,7 @@ class Writer(DataSourceArrowWriter):
         files = {"shp": head(50 + len(shp) // 2) + shp, "shx": head(50 + len(shx) // 2) + shx, "dbf": dbf, "cpg": b"utf-8"}
         if self.prj:
             files["prj"] = self.prj.encode()
-        system, inner = _open(name)
+        system, inner = file_system(name)
         system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
         for ending, raw in files.items():
             with system.open_output_stream(f"{inner}.{ending}") as f:
@@ -340,7 +340,7 @@ class Writer(DataSourceArrowWriter):
 
     def commit(self, messages):
         def rename(base, ending):
-            system, inner = _open(base)
+            system, inner = file_system(base)
             folder, name = inner.rsplit("/", 1)
             system.move(f"{inner}.{ending}", f"{folder}/part-{name[1:]}.{ending}")
 
@@ -348,7 +348,7 @@ class Writer(DataSourceArrowWriter):
 
     def abort(self, messages):
         def remove(base, ending):
-            system, inner = _open(base)
+            system, inner = file_system(base)
             system.delete_file(f"{inner}.{ending}")
 
         self._each(messages, remove)
