@@ -21,7 +21,8 @@ Runs that stand in more than ``WIDE`` different stretches, such as a short commo
 apart: each string is sent by its own hash, one per batch of documents, and compared in a stream.
 
 Null text is empty; null and empty texts have nothing to remove. A null id sorts before all others.
-Repeated ids are one document. An empty table gives no rows. Whole texts are used.
+Repeated ids are one document. An empty table gives no rows. Whole texts are used. Only key and text
+are read, so other columns may have any name; the key must cast to long.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from areametrics.llm.common import SpanHash, groups, mixed, one_per_id, text_bytes
+from areametrics.operators.joins import sized_join
 from areametrics.sources.shared import stored
 
 GRAM = 32
@@ -99,11 +101,11 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts[opens], ends[np.append(opens[1:], True)]
 
 
-def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
+def _anchor_rows(docs: DataFrame, length: int, fold: bool = True) -> DataFrame:
     """``run``, ``stretch``, ``id``, ``place``: the first anchor of each class in a batch, and what
     the batch by itself shows to be repeated, as ranges (``place`` is -1 - start, ``stretch`` the
     length, ``run`` arbitrary). An anchor's place is start << 16 | anchor - start << 8 | more
-    starts."""
+    starts. Without ``fold`` every anchor has a row."""
 
     def run(batches):
         for batch in batches:
@@ -124,7 +126,7 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
             place = (rank[row] << 32) | start
             order = np.lexsort((place, mixed(gram + mixed(stretch))))
             gram, stretch = gram[order], stretch[order]
-            new = np.append(True, (np.diff(gram) != 0) | (np.diff(stretch) != 0))[: len(order)]
+            new = np.append(True, (np.diff(gram) != 0) | (np.diff(stretch) != 0))[: len(order)] | (not fold)
             rest = np.sort(order[~new])  # by row and start
             # Ranges over one number line, a gap between rows.
             line = row[rest] << 33
@@ -162,10 +164,10 @@ def _sorted_out(rows: DataFrame) -> DataFrame:
     )
 
 
-def _stretches(docs: DataFrame, asked: DataFrame, length: int, wide: int) -> DataFrame:
+def _stretches(docs: DataFrame, asked: DataFrame, length: int, wide: int, fold: bool = True) -> DataFrame:
     """``key``, ``id``, ``start``, ``more``, ``bytes`` of the stretches asked for. Those of wide
-    runs come string by string; strings that repeat within a batch come back as ranges with a null
-    key (``more`` is then the length)."""
+    runs come string by string; with ``fold``, strings that repeat within a batch come back as ranges
+    with a null key (``more`` is then the length)."""
     per_doc = asked.groupBy("id").agg(
         F.collect_list(F.struct("run", "place", (F.col("stretches") > wide).alias("wide"))).alias("asked")
     )
@@ -202,7 +204,7 @@ def _stretches(docs: DataFrame, asked: DataFrame, length: int, wide: int) -> Dat
                     ) for r in np.unique(w_row)
                 ])
                 order = np.lexsort((w_start, ids[w_row], spread))
-                new = np.append(True, np.diff(spread[order]) != 0)
+                new = np.append(True, np.diff(spread[order]) != 0) | (not fold)
                 keep, rest = order[new], order[~new]
                 out.append([spread[keep].view(np.int64), ids[w_row[keep]], w_start[keep],
                             np.zeros(len(keep), np.int64),
@@ -344,10 +346,12 @@ def _grouped(stretches: DataFrame, length: int, occurrences: bool) -> DataFrame:
             if not listed:
                 return None
             # Numbered by their first occurrence and length.
-            names = [mixed(mixed(np.array([w[0], p[0], n], np.int64).view(np.uint64)).cumsum())[-1] for n, w, p in listed]
+            names = np.zeros(len(listed), np.uint64)
+            for part in zip(*((w[0], p[0], n) for n, w, p in listed)):
+                names = mixed(names + np.array(part, np.int64).view(np.uint64))
             sizes = [len(w) for _, w, _ in listed]
             return [
-                np.repeat(np.array(names, dtype=np.uint64).view(np.int64), sizes),
+                np.repeat(names.view(np.int64), sizes),
                 np.repeat(np.array([n for n, _, _ in listed]), sizes),
                 np.concatenate([w for _, w, _ in listed]), np.concatenate([p for _, _, p in listed]),
             ]
@@ -408,10 +412,14 @@ def _prepared(df: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text).alias("text"))
 
 
-def _found(docs: DataFrame, length: int, wide: int) -> tuple[DataFrame, DataFrame]:
-    """Anchors sorted out, written once, and the stretches to compare."""
+def _check(length: int) -> None:
     if not GRAM <= length <= LONGEST:
         raise ValueError(f"strings of {length} bytes: from {GRAM} to {LONGEST} are compared")
+
+
+def _found(docs: DataFrame, length: int, wide: int) -> tuple[DataFrame, DataFrame]:
+    """Anchors sorted out, written once, and the stretches to compare."""
+    _check(length)
     rows = stored(_sorted_out(_anchor_rows(docs, length)), "anchors")
     asked = rows.where("stretches IS NOT NULL").select("run", "id", "place", "stretches")
     return rows, stored(_stretches(docs, asked, length, wide), "stretches")
@@ -420,10 +428,39 @@ def _found(docs: DataFrame, length: int, wide: int) -> tuple[DataFrame, DataFram
 def repeat_groups(
     df: DataFrame, length: int = 100, key: str = "doc_id", text: str = "text", wide: int = WIDE
 ) -> DataFrame:
-    """The maximal repeats with all their occurrences in the first stretch of every class:
-    ``repeat``, ``length``, ``id``, ``start``. Repeats longer than a stretch appear as overlapping
-    ones; equal stretches are listed once."""
-    return _grouped(_found(_prepared(df, key, text), length, wide)[1], length, True)
+    """The maximal repeats with all their occurrences, those in exact copies too: ``repeat``,
+    ``length``, ``id``, ``start``.
+
+    A class of equal stretches goes into the suffix array by its first and its last member, so that the
+    stretch itself is a repeat; what is found is then listed for all members. Repeats longer than a
+    stretch appear as overlapping ones, those of wide runs as strings of ``length`` bytes."""
+    _check(length)
+    docs = _prepared(df, key, text)
+    anchors = stored(_anchor_rows(docs, length, fold=False), "anchors")
+    classes = anchors.groupBy("run", "stretch").agg(
+        F.count("*").alias("n"), F.min(F.struct("id", "place")).alias("first"), F.max(F.struct("id", "place")).alias("last")
+    )
+    classes = stored(classes, "classes")
+    per_run = classes.groupBy("run").agg(F.count("*").alias("stretches"))
+    ends = stored(
+        classes.join(per_run, "run").where("n > 1 OR stretches > 1").select(
+            "run", "stretch", "stretches", F.explode(F.array_distinct(F.array("first", "last"))).alias("end")
+        ).select("run", "stretch", "stretches", "end.*"), "ends",
+    )
+    stretches = stored(_stretches(docs, ends.drop("stretch"), length, wide, fold=False), "stretches")
+    found = _grouped(stretches, length, True)
+    # Of a document's anchors just one has a given string; its strings lie in at most two buckets of 256.
+    first, more = F.shiftright("place", 16), F.col("place").bitwiseAND(255)
+    buckets = F.explode(F.array_distinct(F.array(F.shiftright(first, 8), F.shiftright(first + more, 8))))
+    owners = ends.select("run", "stretch", "id", first.alias("first"), more.alias("more"), buckets.alias("bucket"))
+    owned = found.withColumn("bucket", F.shiftright("start", 8)).join(owners, ["id", "bucket"]).where(
+        "start BETWEEN first AND first + more"
+    ).selectExpr("repeat", "length", "run", "stretch", "start - first AS ahead").distinct()
+    members = sized_join(
+        anchors.select("run", "stretch", "id", first.alias("first")), stored(owned, "repeats"), ["run", "stretch"], how="inner"
+    )
+    own = F.when(F.col("id") != NULL_ID, F.col("id")).alias("id")
+    return members.select("repeat", "length", own, (F.col("first") + F.col("ahead")).alias("start"))
 
 
 def repeated_ranges(docs: DataFrame, length: int, wide: int = WIDE) -> DataFrame:

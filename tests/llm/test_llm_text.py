@@ -67,6 +67,33 @@ def test_groups_hold_all_occurrences(spark):
     assert max(len(p) for p in groups.values()) == 5
 
 
+@pytest.mark.parametrize("wide", [suffixes.WIDE, 1])
+def test_groups_against_brute_force(spark, wide):
+    rng = np.random.default_rng(11)
+    letters = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    passage, other = letters(260), letters(150)
+    texts = {i: passage + other for i in range(4)}  # exact copies
+    texts |= {i: letters(40) + passage[i : 200 + i] + letters(30) for i in range(4, 9)}
+    texts |= {9: other * 3, 10: "ab" * 150, 11: "", 12: letters(500)}
+    texts[13] = texts[12][:130]
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    groups = {}
+    for r in suffixes.repeat_groups(df, wide=wide).collect():
+        groups.setdefault((r["repeat"], r["length"]), []).append((r["id"], r["start"]))
+    covered = set()
+    for (_, n), places in groups.items():
+        assert len(places) == len(set(places)) > 1
+        i, p = places[0]
+        string = texts[i][p : p + n]
+        assert set(places) == {(j, q) for j, t in texts.items() for q in range(len(t) - n + 1) if t.startswith(string, q)}
+        covered |= {(j, q + k) for j, q in places for k in range(n - 99)}
+    where = {}
+    for j, t in texts.items():
+        for q in range(len(t) - 99):
+            where.setdefault(t[q : q + 100], []).append((j, q))
+    assert covered == {x for places in where.values() if len(places) > 1 for x in places}
+
+
 def test_suffix_array_against_sorting():
     rng = np.random.default_rng(4)
     pieces = [rng.integers(97, 99, n).astype(np.uint8).tobytes() for n in (30, 1, 9, 64, 17, 40, 8)] + [b"\0" * 12, b"\0" * 20]
