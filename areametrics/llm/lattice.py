@@ -12,7 +12,8 @@ Equal vectors of a label are one class; their links to each other are counted, n
 Vectors of different lengths do not link. Vectors that are null or zero, or that hold nulls or non-finite
 numbers, and vectors whose label is null, link with nothing and keep their row. Repeated ids are
 one vector (its least embedding and label); a null id keeps its row, without links. An empty table
-gives no rows.
+gives no rows. Labels may be of any type that can be ordered, ids are whole numbers. Only id, vector and
+label are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -86,7 +87,9 @@ def entries(vectors: np.ndarray, labels: np.ndarray) -> np.ndarray:
 def _classes(df: DataFrame, key: str, vector: str, label: str) -> tuple[DataFrame, DataFrame]:
     """All rows with the class of each (null without), and the classes: ``rep``, ``size``, unit
     vector, label."""
-    rows = df.groupBy(key).agg(F.min(vector).alias("v"), F.min(label).cast("long").alias("l"))
+    rows = df.groupBy(key).agg(F.min(vector).alias("v"), F.min(label).alias("l"))
+    # Labels of any type are told by their hash.
+    rows = rows.withColumn("l", F.when(F.col("l").isNotNull(), F.xxhash64("l")))
     fine = (
         f"`{key}` IS NOT NULL AND l IS NOT NULL AND v IS NOT NULL AND size(v) > 0 AND forall(v, x -> x IS NOT NULL"
         " AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(v, x -> x <> 0)"

@@ -171,6 +171,17 @@ def test_lattice_compares_each_length(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("kind, values", [("double", (1.2, 1.7)), ("string", ("a", "b")), ("boolean", (True, False))])
+def test_lattice_labels_of_any_type(spark, kind, values):
+    one, other = values
+    v = [0.5] * 64
+    near = [0.51] + [0.5] * 63
+    rows = [(1, v, one), (2, near, one), (3, v, other), (4, v, None), (5, near, other)]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<double>, label {kind}")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in lattice.judge(df).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (0, 4), 5: (1, 3)}
+
+
 def test_lattice_points_are_nearest():
     rng = np.random.default_rng(7)
     y = rng.uniform(-3, 3, (300, 8))
