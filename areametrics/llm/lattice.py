@@ -34,6 +34,10 @@ from areametrics.sources.shared import stored
 #: A pair of cosine 0.93 shares an entry of a table with probability 0.9, so all four miss one in 10**4.
 TABLES, PROBES, SCALE, SEED = 4, 5, 6.0, 20
 COSINE = 0.93
+#: Groups of so many rows are compared pair by pair, together; larger ones as products of matrices.
+SMALL = 24
+#: Pairs of 64 components held at once, and lesser keys looked at at once; both bound a task's memory only.
+PAIRS, COLUMNS = 1 << 14, 2048
 
 _ROOTS = np.array(
     [
@@ -103,90 +107,191 @@ def _classes(df: DataFrame, key: str, vector: str, label: str) -> tuple[DataFram
     return rows, stored(classes, "classes")
 
 
-def links(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
+def _unit(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors in double precision, padded with zeros to the longest, and their lengths."""
+    lengths = np.diff(column.offsets.to_numpy())
+    inside = np.arange(lengths.max(initial=0)) < lengths[:, None]
+    vectors = np.zeros(inside.shape)
+    vectors[inside] = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    vectors /= np.abs(vectors).max(axis=1, keepdims=True)
+    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True), lengths
+
+
+class _Rows:
+    """Rows of whole groups (an entry and a pair of its blocks), and the links found in them."""
+
+    def __init__(self, table: pa.Table, cosine: float):
+        self.entry, self.i, self.j, self.own, self.ids, self.sizes = (
+            table.column(c).to_numpy() for c in ("entry", "_i", "_j", "_own", "rep", "size")
+        )
+        self.vectors, self.lengths = _unit(table.column("v").combine_chunks())
+        listed = table.column("lesser").combine_chunks()
+        counts = np.diff(listed.offsets.to_numpy())
+        # Lesser keys, filled up with the entry itself, which is none of them.
+        self.lesser = np.repeat(self.entry[:, None], counts.max(initial=0), axis=1)
+        self.lesser[np.arange(self.lesser.shape[1]) < counts[:, None]] = listed.flatten().to_numpy()
+        self.cosine = cosine
+        self.counts = np.zeros(len(self.ids), dtype=np.int64)
+        self.joined: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def _first(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether near rows ``a`` and ``b`` share no lesser key; with one they count there."""
+        left = self.lesser[a]
+        same = left[:, :, None] == self.lesser[b][:, None, :]
+        return ~(same & (left < self.entry[a][:, None])[:, :, None]).any(axis=(1, 2))
+
+    def small(self, starts: np.ndarray, size: int) -> None:
+        """All groups of ``size`` rows at once, pair by pair in portions of bounded size."""
+        x, y = np.triu_indices(size, 1)
+        step = max(1, PAIRS * 64 // max(64, self.vectors.shape[1]) // len(x))
+        for at in range(0, len(starts), step):
+            base = starts[at : at + step, None]
+            a, b = (base + x).ravel(), (base + y).ravel()
+            good = (self.i[a] == self.j[a]) | (self.own[a] != self.own[b])
+            good &= (self.lengths[a] == self.lengths[b]) & (self.ids[a] != self.ids[b])
+            a, b = a[good], b[good]
+            near = np.einsum("ij,ij->i", self.vectors[a], self.vectors[b]) >= self.cosine
+            a, b = a[near], b[near]
+            self.joined.append((a, b))
+            first = self._first(a, b)
+            np.add.at(self.counts, a[first], self.sizes[b[first]])
+            np.add.at(self.counts, b[first], self.sizes[a[first]])
+
+    def large(self, start: int, end: int) -> None:
+        """One group, as a product of its blocks."""
+        rows = np.arange(start, end)
+        itself = self.i[start] == self.j[start]
+        left = rows if itself else rows[self.own[start:end] == self.i[start]]
+        right = rows if itself else rows[self.own[start:end] == self.j[start]]
+        near = self.vectors[left] @ self.vectors[right].T >= self.cosine
+        near &= self.ids[left][:, None] != self.ids[right][None, :]
+        near &= self.lengths[left][:, None] == self.lengths[right][None, :]
+        if not near.any():
+            return
+        joint = np.zeros((len(rows), len(rows)), dtype=bool)
+        joint[np.ix_(left - start, right - start)] = near
+        joint |= joint.T
+        least = blocks.labels(joint)
+        moved = np.flatnonzero(least != np.arange(len(rows)))
+        self.joined.append((rows[moved], rows[least[moved]]))
+        # Only rows with a near partner can have pairs to leave to lesser keys.
+        p, q = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+        left, right, near = left[p], right[q], near[np.ix_(p, q)]
+        known = self.lesser[left] < self.entry[start]
+        both = np.intersect1d(self.lesser[left][known], self.lesser[right])
+        for at in range(0, len(both), COLUMNS):
+            keys = both[at : at + COLUMNS]
+            near &= self._holds(left, keys) @ self._holds(right, keys).T == 0
+        np.add.at(self.counts, left, near @ self.sizes[right])
+        if not itself:
+            np.add.at(self.counts, right, self.sizes[left] @ near)
+
+    def _holds(self, rows: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """A row of ones and zeros for each row: which of the sorted ``keys`` it has."""
+        place = np.searchsorted(keys, self.lesser[rows]).clip(max=len(keys) - 1)
+        r, c = np.nonzero(keys[place] == self.lesser[rows])
+        out = np.zeros((len(rows), len(keys)), dtype=np.float32)
+        out[r, place[r, c]] = 1
+        return out
+
+    def result(self) -> pa.RecordBatch:
+        ids, row = np.unique(self.ids, return_inverse=True)
+        counts = np.zeros(len(ids), dtype=np.int64)
+        np.add.at(counts, row, self.counts)
+        least = np.arange(len(ids))
+        if self.joined:
+            a, b = (row[np.concatenate(side)] for side in zip(*self.joined))
+            before = None
+            while before is None or (least != before).any():
+                before = least.copy()
+                low = np.minimum(least[a], least[b])
+                for side in (a, b, before[a], before[b]):
+                    np.minimum.at(least, side, low)
+                least = least[least]
+        some, own = counts > 0, np.flatnonzero(least != np.arange(len(ids)))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate([ids[some], ids[own]])),
+                pa.array(np.concatenate([np.zeros(some.sum(), np.int64), ids[least[own]]]),
+                         mask=np.arange(some.sum() + len(own)) < some.sum()),
+                pa.array(np.concatenate([counts[some], np.zeros(len(own), np.int64)])),
+            ],
+            ["a", "b", "n"],
+        )
+
+
+def _found(table: pa.Table, cosine: float, small: int) -> pa.RecordBatch:
+    """Links within the groups of ``table``, whose rows are sorted by group."""
+    rows = _Rows(table, cosine)
+    change = (np.diff(rows.entry) != 0) | (np.diff(rows.i) != 0) | (np.diff(rows.j) != 0)
+    starts = np.concatenate([[0], np.flatnonzero(change) + 1])
+    sizes = np.diff(np.append(starts, len(rows.entry)))
+    for size in range(2, small + 1):
+        some = starts[sizes == size]
+        if len(some):
+            rows.small(some, size)
+    for k in np.flatnonzero(sizes > small):
+        rows.large(starts[k], starts[k] + sizes[k])
+    return rows.result()
+
+
+def links(
+    classes: DataFrame, cosine: float = COSINE, block: int = blocks.BLOCK, small: int = SMALL
+) -> DataFrame:
     """``a``, ``b``, ``n``: with null ``b``, ``n`` vectors in other classes are linked with those of
-    class ``a`` (to be summed); else a link of classes, enough of them for the components."""
+    class ``a`` (to be summed); else a link of classes, enough of them for the components.
 
-    def run(batches):
+    Entries travel with ids only until it is known which are shared, and by which blocks.
+    """
+
+    def enter(batches):
         for batch in batches:
             lengths = np.diff(batch.column(2).offsets.to_numpy())
             for width in np.unique(lengths).tolist():
                 part = batch.take(pa.array(np.flatnonzero(lengths == width)))
-                n = len(part)
-                raw = part.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                vectors = raw.reshape(n, width)
-                vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)
-                vectors = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-                found = np.sort(entries(vectors, part.column(3).to_numpy(zero_copy_only=False)), axis=1)
+                vectors, _ = _unit(part.column(2))
+                found = entries(vectors, part.column(3).to_numpy(zero_copy_only=False)).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0), part.column(1),
-                        lists(vectors.ravel(), np.full(n, width), pa.float64()),
-                        lists(found.view(np.int64).ravel(), np.full(n, found.shape[1]), pa.int64()),
+                        part.column(0), part.column(1), part.column(2),
+                        lists(found.ravel(), np.full(len(part), found.shape[1]), pa.int64()),
                     ],
                     ["rep", "size", "v", "keys"],
                 )
 
+    kind = classes.schema["v"].dataType.simpleString()
     keyed = classes.select("rep", "size", "v", "l").mapInArrow(
-        run, "rep long, size long, v array<double>, keys array<long>"
+        enter, f"rep long, size long, v {kind}, keys array<long>"
     )
     keyed = stored(keyed, "entries")
-    rows = keyed.select("rep", F.explode("keys").alias("entry"))
-    # Entries of one vector only are most; they go before the vectors are sent around.
-    shared = rows.groupBy("entry").count().where("count > 1").select("entry")
-    rows = rows.join(shared, "entry").join(keyed, "rep")
-
-    def work(table, left, right):
-        ids, sizes = table.column("rep").to_numpy(), table.column("size").to_numpy()
-        n = len(ids)
-        listed = table.column("v").combine_chunks()
-        lengths = np.diff(listed.offsets.to_numpy())
-        # Entries of different lengths could only be equal by chance; then rows are padded, and not linked.
-        vectors = np.zeros((n, lengths.max(initial=0)))
-        vectors[np.arange(vectors.shape[1]) < lengths[:, None]] = listed.flatten().to_numpy()
-        keys = table.column("keys").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(n, -1)
-        entry = np.int64(table.column("entry")[0].as_py()).view(np.uint64)
-        near = vectors[left] @ vectors[right].T >= cosine
-        near &= ids[left][:, None] != ids[right][None, :]
-        near &= lengths[left][:, None] == lengths[right][None, :]
-        # Pairs that share a lesser entry are counted there.
-        lesser = np.where(keys < entry, keys, entry)
-        names, place = np.unique(lesser, return_inverse=True)
-        place = place.reshape(lesser.shape)
-        often = np.bincount(place[place < len(names) - 1], minlength=len(names)) if len(names) > 1 else np.zeros(1, int)
-        wanted = np.flatnonzero(often[: len(names) - 1] > 1) if len(names) > 1 else np.zeros(0, int)
-        first = near
-        if len(wanted):
-            column = np.full(len(names), -1)
-            column[wanted] = np.arange(len(wanted))
-            member = np.zeros((n, len(wanted)), dtype=np.float32)
-            r, c = np.nonzero(column[place] >= 0)
-            member[r, column[place[r, c]]] = 1
-            first = near & (member[left] @ member[right].T == 0)
-        a = np.concatenate([ids[left], ids[right]])
-        counts = np.concatenate([first @ sizes[right], sizes[left] @ first])
-        if left is right or np.array_equal(left, right):
-            a, counts = ids[left], first @ sizes[right]
-        some = counts > 0
-        # Links for the components, all of the block's.
-        joint = np.zeros((n, n), dtype=bool)
-        joint[np.ix_(left, right)] = near
-        joint |= joint.T
-        least = blocks.labels(joint)
-        own = np.flatnonzero(least != np.arange(n))
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate([a[some], ids[own]])),
-                pa.array(np.concatenate([np.zeros(some.sum(), np.int64), ids[least[own]]]),
-                         mask=np.arange(some.sum() + len(own)) < some.sum()),
-                pa.array(np.concatenate([counts[some], np.zeros(len(own), np.int64)])),
-            ],
-            ["a", "b", "n"],
-        )
-
-    return blocks.compared(
-        rows, "entry", "rep", ["rep", "size", "v", "keys"], work, "a long, b long, n long"
+    rows = blocks.dealt(keyed.select("rep", F.explode("keys").alias("entry")), "entry", "rep", block)
+    ready = rows.join(keyed, "rep").select(
+        "entry", "_i", "_j", "_own", "rep", "size", "v",
+        F.expr("filter(keys, k -> k < entry)").alias("lesser"),
     )
+    group = ["entry", "_i", "_j"]
+    ready = ready.repartition(*group).sortWithinPartitions(*group, "rep")
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            # The last group may go on in the next batch.
+            last = [table.column(c)[len(table) - 1].as_py() for c in group] if len(table) else None
+            if last is None:
+                continue
+            same = np.ones(len(table), dtype=bool)
+            for name, value in zip(group, last):
+                same &= table.column(name).to_numpy() == value
+            whole = len(table) - int(same.sum())
+            if whole:
+                yield _found(table.slice(0, whole).combine_chunks(), cosine, small)
+            held = table.slice(whole)
+        if held is not None:
+            yield _found(held.combine_chunks(), cosine, small)
+
+    return ready.mapInArrow(run, "a long, b long, n long")
 
 
 def judge(

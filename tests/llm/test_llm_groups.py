@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -153,6 +154,36 @@ def test_lattice(spark):
     assert all(v[2] == (v[1] == k) for k, v in got.items())
 
 
+@pytest.mark.parametrize("small, block", [(24, 1500), (1, 1500), (24, 9), (3, 40)])
+def test_lattice_pairs_and_products_agree(spark, small, block):
+    """Groups compared pair by pair, as products, and in many blocks give every link once."""
+    rng = np.random.default_rng(9)
+    middles = rng.standard_normal((12, 16))
+    vectors = np.concatenate([
+        middles[rng.integers(0, 12, 150)] + rng.standard_normal((150, 16)) * rng.choice([0.05, 0.2], (150, 1)),
+        rng.standard_normal((60, 16)),
+    ]).astype(np.float32)
+    unit = vectors.astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.93
+    rows = [(i, 1, v.tolist(), 7) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "rep long, size long, v array<float>, l long")
+    found = lattice.links(df, block=block, small=small).collect()
+    counts = Counter()
+    for r in found:
+        if r["b"] is None:
+            counts[r["a"]] += r["n"]
+    assert [counts[i] for i in range(len(rows))] == (near.sum(axis=1) - 1).tolist()
+    assert sum(counts.values()) > 1000
+    least = blocks.labels(near)
+    joined = np.eye(len(rows), dtype=bool)
+    for r in found:
+        if r["b"] is not None:
+            assert least[r["a"]] == least[r["b"]]
+            joined[r["a"], r["b"]] = joined[r["b"], r["a"]] = True
+    assert blocks.labels(joined).tolist() == least.tolist()
+
+
 def test_lattice_compares_each_length(spark):
     rng = np.random.default_rng(9)
     rows, want = [], {}
