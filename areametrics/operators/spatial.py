@@ -24,6 +24,7 @@ cell" proves "edge right of me". No tolerance is needed anywhere.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +48,9 @@ CHIPS_PER_TASK = 4096
 #: A layer of more polygons than this is split by size if its cells would be so many times as wide
 #: as its median polygon. Sizes within a factor of 2 ** ``CLASS_OCTAVES`` are one class.
 MIXED_FROM, MIXED_SIDE, CLASS_OCTAVES = 64, 8.0, 4
+#: Chips of one size class that may be gathered into the row of their cell. Polygons stacked on one
+#: place make more; locations there meet them one row each, with heavy cells split.
+CROWDED = 256
 
 _KEYS = ["_cell"]
 #: A chip with at most this many nearby edges and flips holds them as plain columns.
@@ -357,9 +361,86 @@ def size_classes(layer: DataFrame) -> list[DataFrame]:
     return [named.where(F.col("_class") == c).drop("_class") for c in found]
 
 
+def _widest(df: DataFrame) -> tuple[float, bool]:
+    """The longest side of all boxes, and whether it is far above the usual box's."""
+    extent = _extent_of()
+    row = df.agg(
+        F.max(extent).alias("widest"), F.percentile_approx(extent, 0.5).alias("usual"),
+        F.count("minx").alias("n"),
+    ).first()
+    widest = row["widest"] or 0.0
+    return widest, row["n"] > MIXED_FROM and widest > MIXED_SIDE * row["usual"]
+
+
+def _crowded_cells(layer: DataFrame, cell: float) -> DataFrame:
+    """Cells (``_cell``) that the boxes of more than ``CROWDED`` polygons reach."""
+    c = f"{float(cell)!r}D"
+    reached = layer.where(F.col("minx").isNotNull()).selectExpr(
+        f"floor(minx / {c}) AS _x0", f"floor(maxx / {c}) AS _x1",
+        f"explode(sequence(floor(miny / {c}), floor(maxy / {c}))) AS _cy",
+    ).selectExpr("explode(sequence(_x0, _x1)) AS _cx", "_cy")
+    counts = reached.groupBy(_cell_id("_cx", "_cy").alias("_cell")).count()
+    return counts.where(F.col("count") > CROWDED).select("_cell")
+
+
 def _join_mixed(
     points: DataFrame, layer: DataFrame, closed: bool, keep_geom: bool, how: str, limit: int,
     heavy_rows: int,
+) -> DataFrame:
+    """Points to polygons of mixed sizes, class by class. Points in a cell that is crowded in some
+    class are told apart first; their polygons stay a row each."""
+    classes = [(part, choose_cell(part)) for part in size_classes(layer)]
+    options = (closed, keep_geom, how, limit, heavy_rows)
+    flagged, any_crowded = points.withColumn("_busy", F.lit(False)), False
+    for part, plan in classes:
+        cells = _crowded_cells(part, plan.cell)
+        if cells.isEmpty():
+            continue
+        any_crowded = True
+        joined = joins.sized_join(
+            _point_keys(flagged, plan.cell), cells.withColumn("_here", F.lit(True)), _KEYS, None, "left",
+            limit=limit, heavy_rows=heavy_rows,
+        )
+        flagged = joined.select(
+            *[f"l.`{c}`" for c in points.columns], F.expr("l._busy OR r._here IS NOT NULL").alias("_busy")
+        )
+    if not any_crowded:
+        return _join_gathered(points, layer, classes, *options)
+    flagged = stored(flagged, "told_points")
+    light = _join_gathered(flagged.where("NOT _busy").drop("_busy"), layer, classes, *options)
+    return light.union(_join_stacked(flagged.where("_busy").drop("_busy"), layer, classes, *options))
+
+
+def _join_stacked(
+    points: DataFrame, layer: DataFrame, classes: list[tuple[DataFrame, CellPlan]], closed: bool,
+    keep_geom: bool, how: str, limit: int, heavy_rows: int,
+) -> DataFrame:
+    """A join of its own for each class; points without a hit in any are found by anti joins."""
+    names = [c for c in layer.columns if keep_geom or c != GEOM]
+    own = [f"`{c}`" for c in points.columns]
+    found, rest = [], points
+    for part, plan in classes:
+        def joined(left, way, part=part, plan=plan):
+            return _join_points(left, part, plan, closed, keep_geom, way, limit, heavy_rows)
+
+        if how == "left_semi":
+            found.append(joined(rest, "left_semi").select(*own))
+        else:
+            found.append(joined(points, "inner").select(*_joined_columns(points.columns, names)))
+        if how != "inner":
+            rest = joined(rest, "left_anti").select(*own)
+    if how == "left":
+        nothing = F.lit(None).cast(layer.select(*[f"`{c}`" for c in names]).schema)
+        found.append(
+            rest.select(F.struct(*own).alias("l"), nothing.alias("r"))
+            .select(*_joined_columns(points.columns, names))
+        )
+    return reduce(DataFrame.union, found)
+
+
+def _join_gathered(
+    points: DataFrame, layer: DataFrame, classes: list[tuple[DataFrame, CellPlan]], closed: bool,
+    keep_geom: bool, how: str, limit: int, heavy_rows: int,
 ) -> DataFrame:
     """Points to polygons of mixed sizes. Each class's chips are gathered by cell (few, since its
     cells are about as wide as its polygons), so every join is to one row at most and the points
@@ -374,8 +455,7 @@ def _join_mixed(
     names = [c for c in layer.columns if keep_geom or c != GEOM]
     hit = "named_struct(" + ", ".join(f"'{c}', r.`{c}`" for c in names) + ")"
     out, hits = points, []
-    for i, part in enumerate(size_classes(layer)):
-        plan = choose_cell(part)
+    for i, (part, plan) in enumerate(classes):
         made = chips(_spread(part, plan), plan.cell, keep_geom=keep_geom)
         held = made.groupBy("_cell").agg(F.collect_list(F.struct("*")).alias("_chips"))
         keyed = _point_keys(out, plan.cell)
@@ -519,9 +599,32 @@ def boxes_in_polygons(
     how: str = "left",
 ) -> DataFrame:
     """Left join of axis-parallel boxes (grid cells, by their box columns) to the polygons that
-    wholly contain them; touching the border from inside counts. Rows without a box stay."""
+    wholly contain them; touching the border from inside counts. Rows without a box stay.
+
+    Chips are widened by as many cells as the widest box goes over, so boxes of very different
+    sizes are joined by size class, each with cells in proportion.
+    """
     limit = joins.BROADCAST_BYTES if limit is None else limit
-    cell = cell or choose_cell(layer).cell
+    if cell is None and _widest(boxes)[1]:
+        parts = size_classes(boxes)
+        if how == "left":
+            parts[0] = parts[0].unionByName(boxes.where("minx IS NULL"))
+        return reduce(DataFrame.union, [
+            _boxes_in_polygons(
+                part, layer, choose_cell(layer, at_least=_widest(part)[0] / 4).cell, keep_geom, limit,
+                heavy_rows, how,
+            )
+            for part in parts
+        ])
+    return _boxes_in_polygons(
+        boxes, layer, cell or choose_cell(layer).cell, keep_geom, limit, heavy_rows, how
+    )
+
+
+def _boxes_in_polygons(
+    boxes: DataFrame, layer: DataFrame, cell: float, keep_geom: bool, limit: int, heavy_rows: int,
+    how: str,
+) -> DataFrame:
     window = _extent(boxes, cell)
     plan = plan_cells(layer, cell, window, keep_geom=keep_geom)
     right = chips(_spread(layer, plan), cell, window, keep_geom=keep_geom)
@@ -587,13 +690,30 @@ def clip_polygons(
     limit: int | None = None,
     heavy_rows: int = joins.HEAVY_ROWS,
 ) -> DataFrame:
-    """Polygons that share at least a point with the region, whole (they are not cut)."""
+    """Polygons that share at least a point with the region, whole (they are not cut).
+
+    Cells are no smaller than the widest polygon, whose box then crosses one border at most;
+    polygons of very different sizes are clipped by size class, so one wide polygon does not bring
+    all others into a few cells.
+    """
     limit = joins.BROADCAST_BYTES if limit is None else limit
     region = region.select(GEOM, *BBOX)
     if cell is None:
-        # Cells no smaller than the widest left polygon: its box then crosses one border at most.
-        widest = layer.agg(F.max(F.greatest(F.expr("maxx - minx"), F.expr("maxy - miny")))).first()
-        cell = choose_cell(region, at_least=widest[0] or 0.0).cell
+        widest, mixed = _widest(layer)
+        if mixed:
+            return reduce(DataFrame.union, [
+                _clip_polygons(
+                    part, region, choose_cell(region, at_least=_widest(part)[0]).cell, limit, heavy_rows
+                )
+                for part in size_classes(layer)
+            ])
+        cell = choose_cell(region, at_least=widest).cell
+    return _clip_polygons(layer, region, cell, limit, heavy_rows)
+
+
+def _clip_polygons(
+    layer: DataFrame, region: DataFrame, cell: float, limit: int, heavy_rows: int
+) -> DataFrame:
     window = _extent(layer, cell)
     plan = plan_cells(region, cell, window, lead=True, keep_geom=False)
     right = chips(

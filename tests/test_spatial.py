@@ -281,3 +281,61 @@ def test_mixed_sizes(spark):
         assert sorted((r["id"], r["pid"] or "") for r in got.collect()) == sorted((i, h or "") for i, h in want)
         kept = {r["id"] for r in S.clip_points(df, polygons, limit=limit).collect()}
         assert kept == {i for i, p in rows if p and p[0] == p[0] and inside(*p, True)}
+
+
+@pytest.mark.parametrize("limit", [None, -1])
+def test_stacked_polygons_stay_rows(spark, monkeypatch, limit):
+    """Copies of a square on one place, over what a cell may gather: same answers, ends included."""
+    monkeypatch.setattr(S, "CROWDED", 20)
+    shapes = {f"s{i}": [[square(i % 10, i // 10, 0.9)]] for i in range(70)}
+    shapes |= {f"copy{i}": [[square(3, 3, 0.9)]] for i in range(40)}
+    shapes["world"] = [[square(-1000, -1000, 2000)]]
+    polygons = layer(spark, shapes)
+    assert S.choose_cell(polygons).mixed
+    at = {1: (3.5, 3.5), 2: (3.0, 3.5), 3: (3.95, 3.5), 4: (8.5, 0.5), 5: (-3.0, 2.0), 6: (1500.0, 0.0), 7: None,
+          8: (float("nan"), 0.0), 9: (-1000.0, 3.5)}
+    df = points(spark, list(at.items())).unionByName(points(spark, [(1, at[1])]))
+    copies = [f"copy{i}" for i in range(40)]
+    want = [(1, n) for n in [*copies, "s33", "world"]] * 2 + [(2, "world"), (3, "world"), (4, "s8"), (4, "world")]
+    want += [(5, "world"), (6, None), (7, None), (8, None), (9, None)]
+    got = S.points_in_polygons(df, polygons, limit=limit)
+    assert got.columns == ["id", "pid", "geom", "minx", "miny", "maxx", "maxy"]
+    assert sorted(pairs_any(got), key=str) == sorted(want, key=str)
+    kept = S.clip_points(df, polygons, limit=limit)
+    assert kept.columns == df.columns
+    assert sorted(r["id"] for r in kept.collect()) == [1, 1, 2, 3, 4, 5, 9]
+
+
+@pytest.mark.parametrize("limit", [None, -1])
+def test_left_sizes_are_split(spark, limit):
+    """One wide polygon among many small ones, clipped and joined as boxes."""
+    shapes = {i: [[square(i % 20, i // 20, 0.5)]] for i in range(200)}
+    shapes[200] = [[square(-50, -50, 200)]]
+    shapes[201] = [[square(300, 300, 200)]]
+    df = layer(spark, {str(k): v for k, v in shapes.items()})
+    assert S._widest(df)[1]
+    region = layer(spark, {"ell": ELL, "far": [[square(5.5, 5.0, 1.0)]], "all": [[square(-60, -60, 111)]]})
+    small = region.where("pid <> 'all'")
+
+    def meets(i):
+        if i >= 200:
+            return i == 200
+        x, y = i % 20, i // 20
+        in_ell = x <= 4 and y <= 1 or x <= 1 and y <= 4
+        return in_ell or x in (5, 6) and y in (5, 6)
+
+    kept = {int(r["pid"]) for r in S.clip_polygons(df, small, limit=limit).collect()}
+    assert kept == {i for i in shapes if meets(i)}
+    boxes = df.select(F.col("pid").cast("long").alias("id"), "minx", "miny", "maxx", "maxy")
+    boxes = boxes.unionByName(boxes.where("id = 0").selectExpr("-1L AS id", *["double(null) AS " + c for c in boxes.columns[1:]]))
+    want = [(-1, None)]
+    for i in shapes:
+        x, y = i % 20, i // 20
+        hits = ["all"] if i < 200 else []
+        if i < 200 and (x + 0.5 <= 4 and y + 0.5 <= 1 or x + 0.5 <= 1 and y + 0.5 <= 4):
+            hits.append("ell")
+        if i < 200 and x == 6 and y == 5:
+            hits.append("far")
+        want += [(i, h) for h in hits] or [(i, None)]
+    got = S.boxes_in_polygons(boxes, region, keep_geom=False, limit=limit)
+    assert sorted(pairs_any(got), key=str) == sorted(want, key=str)
