@@ -331,6 +331,44 @@ def clip_plots(spark, d):
     return kept.select("OBJECTID", *BBOX)
 
 
+def _plots_and(spark, d, *wide):
+    """Plots as ``plot_id`` and, numbered from -1 down, rectangles far wider than they."""
+    rows = D.plots(spark, d).select(F.col("OBJECTID").cast("long").alias("plot_id"), GEOM, *BBOX)
+    for i, sides in enumerate(wide):
+        one = spark.range(1).select(
+            F.lit(-1 - i).cast("long").alias("plot_id"), G.rectangle(*sides).alias(GEOM)
+        )
+        rows = rows.unionByName(one.withColumns(G.polygon_bbox(GEOM)))
+    return rows
+
+
+@query
+def clip_mixed(spark, d):
+    """Plots and a rectangle around half the world, clipped by size class."""
+    rows = _plots_and(spark, d, ("-180D", "-90D", "0.7D", "90D"), ("2D", "-90D", "180D", "90D"))
+    return S.clip_polygons(rows, D.parks(spark, d)).select("plot_id", *BBOX)
+
+
+@query
+def mixed_boxes(spark, d):
+    """Boxes of plots and of two wide rectangles, one of them inside a neighbourhood."""
+    rows = _plots_and(spark, d, ("-180D", "-90D", "0.7D", "90D"), ("0.25D", "0.125D", "0.375D", "0.875D"))
+    joined = S.boxes_in_polygons(rows.drop(GEOM), D.neighbourhoods(spark, d), keep_geom=False)
+    return joined.select("plot_id", "qr_id", "qr_name")
+
+
+@query
+def clip_stacked(spark, d):
+    """Occurrences on a heap of lots, one for each part and nearly all in one place, or far west."""
+    side = "(p_partkey % 4) / 1024D"
+    lots = D.table(spark, d, "part").select(
+        G.rectangle(f"0.25D + {side}", "0.25D", f"0.2578125D + {side}", "0.2578125D").alias(GEOM)
+    )
+    west = spark.range(1).select(G.rectangle("-180D", "-90D", "0.125D", "90D").alias(GEOM))
+    region = lots.unionByName(west).withColumns(G.polygon_bbox(GEOM))
+    return S.clip_points(_points(spark, d), region).select("gbifID", "species")
+
+
 @query
 def plots_in_neighbourhoods(spark, d):
     plots = D.plots(spark, d).select("OBJECTID", *BBOX)

@@ -349,6 +349,23 @@ GROUP BY plot_id) r LEFT JOIN sh USING (plot_id)""",
 FROM occ o WHERE EXISTS (SELECT 1 FROM hit h WHERE o.x = h.x AND o.y = h.y)""",
         "clip_plots": _with(_PLOT_EDGES, _PARK_EDGES, _PLOT_MEETS_PARK)
         + 'SELECT b.* FROM plot_box b JOIN meets USING ("OBJECTID")',
+        "clip_mixed": _with(_PLOT_EDGES, _PARK_EDGES, _PLOT_MEETS_PARK)
+        + """SELECT b."OBJECTID" AS plot_id, minx, miny, maxx, maxy FROM plot_box b
+JOIN meets USING ("OBJECTID") UNION ALL
+SELECT -1, -180::DOUBLE, -90::DOUBLE, 0.7::DOUBLE, 90::DOUBLE
+WHERE EXISTS (SELECT 1 FROM park_box WHERE minx <= 0.7::DOUBLE) UNION ALL
+SELECT -2, 2::DOUBLE, -90::DOUBLE, 180::DOUBLE, 90::DOUBLE
+WHERE EXISTS (SELECT 1 FROM park_box WHERE maxx >= 2)""",
+        "mixed_boxes": _with(
+            _PLOT_EDGES, _NBHD, """lot AS (SELECT "OBJECTID" AS plot_id, minx, miny, maxx, maxy
+FROM plot_box UNION ALL SELECT -1, -180, -90, 0.7::DOUBLE, 90
+UNION ALL SELECT -2, 0.25::DOUBLE, 0.125::DOUBLE, 0.375::DOUBLE, 0.875::DOUBLE)"""
+        ) + """SELECT p.plot_id, n.qr_id, n.qr_name FROM lot p LEFT JOIN nbhd n
+ON p.minx >= n.minx AND p.maxx <= n.maxx AND p.miny >= n.miny AND p.maxy <= n.maxy""",
+        "clip_stacked": _with(_OCC) + """SELECT "gbifID", species FROM occ o
+WHERE x <= 0.125 AND x >= -180 AND y BETWEEN -90 AND 90 OR y BETWEEN 0.25 AND 0.2578125 AND EXISTS (
+  SELECT 1 FROM (SELECT DISTINCT p_partkey % 4 AS k FROM part)
+  WHERE x BETWEEN 0.25 + k / 1024::DOUBLE AND 0.2578125 + k / 1024::DOUBLE)""",
         "plots_in_neighbourhoods": _with(_PLOT_EDGES, _NBHD) + """SELECT p."OBJECTID", n.qr_id,
 n.qr_name FROM plot_box p LEFT JOIN nbhd n ON p.minx >= n.minx AND p.maxx <= n.maxx
 AND p.miny >= n.miny AND p.maxy <= n.maxy""",
