@@ -5,7 +5,8 @@ in three dimensions, cut into cubes as wide as the radius: two points within it
 cubes, at the poles and past the antimeridian too. For the nearest areas, cells of points grow until
 a bound is proven: an area's box is at least so far from a cell and at most so far, so once ``k`` areas
 are within the searched reach at most, no area beyond the kth such distance can be among the nearest
-of any point of the cell. Only then do points meet areas, and only those of their cell.
+of any point of the cell. The areas of a wide cell are then judged again for the smaller cells in it, down
+to the smallest, and for each point by their boxes; only areas left by that are measured by outline.
 """
 
 from __future__ import annotations
@@ -66,6 +67,15 @@ def _gap(far: bool) -> str:
     return f"sqrt(pow({sides[0]}, 2) + pow({sides[1]}, 2))"
 
 
+def _within_kth(met: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """Rows no farther (``least``) than the ``k``th ``most`` of their keys, all where there are fewer;
+    with room for rounding of the bound and of the distances themselves."""
+    order = Window.partitionBy(*keys).orderBy("most", "_area")
+    kth = F.max(F.when(F.col("_n") == k, F.col("most"))).over(Window.partitionBy(*keys))
+    ranked = met.withColumn("_n", F.row_number().over(order)).withColumn("_bound", kth)
+    return ranked.where("_bound IS NULL OR least <= _bound * (1 + 1e-9D)").drop("_n", "_bound")
+
+
 def nearest(
     points: DataFrame, layer: DataFrame, point_key: str, key: str, k: int = 1, cell: float | None = None,
     limit: int | None = None, heavy_rows: int = joins.HEAVY_ROWS,
@@ -76,7 +86,7 @@ def nearest(
     fine = f"{GEOM}.x IS NOT NULL AND {GEOM}.y IS NOT NULL AND NOT isnan({GEOM}.x) AND NOT isnan({GEOM}.y)"
     places = points.where(fine).select(F.col(point_key).alias("_point"), F.expr(f"{GEOM}.x AS px"), F.expr(f"{GEOM}.y AS py"))
     # Of areas with one outline only the first k can be among the nearest.
-    alike = Window.partitionBy(GEOM).orderBy("_key")
+    alike = Window.partitionBy(F.xxhash64(GEOM), GEOM).orderBy("_key")
     areas = layer.where(F.col(GEOM).isNotNull() & F.col("minx").isNotNull()).select(
         F.col(key).alias("_key"), GEOM, *BBOX
     ).withColumn("_n", F.row_number().over(alike)).where(F.col("_n") <= k).drop("_n")
@@ -136,11 +146,35 @@ def nearest(
             break
         level += 1
     levels = stored(levels, "levels")
-    placed = joins.sized_join(based, levels, ["bx", "by"], how="inner", limit=limit, heavy_rows=heavy_rows).selectExpr(
-        "_point", "px", "py", "r.level", "shiftright(l.bx, r.level) AS cx", "shiftright(l.by, r.level) AS cy"
+    cells = found.join(boxes, "_area")
+    # Cells solved wide hold many areas that only some of their points need: down again, a level at a time.
+    held = None
+    for down in range(level, -1, -1):
+        here = cells.where(F.col("level") == down).drop("level")
+        if held is not None:
+            s = side * 2.0**down
+            own = levels.where(F.col("level") > down).select(
+                F.shiftright("bx", down).alias("cx"), F.shiftright("by", down).alias("cy")
+            ).distinct().selectExpr(
+                "cx AS nx", "cy AS ny", "shiftright(cx, 1) AS cx", "shiftright(cy, 1) AS cy",
+                *[f"c{a} * {s!r}D AS {a}0" for a in "xy"], *[f"(c{a} + 1) * {s!r}D AS {a}1" for a in "xy"],
+            )
+            kids = own.join(held, ["cx", "cy"]).selectExpr(
+                "nx AS cx", "ny AS cy", "_area", *BBOX, f"{_gap(False)} AS least", f"{_gap(True)} AS most"
+            )
+            here = here.unionByName(_within_kth(kids, ["cx", "cy"], k).select("cx", "cy", "_area", *BBOX))
+        held = stored(here, "near")
+    held = held.withColumnsRenamed({"cx": "bx", "cy": "by"})
+    met = joins.sized_join(based, held, ["bx", "by"], how="inner", limit=limit, heavy_rows=heavy_rows).selectExpr(
+        "_point", "px", "py", "_area", *BBOX
+    )
+    ends = {"x0": F.col("px"), "x1": F.col("px"), "y0": F.col("py"), "y1": F.col("py")}
+    met = met.withColumns(ends).selectExpr(
+        "_point", "px", "py", "_area", f"{_gap(False)} AS least", f"{_gap(True)} AS most"
     )
-    shapes = found.join(areas.select("_area", "_key", GEOM), "_area").drop("_area")
-    met = joins.sized_join(placed, shapes, ["level", "cx", "cy"], how="inner", limit=limit, heavy_rows=heavy_rows).select(
+    met = _within_kth(met, ["_point"], k).select("_point", "px", "py", "_area")
+    shapes = stored(areas.join(held.select("_area").distinct(), "_area", "left_semi").select("_area", "_key", GEOM), "shapes")
+    met = joins.sized_join(met, shapes, ["_area"], how="inner", limit=limit, heavy_rows=heavy_rows).select(
         "_point", "_key", F.expr(distance_between(GEOM, "px", "py")).alias("distance")
     )
     order = Window.partitionBy("_point").orderBy("distance", "_key")

@@ -88,41 +88,48 @@ def _extent_of() -> Column:
 def choose_cell(layer: DataFrame, at_least: float = 0.0) -> CellPlan:
     """The finest power-of-two cell side whose chip count fits the budget.
 
-    One aggregate over the layer's boxes; at most 49 rows come back. The byte figure takes
-    every edge to be near every cell of its polygon, so it can only be too high.
+    One aggregate over the layer's boxes bounds the sides that come into question, a second counts
+    their cells, and a third asks for the median extent where the least one does not settle what is
+    mixed; each gives one row. The byte figure takes every edge to be near every cell of its
+    polygon, so it can only be too high.
     """
-    rows = (
-        layer.where(F.col("minx").isNotNull())
-        .select(
-            *BBOX, joins.row_bytes(layer).alias("w"),
-            F.expr(f"size(flatten(flatten({GEOM})))").alias("v"),
-            F.expr(G.is_box(GEOM)).alias("box"),
-            _extent_of().alias("extent"),
-        )
-        .select("*", F.expr("explode(transform(sequence(-24, 24), k -> pow(2D, k)))").alias("side"))
-        .groupBy("side")
-        .agg(
-            F.count("*").alias("n"),
-            F.sum("v").alias("v"),
-            F.bool_and("box").alias("box"),
-            F.percentile_approx("extent", 0.5).alias("usual"),
-            F.expr(f"sum({_spans('side')})").alias("cells"),
-            F.expr(f"sum({_spans('side')} * (w + 256 + 72 * v))").alias("bytes"),
-        )
-        .collect()
-    )
-    if not rows:
+    boxed = layer.where(F.col("minx").isNotNull())
+    wide, high = "maxx - minx", "maxy - miny"
+    facts = boxed.select(
+        *BBOX, F.expr(f"size(flatten(flatten({GEOM})))").alias("v"), F.expr(G.is_box(GEOM)).alias("box"),
+    ).agg(
+        F.count("*").alias("n"), F.sum("v").alias("v"), F.bool_and("box").alias("box"),
+        F.min(_extent_of()).alias("least"), F.max(_extent_of()).alias("widest"),
+        F.expr(f"sum({wide})").alias("wide"), F.expr(f"sum({high})").alias("high"),
+        F.expr(f"sum(({wide}) * ({high}))").alias("area"),
+    ).first()
+    if not facts["n"]:
         return CellPlan(1.0, 0, 0)
-    rows.sort(key=lambda r: r["side"])
-    allowed = [r for r in rows if r["side"] >= at_least] or rows[-1:]
-    fits = [
-        r for r in allowed
-        if r["cells"] <= max(MIN_CELLS, CELLS_PER_POLYGON * r["n"], r["v"] // VERTICES_PER_CELL)
-    ]
-    best = (fits or allowed[-1:])[0]
-    cells, size = (int(min(best[c], 2.0**62)) for c in ("cells", "bytes"))
-    mixed = best["n"] > MIXED_FROM and best["side"] > MIXED_SIDE * best["usual"]
-    return CellPlan(best["side"], cells, size, best["box"], mixed)
+    budget = max(MIN_CELLS, CELLS_PER_POLYGON * facts["n"], (facts["v"] or 0) // VERTICES_PER_CELL)
+    sides = [2.0**k for k in range(-24, 25)]
+    allowed = [c for c in sides if c >= at_least] or sides[-1:]
+
+    def sure_to_exceed(side: float) -> bool:
+        return max(facts["wide"] / side, facts["high"] / side, facts["area"] / side**2) > budget * (1 + 1e-6)
+
+    likely = [c for c in allowed if not sure_to_exceed(c)] or allowed[-1:]
+    # A box no wider than a cell reaches four at most, which fits; one side more for rounding.
+    enough = next((i for i, c in enumerate(likely) if c >= facts["widest"]), len(likely) - 1) + 2
+    likely = likely[:enough]
+    spans = [_spans(f"{c!r}D") for c in likely]
+    counts = boxed.select(
+        *BBOX, (joins.row_bytes(layer) + F.expr(f"256 + 72 * size(flatten(flatten({GEOM})))")).alias("w")
+    ).agg(
+        *[F.expr(f"sum({n})").alias(f"cells{i}") for i, n in enumerate(spans)],
+        *[F.expr(f"sum({n} * w)").alias(f"bytes{i}") for i, n in enumerate(spans)],
+    ).first()
+    at = next((i for i in range(len(likely)) if counts[f"cells{i}"] <= budget), len(likely) - 1)
+    side = likely[at]
+    cells, size = (int(min(counts[f"{c}{at}"] or 0.0, 2.0**62)) for c in ("cells", "bytes"))
+    mixed = facts["n"] > MIXED_FROM and side > MIXED_SIDE * facts["least"]
+    if mixed:
+        mixed = side > MIXED_SIDE * boxed.agg(F.percentile_approx(_extent_of(), 0.5)).first()[0]
+    return CellPlan(side, cells, size, facts["box"], mixed)
 
 
 def plan_cells(

@@ -89,3 +89,22 @@ def test_nearest_of_few(spark):
     ]
     assert N.nearest(some, two.where("false"), "id", "pid").count() == 0
     assert N.nearest(some.where("false"), two, "id", "pid").count() == 0
+
+
+def test_nearest_measures_few_outlines(spark, monkeypatch):
+    """Points far from all areas share wide cells, but are measured against few of the areas there."""
+    shapes = {f"s{x}-{y}": [[square(2.0 * x, 2.0 * y)]] for x in range(20) for y in range(20)}
+    some = [(i, (-30.0 - (i % 10) / 2, 5.0 + i / 10)) for i in range(200)]
+    sizes, join = [], N.joins.sized_join
+
+    def counted(*args, **options):
+        sizes.append((out := join(*args, **options)).count())
+        return out
+
+    monkeypatch.setattr(N.joins, "sized_join", counted)
+    found = N.nearest(points(spark, some), layer(spark, shapes), "id", "pid", 3)
+    assert sizes[-1] <= 12 * len(some)
+    got = {(r["id"], r["rank"]): r["distance"] for r in found.collect()}
+    for i, p in some:
+        want = sorted(to_polygon(p, g) for g in shapes.values())[:3]
+        assert [got[i, r] for r in (1, 2, 3)] == pytest.approx(want, rel=1e-9)
