@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from areametrics.schemas import POLYGON
+from areametrics.sources.shared import stored
 
 #: Broadcast only a right side measured to be below this many bytes.
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -54,11 +55,14 @@ def heavy_keys(left: DataFrame, keys: list[str], heavy_rows: int) -> DataFrame:
 
     So there are ``FEWEST_SHARES`` such keys at most, however large the table, and every key past
     them is smaller than the mean partition of a shuffle that wide. Counting reads the key columns
-    only and combines before it shuffles; no key reaches the driver.
+    only, once, and combines before it shuffles; no key reaches the driver.
     """
-    keyed = left.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
-    heavy = max(heavy_rows, -(-keyed.count() // FEWEST_SHARES))
-    return keyed.groupBy(*keys).count().where(F.col("count") >= heavy).select(
+    counts = stored(left.groupBy(*keys).count(), "key_counts").where(
+        " AND ".join(f"`{k}` IS NOT NULL" for k in keys)
+    )
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    heavy = max(heavy_rows, -(-total // FEWEST_SHARES))
+    return counts.where(F.col("count") >= heavy).select(
         *keys, F.ceil(F.col("count") / F.lit(heavy)).cast("int").alias("_n")
     )
 
@@ -78,7 +82,7 @@ def salted(
     heavy = F.broadcast(heavy)
     absent = F.expr(" OR ".join(f"`{k}` IS NULL" for k in keys))
     shares = F.when(absent, F.lit(NULL_SHARES)).otherwise(F.coalesce(F.col("_n"), F.lit(1)))
-    left = left.join(heavy, keys, "left").withColumn(_SALT, F.pmod(hashed, shares).cast("int"))
+    left = left.join(heavy, keys, "left").withColumn(_SALT, F.coalesce(F.pmod(hashed, shares).cast("int"), F.lit(0)))
     right = right.join(heavy, keys, "left").withColumn(
         _SALT, F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_n"), F.lit(1)) - 1))
     )

@@ -511,8 +511,14 @@ def _polygon_meets_chip() -> Column:
 
 # --- keys ---------------------------------------------------------------------------------
 
+#: Cell number of rows without a place. No double is that near the greatest long, so no place has it.
+_NO_CELL = (1 << 63) - 8
+
+
 def _cell_key(v: str, cell: float) -> Column:
-    return F.expr(f"CASE WHEN NOT isnan({v}) THEN floor({v} / {float(cell)!r}D) END")
+    """Never null: else a join would ask rows for keys that are not null, and Spark would write out
+    that test, with all that ``v`` is made of, below the joins that the rows come from."""
+    return F.expr(f"coalesce(CASE WHEN NOT isnan({v}) THEN floor({v} / {float(cell)!r}D) END, {_NO_CELL}L)")
 
 
 def _cell_id(cx: str, cy: str) -> Column:
@@ -527,7 +533,7 @@ def _with_keys(df: DataFrame, x: str, y: str, cell: float) -> DataFrame:
 
 
 def _point_keys(points: DataFrame, cell: float) -> DataFrame:
-    """Cell numbers and plain, never-null coordinates (NaN points have no cell)."""
+    """Cell numbers and plain coordinates, none of them null (NaN points have the cell of no place)."""
     flat = points.withColumns({
         "_px": F.expr(f"coalesce({GEOM}.x, double('NaN'))"),
         "_py": F.expr(f"coalesce({GEOM}.y, double('NaN'))"),

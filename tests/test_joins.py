@@ -93,3 +93,16 @@ def test_order(spark, name):
     want = [tuple(map(_canon, r)) for r in cur.fetchall()]
     got = [tuple(_canon(r[n]) for n in names) for r in df.collect()]
     assert got == want
+
+
+def test_key_test_is_not_pushed_below(spark):
+    """Joins ask rows for keys that are not null. Cell keys never are, so the places they come from are
+    not worked out a second time below the joins that made them."""
+    made = spark.range(9).join(spark.range(9).withColumnRenamed("id", "k"), F.col("id") == F.col("k")).select(
+        "id", F.expr("CASE WHEN k > 3 THEN named_struct('x', k / 9D, 'y', id / 9D) END AS geom")
+    )
+    keyed = S._point_keys(made, 0.25)
+    assert not any(keyed.schema[c].nullable for c in ("_cx", "_cy", "_cell"))
+    plan = keyed.where("_cell IS NOT NULL")._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "0.25" in line]
+    assert joins.heavy_keys(keyed, ["_cell"], 3).select("_n").collect() == [(2,)]
