@@ -27,6 +27,11 @@ def quad_key(x: Column, y: Column, levels: int, box: tuple[float, float, float,
     """Quad key of a location; null if it is null, no number or outside ``box`` (minx, miny, maxx, maxy).
 
     Borders belong to the cell on their upper right, those of the box to the cells inside it."""
+    return _quad(*_numbers(x, y, levels, box), levels)
+
+
+def _numbers(x: Column, y: Column, levels: int, box: tuple[float, float, float, float]) -> list[Column]:
+    """Column and row of a location's finest cell."""
     minx, miny, maxx, maxy = map(float, box)
     side = 1 << levels
 
@@ -34,12 +39,26 @@ def quad_key(x: Column, y: Column, levels: int, box: tuple[float, float, float,
         at = F.floor((v - F.lit(low)) / F.lit(high - low) * F.lit(float(side))).cast("long")
         return F.when(v.between(low, high), F.least(at, F.lit(side - 1)))
 
-    cx, cy = index(x, minx, maxx), index(y, miny, maxy)
-    digits = [
+    return [index(x, minx, maxx), index(y, miny, maxy)]
+
+
+def _quad(cx: Column, cy: Column, levels: int) -> Column:
+    return F.concat(*[
         (F.shiftright(cx, i).bitwiseAND(1) + F.shiftright(cy, i).bitwiseAND(1) * 2).cast("string")
         for i in reversed(range(levels))
-    ]
-    return F.concat(*digits)
+    ])
+
+
+def _located(
+    points: DataFrame, x: str, y: str, levels: int, box: tuple[float, float, float, float], species: str
+) -> DataFrame:
+    """Rows in ``box``: ``cx``, ``cy``, ``taxon``. Keys stay numbers until cells are few."""
+    minx, miny, maxx, maxy = map(float, box)
+    x, y = F.col(f"`{x}`"), F.col(f"`{y}`")
+    cx, cy = _numbers(x, y, levels, box)
+    return points.where(x.between(minx, maxx) & y.between(miny, maxy)).select(
+        cx.alias("cx"), cy.alias("cy"), F.col(f"`{species}`").alias("taxon")
+    )
 
 
 def _merged(cells: DataFrame, levels: list[int]) -> DataFrame:
@@ -64,12 +83,9 @@ def height_map(
     without a location in ``box`` are on no level."""
     if levels < 1:
         raise ValueError(f"{levels} levels: at least one")
-    located = points.select(
-        quad_key(F.col(f"`{x}`"), F.col(f"`{y}`"), levels, box).alias("quad"), F.col(f"`{species}`").alias("taxon")
-    ).where("quad IS NOT NULL")
-    cells = located.groupBy("quad").agg(
+    cells = _located(points, x, y, levels, box, species).groupBy("cx", "cy").agg(
         F.count("*").alias("observations"), F.hll_sketch_agg(F.col("taxon").cast("string"), sketch_bits).alias("sketch")
-    ).select(F.lit(levels).alias("level"), "quad", "observations", "sketch")
+    ).select(F.lit(levels).alias("level"), _quad(F.col("cx"), F.col("cy"), levels).alias("quad"), "observations", "sketch")
     parts, finest = [stored(cells, "cells")], levels
     while finest > 1:
         above = list(range(max(1, finest - STRIDE), finest))
@@ -90,10 +106,16 @@ def exact_richness(
     x: str = "minx", y: str = "miny",
 ) -> DataFrame:
     """``level``, ``quad`` and the exact ``species_richness``, by distinct pairs: the measure of the
-    estimate, at the cost of shuffling a row per finest cell and species."""
-    pairs = points.select(
-        quad_key(F.col(f"`{x}`"), F.col(f"`{y}`"), levels, box).alias("quad"), F.col(f"`{species}`").alias("taxon")
-    ).where("quad IS NOT NULL AND taxon IS NOT NULL").distinct()
-    leveled = pairs.select(F.explode(F.sequence(F.lit(1), F.lit(levels))).alias("level"), "quad", "taxon")
-    cells = leveled.select("level", F.expr("substring(quad, 1, level)").alias("quad"), "taxon").distinct()
-    return cells.groupBy("level", "quad").agg(F.count("*").alias("species_richness"))
+    estimate, at the cost of shuffling a row per finest cell and species twice. The second time by
+    species, so that the pairs of all coarser levels meet in the task that has them."""
+    pairs = _located(points, x, y, levels, box, species).where("taxon IS NOT NULL").distinct()
+    leveled = pairs.repartition("taxon").select(
+        F.explode(F.sequence(F.lit(1), F.lit(levels))).alias("level"), "cx", "cy", "taxon"
+    ).selectExpr(
+        "level", *[f"shiftright({c}, {levels} - level) AS {c}" for c in ("cx", "cy")], "taxon"
+    )
+    cells = leveled.groupBy("taxon", "level", "cx", "cy").agg(F.lit(1).alias("_one"))
+    counted = cells.groupBy("level", "cx", "cy").agg(F.count("*").alias("species_richness"))
+    wide = counted.withColumns({c: F.expr(f"shiftleft({c}, {levels} - level)") for c in ("cx", "cy")})
+    quad = _quad(F.col("cx"), F.col("cy"), levels)
+    return wide.select("level", F.substring(quad, F.lit(1), F.col("level")).alias("quad"), "species_richness")

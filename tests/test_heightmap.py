@@ -61,3 +61,11 @@ def test_empty_and_single_level(spark):
     assert [tuple(r) for r in H.height_map(one, BOX, 1).collect()] == [(1, "2", 1, 0, 1.0)]
     with pytest.raises(ValueError):
         H.height_map(one, BOX, 0)
+
+
+def test_coarser_levels_stay_where_the_pairs_are(spark):
+    """Pairs of all levels meet in the tasks of their species: only counts by cell move after that."""
+    rows = spark.range(50).selectExpr("id / 50D AS minx", "0.5D AS miny", "concat('s', id % 3) AS species")
+    plan = H.exact_richness(rows, (0, 0, 1, 1))._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange" in line]
+    assert moved and not [line for line in moved if "level" in line and "taxon" in line]
