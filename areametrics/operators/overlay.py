@@ -113,42 +113,42 @@ def _near(tol: float) -> str:
     )
 
 
-def _meetings(tol: float) -> str:
-    """Where edges ``l`` and ``r`` must be split: array of ``side`` (0 for ``l``), ``x``, ``y``."""
-    t = f"{tol!r}D"
+def _judged(met: DataFrame) -> DataFrame:
+    """Joined edges with what :func:`_meetings` asks of them, each worked out once: the side of edge ``e``
+    that end ``p`` of the other lies on (``_e_p``), and lengths. In one expression they would make a
+    method too large for the JVM to compile."""
+    sides = {
+        f"_{e}_{p}": f"({e}.bx - {e}.ax) * ({f}.{p}y - {e}.ay) - ({e}.by - {e}.ay) * ({f}.{p}x - {e}.ax)"
+        for e, f in (("l", "r"), ("r", "l")) for p in "ab"
+    }
+    lengths = {f"_{e}": f"sqrt(pow({e}.bx - {e}.ax, 2) + pow({e}.by - {e}.ay, 2))" for e in "lr"}
+    return met.withColumns({c: F.expr(v) for c, v in {**sides, **lengths}.items()})
 
-    def cross(e: str, x: str, y: str) -> str:
-        return f"(({e}.bx - {e}.ax) * ({y} - {e}.ay) - ({e}.by - {e}.ay) * ({x} - {e}.ax))"
 
-    def length(e: str) -> str:
-        return f"sqrt(pow({e}.bx - {e}.ax, 2) + pow({e}.by - {e}.ay, 2))"
+def _meetings(tol: float) -> str:
+    """Where edges ``l`` and ``r`` of :func:`_judged` must be split: array of ``side`` (0 for ``l``), ``x``, ``y``."""
+    t = f"{tol!r}D"
 
-    def on(e: str, x: str, y: str, side: int) -> str:
+    def on(e: str, f: str, p: str, side: int) -> str:
+        x, y = f"{f}.{p}x", f"{f}.{p}y"
         along = f"(({x} - {e}.ax) * ({e}.bx - {e}.ax) + ({y} - {e}.ay) * ({e}.by - {e}.ay))"
         return (
-            f"CASE WHEN abs({cross(e, x, y)}) <= {t} * {length(e)} AND {along} > {t} * {length(e)} "
-            f"AND {along} < ({length(e)} - {t}) * {length(e)} THEN named_struct('side', {side}, 'x', {x}, 'y', {y}) END"
+            f"CASE WHEN abs(_{e}_{p}) <= {t} * _{e} AND {along} > {t} * _{e} "
+            f"AND {along} < (_{e} - {t}) * _{e} THEN named_struct('side', {side}, 'x', {x}, 'y', {y}) END"
         )
 
-    apart = " AND ".join(
-        f"abs({cross(e, f'{f}.{p}x', f'{f}.{p}y')}) > {t} * {length(e)}"
-        for e, f in (("l", "r"), ("r", "l")) for p in "ab"
-    )
-    turns = [cross("r", f"l.{p}x", f"l.{p}y") for p in "ab"]
-    crossing = (
-        f"{apart} AND signum({cross('l', 'r.ax', 'r.ay')}) <> signum({cross('l', 'r.bx', 'r.by')}) "
-        f"AND signum({turns[0]}) <> signum({turns[1]})"
-    )
+    apart = " AND ".join(f"abs(_{e}_{p}) > {t} * _{e}" for e in "lr" for p in "ab")
+    crossing = f"{apart} AND signum(_l_a) <> signum(_l_b) AND signum(_r_a) <> signum(_r_b)"
 
     def coordinate(v: str) -> str:
-        exact = f"l.a{v} + (l.b{v} - l.a{v}) * {turns[0]} / nullif({turns[0]} - {turns[1]}, 0D)"
+        exact = f"l.a{v} + (l.b{v} - l.a{v}) * _r_a / nullif(_r_a - _r_b, 0D)"
         return f"CASE WHEN l.a{v} = l.b{v} THEN l.a{v} WHEN r.a{v} = r.b{v} THEN r.a{v} ELSE rint(({exact}) / {t}) * {t} END"
 
     both = [
         f"CASE WHEN {crossing} THEN named_struct('side', {side}, 'x', {coordinate('x')}, 'y', {coordinate('y')}) END"
         for side in (0, 1)
     ]
-    ends = [on(e, f"{f}.{p}x", f"{f}.{p}y", s) for s, e, f in ((0, "l", "r"), (1, "r", "l")) for p in "ab"]
+    ends = [on(e, f, p, s) for s, e, f in ((0, "l", "r"), (1, "r", "l")) for p in "ab"]
     return f"filter(array({', '.join(ends + both)}), m -> m IS NOT NULL)"
 
 
@@ -208,7 +208,7 @@ def outline(rows: DataFrame, tol: float) -> DataFrame:
         f"l.{_G} = r.{_G} AND l._cx = r._cx AND l._cy = r._cy AND {_near(tol)} "
         f"AND (l.{_PART} < r.{_PART} OR l.{_PART} = r.{_PART} AND l.{_POS} < r.{_POS})"
     ))
-    met = met.selectExpr(f"l.{_G}", f"l.{_PART} AS p0", f"l.{_POS} AS e0", f"r.{_PART} AS p1", f"r.{_POS} AS e1",
+    met = _judged(met).selectExpr(f"l.{_G}", f"l.{_PART} AS p0", f"l.{_POS} AS e0", f"r.{_PART} AS p1", f"r.{_POS} AS e1",
                          f"explode({_meetings(tol)}) AS m")
     splits = stored(met.selectExpr(
         _G, f"IF(m.side = 0, p0, p1) AS {_PART}", f"IF(m.side = 0, e0, e1) AS {_POS}", "m.x", "m.y"
@@ -340,9 +340,9 @@ def cut(layer: DataFrame, region: DataFrame, key: str) -> DataFrame:
     border = stored(border, "region_edges")
     edges = stored(directed(own), "edges")
     cell = max(S.choose_cell(own).cell, S.choose_cell(around).cell)
-    met = joins.sized_join(
+    met = _judged(joins.sized_join(
         _by_cell(edges, cell, tol), _by_cell(border.drop(_G), cell, tol), ["_cx", "_cy"], F.expr(_near(tol)), "inner"
-    ).selectExpr(
+    )).selectExpr(
         f"l.{_G} AS {_G}", f"l.{_PART} AS p0", f"l.{_POS} AS e0", f"r.{_POS} AS e1",
         f"explode_outer({_meetings(tol)}) AS m",
     )
@@ -398,9 +398,9 @@ def pairs_within(layer: DataFrame, areas: DataFrame, key: str, area_key: str) ->
     edges = stored(directed(own), "edges")
     own_plan, plan = S.choose_cell(own), S.choose_cell(around)
     cell = max(own_plan.cell, plan.cell)
-    met = joins.sized_join(
+    met = _judged(joins.sized_join(
         _by_cell(edges, cell, tol), _by_cell(border, cell, tol), ["_cx", "_cy"], F.expr(_near(tol)), "inner"
-    ).selectExpr(
+    )).selectExpr(
         f"l.{_G} AS g0", f"l.{_PART} AS p0", f"l.{_POS} AS e0", f"r.{_G} AS g1", f"r.{_POS} AS e1",
         f"explode_outer({_meetings(tol)}) AS m",
     )

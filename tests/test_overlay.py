@@ -146,3 +146,8 @@ def test_within(spark):
         "beside hole": "holed", "in hole": None, "with hole": "holed", "astride": "two", "slanted": "ell",
         "over": None, "none": None,
     }
+
+
+def test_meetings_are_small_enough_to_compile():
+    """Sides and lengths are columns: written out at each use they made the whole twice as long."""
+    assert len(O._meetings(2.0**-44)) < 4000
