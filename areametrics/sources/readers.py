@@ -45,12 +45,14 @@ def read_csv(
 def typed(column: str, kind: str | T.DataType) -> Column:
     """The column cast, or an error that names the value which does not fit."""
     value = F.col(f"`{column}`")
-    cast = value.try_cast(kind)
     name = kind if isinstance(kind, str) else kind.simpleString()
+    if name == "string":
+        return value.cast(kind).alias(column)
     wrong = F.raise_error(F.concat(
         F.lit(f"CAST_INVALID_INPUT: a value of {column} is no {name}: "), value.cast("string")
     ))
-    return F.when(value.isNotNull() & cast.isNull(), wrong.cast(kind)).otherwise(cast).alias(column)
+    # The cast is worked out once.
+    return F.coalesce(value.try_cast(kind), F.when(value.isNotNull(), wrong.cast(kind))).alias(column)
 
 
 def read_occurrences(spark: SparkSession, path: str) -> DataFrame:

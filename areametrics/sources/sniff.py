@@ -23,7 +23,7 @@ import re
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from areametrics.schemas import CSV_TYPES
@@ -34,6 +34,8 @@ LOOK_BYTES = 1 << 18
 SEPARATORS = "\t;,|"
 #: More different dialects than this are not looked at: two that differ are enough to raise.
 _MOST_DIALECTS = 64
+#: Rows that are tried for every type; all others only for the types that these leave.
+FIRST_ROWS = 1000
 
 #: Types from narrow to wide, each with the form of its values. Numbers with leading zeros are codes.
 FORMS = {
@@ -190,16 +192,23 @@ def _types(raw: DataFrame, columns: list[str]) -> dict[str, str]:
     """The narrowest type of every column by all its rows; one without a value is text."""
     if not columns:
         return {}
-    tests = []
-    for i, c in enumerate(columns):
-        value = F.col(f"`{c}`")
-        tests.append(F.count(value).alias(f"n{i}"))
-        for kind, form in FORMS.items():
-            fits = value.rlike(form) & value.try_cast(kind).isNotNull()
-            tests.append(F.count_if(fits).alias(f"{kind}{i}"))
-    counts = raw.agg(*tests).first()
+
+    def counted(rows: DataFrame, kinds: list[list[str]]) -> Row:
+        tests = []
+        for i, c in enumerate(columns):
+            value = F.col(f"`{c}`")
+            tests.append(F.count(value).alias(f"n{i}"))
+            for kind in kinds[i]:
+                fits = value.rlike(FORMS[kind]) & value.try_cast(kind).isNotNull()
+                tests.append(F.count_if(fits).alias(f"{kind}{i}"))
+        return rows.agg(*tests).first()
+
+    # A type that some of the first rows rule out need not be tried on the others.
+    first = counted(raw.limit(FIRST_ROWS), [[*FORMS]] * len(columns))
+    left = [[k for k in FORMS if first[f"{k}{i}"] == first[f"n{i}"]] for i in range(len(columns))]
+    counts = counted(raw, left)
     return {
-        c: next((k for k in FORMS if counts[f"n{i}"] and counts[f"{k}{i}"] == counts[f"n{i}"]), "string")
+        c: next((k for k in left[i] if counts[f"n{i}"] and counts[f"{k}{i}"] == counts[f"n{i}"]), "string")
         for i, c in enumerate(columns)
     }
 

@@ -8,7 +8,7 @@ import gzip
 import pytest
 from pyspark.sql import functions as F
 
-from areametrics.sources import sniff
+from areametrics.sources import readers, sniff
 
 
 def _write(folder, **files):
@@ -96,3 +96,17 @@ def test_a_given_dialect(spark, tmp_path):
     assert sniff.sniff(spark, path).header
     given = sniff.Dialect(";", "off", False, (), 2, False)
     assert sniff.read_delimited(spark, path, dialect=given).count() == 2
+
+
+def test_types_by_all_rows(spark, tmp_path, monkeypatch):
+    """First rows rule types out, but a type holds only if all rows have it."""
+    monkeypatch.setattr(sniff, "FIRST_ROWS", 2)
+    (tmp_path / "a.csv").write_text("a;b;c;d\n" + "1;2;;x\n" * 3 + "1.5;2;2020-01-02;x\n")
+    kinds = dict(sniff.read_delimited(spark, str(tmp_path)).dtypes)
+    assert kinds == {"a": "double", "b": "bigint", "c": "date", "d": "string"}
+
+
+def test_text_is_not_cast(spark):
+    """A text column is read as it is, without a test that no value fails."""
+    read = spark.range(1).selectExpr("'x' AS a").select(readers.typed("a", "string"))
+    assert "raise_error" not in read._jdf.queryExecution().analyzed().toString()
