@@ -424,7 +424,9 @@ def csv_sniffed(spark, d):
     """Semicolons, a header and quotes, none of which the reader is told."""
     text = new_path(spark, "csv")
     rows = _spread_occurrences(spark, d).select(*[f"`{c}`" for c in CSV_TYPES])
-    rows.write.option("sep", ";").option("header", True).option("quoteAll", True).option("escape", '"').csv(text)
+    rows.write.option("sep", ";").option("header", True).option("quoteAll", True).option("escape", '"').option(
+        "compression", "gzip"
+    ).csv(text)
     return sniff.read_delimited(spark, text)
 
 
@@ -481,7 +483,9 @@ def staged_build(spark, d):
     """All stages from files; the first run is capped, and the second must not keep its tables."""
     root = new_path(spark, "build")
     rows = _spread_occurrences(spark, d).select(*[f"`{c}`" for c in CSV_TYPES])
-    rows.write.option("sep", "\t").option("header", True).option("quote", "").csv(f"{root}/csv")
+    rows.write.option("sep", "\t").option("header", True).option("quote", "").option("compression", "gzip").csv(
+        f"{root}/csv"
+    )
     writers.write_features(D.grid(spark).select("id", GEOM), f"{root}/grid")
     grid = B.Layer(f"{root}/grid", "id BIGINT", {"id": "id"}, "id", per_line=True)
     B.run(spark, B.Build(f"{root}/out", f"{root}/csv", {"grid": grid}, limit=7))
