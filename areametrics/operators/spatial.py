@@ -728,6 +728,8 @@ def _clip_polygons(
     layer: DataFrame, region: DataFrame, cell: float, limit: int, heavy_rows: int
 ) -> DataFrame:
     window = _extent(layer, cell)
+    tasks = layer.count() // CHIPS_PER_TASK
+    layer = layer.repartition(tasks) if tasks > 1 else layer
     plan = plan_cells(region, cell, window, lead=True, keep_geom=False)
     right = chips(
         _spread(region, plan), cell, window, lead=True, keep_geom=False, flag_boxes=False

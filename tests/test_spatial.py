@@ -339,3 +339,12 @@ def test_left_sizes_are_split(spark, limit):
         want += [(i, h) for h in hits] or [(i, None)]
     got = S.boxes_in_polygons(boxes, region, keep_geom=False, limit=limit)
     assert sorted(pairs_any(got), key=str) == sorted(want, key=str)
+
+
+def test_clipping_is_spread(spark):
+    """A layer read by one task is clipped by several."""
+    many = layer(spark, {f"s{i}": [[square(float(i), 0.0)]] for i in range(3)}).coalesce(1)
+    many = many.crossJoin(spark.range(4000).drop("id")).coalesce(1)
+    region = layer(spark, {"r": [[square(0.5, 0.5)]]})
+    kept = S.clip_polygons(many, region)
+    assert kept.rdd.getNumPartitions() > 1 and kept.count() == 8000
