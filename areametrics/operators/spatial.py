@@ -93,12 +93,14 @@ def choose_cell(layer: DataFrame, at_least: float = 0.0) -> CellPlan:
     mixed; each gives one row. The byte figure takes every edge to be near every cell of its
     polygon, so it can only be too high.
     """
-    boxed = layer.where(F.col("minx").isNotNull())
+    # Polygons without a box add nothing. Filtered out, they would be looked for before a layer is spread.
+    held = F.col("minx").isNotNull()
     wide, high = "maxx - minx", "maxy - miny"
-    facts = boxed.select(
-        *BBOX, F.expr(f"size(flatten(flatten({GEOM})))").alias("v"), F.expr(G.is_box(GEOM)).alias("box"),
+    facts = layer.select(
+        *BBOX, F.when(held, F.expr(f"size(flatten(flatten({GEOM})))")).alias("v"),
+        F.when(held, F.expr(G.is_box(GEOM))).alias("box"),
     ).agg(
-        F.count("*").alias("n"), F.sum("v").alias("v"), F.bool_and("box").alias("box"),
+        F.count("minx").alias("n"), F.sum("v").alias("v"), F.bool_and("box").alias("box"),
         F.min(_extent_of()).alias("least"), F.max(_extent_of()).alias("widest"),
         F.expr(f"sum({wide})").alias("wide"), F.expr(f"sum({high})").alias("high"),
         F.expr(f"sum(({wide}) * ({high}))").alias("area"),
@@ -117,7 +119,7 @@ def choose_cell(layer: DataFrame, at_least: float = 0.0) -> CellPlan:
     enough = next((i for i, c in enumerate(likely) if c >= facts["widest"]), len(likely) - 1) + 2
     likely = likely[:enough]
     spans = [_spans(f"{c!r}D") for c in likely]
-    counts = boxed.select(
+    counts = layer.select(
         *BBOX, (joins.row_bytes(layer) + F.expr(f"256 + 72 * size(flatten(flatten({GEOM})))")).alias("w")
     ).agg(
         *[F.expr(f"sum({n})").alias(f"cells{i}") for i, n in enumerate(spans)],
@@ -128,7 +130,7 @@ def choose_cell(layer: DataFrame, at_least: float = 0.0) -> CellPlan:
     cells, size = (int(min(counts[f"{c}{at}"] or 0.0, 2.0**62)) for c in ("cells", "bytes"))
     mixed = facts["n"] > MIXED_FROM and side > MIXED_SIDE * facts["least"]
     if mixed:
-        mixed = side > MIXED_SIDE * boxed.agg(F.percentile_approx(_extent_of(), 0.5)).first()[0]
+        mixed = side > MIXED_SIDE * layer.agg(F.percentile_approx(_extent_of(), 0.5)).first()[0]
     return CellPlan(side, cells, size, facts["box"], mixed)
 
 
@@ -176,6 +178,31 @@ def _point_plan(layer: DataFrame, cell: float | None, keep_geom: bool, limit: in
     return plan_cells(layer, cell, keep_geom=keep_geom)
 
 
+def _near_points(layer: DataFrame, points: DataFrame) -> DataFrame:
+    """Polygons whose box meets the box around all points; no other can hold one of them."""
+    x, y = f"{GEOM}.x", f"{GEOM}.y"
+    ends = points.where(f"NOT isnan({x}) AND NOT isnan({y})").agg(
+        F.min(x).alias("minx"), F.min(y).alias("miny"), F.max(x).alias("maxx"), F.max(y).alias("maxy")
+    ).first()
+    end = {n: F.lit(ends[n]).cast("double") for n in BBOX}
+    return layer.where(
+        (F.col("minx") <= end["maxx"]) & (F.col("maxx") >= end["minx"])
+        & (F.col("miny") <= end["maxy"]) & (F.col("maxy") >= end["miny"])
+    )
+
+
+def _planned_layer(
+    points: DataFrame, layer: DataFrame, cell: float | None, keep_geom: bool, limit: int,
+) -> tuple[DataFrame, CellPlan]:
+    """Layer and plan for point joins. A layer too large to broadcast is cut down to the polygons near
+    the points and stored: the jobs that plan it and make its chips would each build its outlines anew."""
+    plan = _point_plan(layer, cell, keep_geom, limit)
+    if plan.bytes <= limit:
+        return layer, plan
+    near = stored(_near_points(layer, points), "near_polygons")
+    return near, _point_plan(near, cell, keep_geom, limit)
+
+
 def _spread(layer: DataFrame, plan: CellPlan) -> DataFrame:
     """Share chip making among tasks: layers often come from one file, read by one task."""
     tasks = plan.cells // CHIPS_PER_TASK
@@ -396,7 +423,12 @@ def _join_mixed(
 ) -> DataFrame:
     """Points to polygons of mixed sizes, class by class. Points in a cell that is crowded in some
     class are told apart first; their polygons stay a row each."""
-    classes = [(part, choose_cell(part)) for part in size_classes(layer)]
+    classes = []
+    for part in size_classes(layer):
+        plan = choose_cell(part)
+        if plan.bytes > limit:
+            plan = plan_cells(part, plan.cell, keep_geom=keep_geom)
+        classes.append((part, plan))
     options = (closed, keep_geom, how, limit, heavy_rows)
     flagged, any_crowded = points.withColumn("_busy", F.lit(False)), False
     for part, plan in classes:
@@ -594,7 +626,7 @@ def points_in_polygons(
     they are large and the key is enough.
     """
     limit = joins.BROADCAST_BYTES if limit is None else limit
-    plan = _point_plan(layer, cell, keep_geom, limit)
+    layer, plan = _planned_layer(points, layer, cell, keep_geom, limit)
     names = [c for c in layer.columns if keep_geom or c != GEOM]
     if plan.mixed:
         return _join_mixed(points, layer, False, keep_geom, how, limit, heavy_rows)
@@ -688,8 +720,7 @@ def clip_points(
 ) -> DataFrame:
     """Points inside or on the border of at least one region polygon; each kept once."""
     limit = joins.BROADCAST_BYTES if limit is None else limit
-    region = region.select(GEOM, *BBOX)
-    plan = _point_plan(region, cell, False, limit)
+    region, plan = _planned_layer(points, region.select(GEOM, *BBOX), cell, False, limit)
     if plan.mixed:
         return _join_mixed(points, region, True, False, "left_semi", limit, heavy_rows)
     kept = _join_points(points, region, plan, True, False, "left_semi", limit, heavy_rows)

@@ -255,7 +255,7 @@ def colliding_names(spark, d):
 @query
 def mixed_sjoin(spark, d):
     """Plots and, around them all, one large rectangle."""
-    plots = D.plots(spark, d).select(F.col("OBJECTID").alias("plot_id"), GEOM, *BBOX)
+    plots = D.plots(spark, d, spread).select(F.col("OBJECTID").alias("plot_id"), GEOM, *BBOX)
     world = spark.range(1).select(
         F.lit(-1).cast("long").alias("plot_id"), G.rectangle("-180D", "-90D", "0.7D", "90D").alias(GEOM)
     ).withColumns(G.polygon_bbox(GEOM))
@@ -269,7 +269,7 @@ _SHUFFLED = {"limit": -1, "heavy_rows": 500}
 
 @query
 def plot_sjoin_shuffled(spark, d):
-    plots = D.plots(spark, d).select(F.col("OBJECTID").alias("plot_id"), GEOM, *BBOX)
+    plots = D.plots(spark, d, spread).select(F.col("OBJECTID").alias("plot_id"), GEOM, *BBOX)
     joined = S.points_in_polygons(_points(spark, d), plots, keep_geom=False, **_SHUFFLED)
     return joined.select("gbifID", "species", "plot_id")
 
@@ -306,14 +306,14 @@ def layer_sjoin_nested(spark, d):
 
 @query
 def plot_sjoin(spark, d):
-    plots = D.plots(spark, d).select(F.col("OBJECTID").alias("plot_id"), GEOM, *BBOX)
+    plots = D.plots(spark, d, spread).select(F.col("OBJECTID").alias("plot_id"), GEOM, *BBOX)
     joined = S.points_in_polygons(_points(spark, d), plots, keep_geom=False)
     return joined.select("gbifID", "species", "plot_id")
 
 
 @query
 def plot_metrics(spark, d):
-    plots = D.plots(spark, d).select(F.col("OBJECTID").alias("plot_id"), GEOM, *BBOX)
+    plots = D.plots(spark, d, spread).select(F.col("OBJECTID").alias("plot_id"), GEOM, *BBOX)
     rows = S.points_in_polygons(_points(spark, d), plots, keep_geom=False, how="inner")
     rows = stored(rows.select("plot_id", "gbifID", *M.RANKS), "plot_sjoin")
     return M.area_metrics(rows, "plot_id").withColumn("shannon_index", _rounded("shannon_index", 6))

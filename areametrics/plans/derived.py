@@ -168,14 +168,20 @@ def neighbourhoods(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_plots(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_plots(
+    spark: SparkSession, sf_dir: str, spread: Callable[..., DataFrame] | None = None
+) -> DataFrame:
     """A green-space outline per customer, as raw layers name their columns (no box yet).
 
     Outlines do not overlap, whatever the number of customers: the lattice grows upwards. Some
-    names and types are null; four neighbours share a name.
+    names and types are null; four neighbours share a name. ``spread``, if given, may repartition
+    the scan by the key.
     """
     x, y = f"(c_custkey % {PLOT_ROW}) / 128D", f"(c_custkey DIV {PLOT_ROW}) / 128D"
-    return table(spark, sf_dir, "customer").selectExpr(
+    customer = table(spark, sf_dir, "customer")
+    if spread:
+        customer = spread(customer, "c_custkey")
+    return customer.selectExpr(
         "c_custkey AS OBJECTID",
         "CASE WHEN c_custkey % 50 <> 7 THEN concat('Green ', c_custkey DIV 4) END AS Nom",
         f"{case_of(PLOT_TYPES['Type'], 'c_custkey % 5')} AS Type",
@@ -186,9 +192,11 @@ def raw_plots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def plots(spark: SparkSession, sf_dir: str) -> DataFrame:
+def plots(
+    spark: SparkSession, sf_dir: str, spread: Callable[..., DataFrame] | None = None
+) -> DataFrame:
     """:func:`raw_plots` with box columns."""
-    return raw_plots(spark, sf_dir).withColumns(G.polygon_bbox(GEOM))
+    return raw_plots(spark, sf_dir, spread).withColumns(G.polygon_bbox(GEOM))
 
 
 def stations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -306,6 +306,41 @@ def test_stacked_polygons_stay_rows(spark, monkeypatch, limit):
     assert sorted(r["id"] for r in kept.collect()) == [1, 1, 2, 3, 4, 5, 9]
 
 
+def _chipped(monkeypatch):
+    """Polygons that chips are made of from here on, as a list of tables."""
+    made, chips = [], S.chips
+
+    def spy(polygons, *args, **options):
+        made.append(polygons)
+        return chips(polygons, *args, **options)
+
+    monkeypatch.setattr(S, "chips", spy)
+    return made
+
+
+@pytest.mark.parametrize("world", [False, True])
+def test_large_layers_are_cut_to_the_points(spark, monkeypatch, world):
+    """A layer over the limit: polygons that no point can be in make no chips, in both kinds of join."""
+    shapes = {f"s{i}": [[square(i % 10, i // 10, 0.9)]] for i in range(1000)} | {"none": None}
+    if world:
+        shapes["world"] = [[square(-1000, -1000, 2000)]]
+    polygons = layer(spark, shapes)
+    assert S.choose_cell(polygons).mixed == world
+    at = {1: (0.5, 0.5), 2: (3.0, 1.5), 3: (8.9, 2.0), 4: None, 5: (float("nan"), 50.5), 6: (4.95, 0.5)}
+    df = points(spark, list(at.items()))
+    made = _chipped(monkeypatch)
+    got = S.points_in_polygons(df, polygons, limit=-1)
+    rest = ["world"] if world else [None]
+    inside = {1: ["s0"] + ["world"] * world, 2: rest, 3: rest, 4: [None], 5: [None], 6: rest}
+    assert sorted(pairs_any(got), key=str) == sorted([(i, n) for i in at for n in inside[i]], key=str)
+    kept = S.clip_points(df, polygons, limit=-1)
+    assert sorted(r["id"] for r in kept.collect()) == ([1, 2, 3, 6] if world else [1, 2, 3])
+    assert made and all(t.where("miny > 2").isEmpty() for t in made)
+    nowhere = df.where("id = 4")
+    assert pairs_any(S.points_in_polygons(nowhere, polygons, limit=-1)) == [(4, None)]
+    assert S.clip_points(nowhere, polygons, limit=-1).isEmpty()
+
+
 @pytest.mark.parametrize("limit", [None, -1])
 def test_left_sizes_are_split(spark, limit):
     """One wide polygon among many small ones, clipped and joined as boxes."""
