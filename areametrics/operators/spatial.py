@@ -193,13 +193,16 @@ def _near_points(layer: DataFrame, points: DataFrame) -> DataFrame:
 
 def _planned_layer(
     points: DataFrame, layer: DataFrame, cell: float | None, keep_geom: bool, limit: int,
+    distinct: bool = False,
 ) -> tuple[DataFrame, CellPlan]:
     """Layer and plan for point joins. A layer too large to broadcast is cut down to the polygons near
-    the points and stored: the jobs that plan it and make its chips would each build its outlines anew."""
+    the points, without copies if only ``distinct`` ones matter, and stored: the jobs that plan it and
+    make its chips would each build its outlines anew."""
     plan = _point_plan(layer, cell, keep_geom, limit)
     if plan.bytes <= limit:
         return layer, plan
-    near = stored(_near_points(layer, points), "near_polygons")
+    near = _near_points(layer, points)
+    near = stored(near.distinct() if distinct else near, "near_polygons")
     return near, _point_plan(near, cell, keep_geom, limit)
 
 
@@ -718,9 +721,13 @@ def clip_points(
     limit: int | None = None,
     heavy_rows: int = joins.HEAVY_ROWS,
 ) -> DataFrame:
-    """Points inside or on the border of at least one region polygon; each kept once."""
+    """Points inside or on the border of at least one region polygon; each kept once.
+
+    Copies of a polygon say no more than one of them, so a large region is used without: points beside
+    a heap of copies would be tested against them all.
+    """
     limit = joins.BROADCAST_BYTES if limit is None else limit
-    region, plan = _planned_layer(points, region.select(GEOM, *BBOX), cell, False, limit)
+    region, plan = _planned_layer(points, region.select(GEOM, *BBOX), cell, False, limit, distinct=True)
     if plan.mixed:
         return _join_mixed(points, region, True, False, "left_semi", limit, heavy_rows)
     kept = _join_points(points, region, plan, True, False, "left_semi", limit, heavy_rows)

@@ -361,7 +361,7 @@ def mixed_boxes(spark, d):
 def clip_stacked(spark, d):
     """Occurrences on a heap of lots, one for each part and nearly all in one place, or far west."""
     side = "(p_partkey % 4) / 1024D"
-    lots = D.table(spark, d, "part").select(
+    lots = spread(D.table(spark, d, "part"), "p_partkey").select(
         G.rectangle(f"0.25D + {side}", "0.25D", f"0.2578125D + {side}", "0.2578125D").alias(GEOM)
     )
     west = spark.range(1).select(G.rectangle("-180D", "-90D", "0.125D", "90D").alias(GEOM))

@@ -341,6 +341,21 @@ def test_large_layers_are_cut_to_the_points(spark, monkeypatch, world):
     assert S.clip_points(nowhere, polygons, limit=-1).isEmpty()
 
 
+@pytest.mark.parametrize("limit", [1000, -1])
+def test_heaps_of_copies_are_clipped_as_one(spark, monkeypatch, limit):
+    """Points beside a heap meet one polygon of it, not every copy."""
+    shapes = {f"copy{i}": [[square(3, 3, 0.9)]] for i in range(400)}
+    shapes |= {"ell": ELL, "world": [[square(-1000, -1000, 1001)]]}
+    region = layer(spark, shapes)
+    assert S.choose_cell(region).mixed
+    df = points(spark, [(1, (3.5, 3.5)), (2, (3.9, 3.5)), (3, (3.95, 3.5)), (4, (0.5, 0.5)), (4, (0.5, 0.5)), (5, None)])
+    made = _chipped(monkeypatch)
+    kept = S.clip_points(df, region, limit=limit)
+    assert kept.columns == df.columns
+    assert sorted(r["id"] for r in kept.collect()) == [1, 2, 4, 4]
+    assert sum(t.count() for t in made) <= 3
+
+
 @pytest.mark.parametrize("limit", [None, -1])
 def test_left_sizes_are_split(spark, limit):
     """One wide polygon among many small ones, clipped and joined as boxes."""
