@@ -1,7 +1,9 @@
 """Connected components of links, by alternating large and small stars.
 
-Each round is two joins and grouped minima over the links; they are written to the shared folder
-after it, so lost executors cost a round at most. Nothing but two numbers reaches the driver.
+A star is a join and a grouped minimum over the links, and a round is one star of each kind. Links
+are written to the shared folder after each star: lost executors cost a star at most, and plans stay
+small. Spark's driver sets aside 4 MB of heap for each stage, scan and broadcast that it starts, and
+starts all that a plan has ready at once. Nothing but a number reaches the driver.
 """
 
 from __future__ import annotations
@@ -12,13 +14,20 @@ from pyspark.sql import functions as F
 from areametrics.sources.shared import stored
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b") % 1_000_003)).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one smaller neighbour and no other, or larger neighbours only."""
+    one = F.struct(F.col("a").alias("id"), F.lit(1).alias("up"))
+    other = F.struct(F.col("b").alias("id"), F.lit(0).alias("up"))
+    degrees = edges.select(F.inline(F.array(one, other))).groupBy("id").agg(
+        F.count("*").alias("n"), F.sum("up").alias("up")
+    )
+    return not degrees.where("up > 1 OR (up = 1 AND n > 1)").agg(F.count("*")).first()[0]
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked with the least in reach instead."""
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    turned = F.struct(F.col("b").alias("a"), F.col("a").alias("b"))
+    both = edges.select(F.inline(F.array(F.struct("a", "b"), turned)))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
@@ -26,8 +35,8 @@ def _large_star(edges: DataFrame) -> DataFrame:
 def _small_star(edges: DataFrame) -> DataFrame:
     """``a > b`` here: every smaller neighbour, and the node itself, is linked with the least."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    rest = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return rest.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+    end = F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b"))
+    return edges.join(least, "a").select(end.alias("a"), F.col("m").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -39,10 +48,8 @@ def components(links: DataFrame) -> DataFrame:
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     ).distinct()
     edges = stored(edges, "links")
-    before = None
-    while (now := _state(edges)) != before:
-        before = now
-        edges = stored(_small_star(_large_star(edges)), "links")
-    leaves = edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
+    while not _settled(edges):
+        edges = stored(_small_star(stored(_large_star(edges), "links")), "links")
+    leaves = edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
     roots = edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     return leaves.unionByName(roots)

@@ -229,9 +229,8 @@ def near_links(
     open_ = named.groupBy("band").agg(
         F.min("component").alias("x"), F.max("component").alias("y")
     ).where("x <> y").select("band")
-    rows = named.join(open_, "band").join(
-        reps.select("rep", "n_shingles", "regs").join(texts, "rep"), "rep"
-    )
+    opened = stored(named.join(open_, "band"), "open")
+    rows = opened.join(reps.select("rep", "n_shingles", "regs").join(texts, "rep"), "rep")
 
     def work(table, left, right):
         ids = table.column("rep").to_numpy()
@@ -277,7 +276,7 @@ def near_links(
 
     return blocks.compared(
         rows, "band", "rep", ["rep", "component", "n_shingles", "regs", "text"], work,
-        "a long, b long", TEXT_BLOCK,
+        "a long, b long", TEXT_BLOCK, opened,
     )
 
 
@@ -302,15 +301,17 @@ def judge(
     ).select(F.col(key).alias("rep"), text)
     texts = stored(texts.toDF("rep", "text"), "texts")
     threshold = percent / 100
-    first = stored(confirmed(likely(stars, reps, threshold), texts, percent, size), "confirmed")
+    near = stored(likely(stars, reps, threshold), "likely")
+    first = stored(confirmed(near, texts, percent, size), "confirmed")
     parts = components(first)
     second = stored(
         near_links(shared.select("band", "rep"), reps, parts, texts, percent, size), "confirmed"
     )
-    parts = components(first.unionByName(second))
+    parts = components(parts.toDF("a", "b").unionByName(second))
     whole = reps.select("s1", "s2", F.col("n_shingles").alias("n"), "rep").join(
         parts, F.col("rep") == F.col("id"), "left"
     ).select("s1", "s2", "n", F.coalesce("component", "rep").alias("component_id"))
+    whole = stored(whole, "components")
     members = drawn.select("id", "n_shingles", F.col("n_shingles").alias("n"), "s1", "s2")
     joined = sized_join(members, whole, ["s1", "s2", "n"]).select(
         "l.id", "l.n_shingles", F.when(F.col("l.id").isNotNull(), F.col("component_id")).alias("c")

@@ -109,7 +109,7 @@ def site_posteriors(rows: DataFrame, host: str, path: str) -> tuple[DataFrame, f
     mean = float((total["s"] + 0.5) / (total["n"] + 1)) if total["n"] else 0.5
     weight = concentration(hosts, f"{mean!r}D")
     hosts = hosts.select(host, F.expr(f"(s + {weight * mean!r}D) / (n + {weight!r}D)").alias("host_mean"))
-    joined = sized_join(paths, hosts, [host], how="inner").selectExpr("l.*", "host_mean")
+    joined = stored(sized_join(paths, hosts, [host], how="inner").selectExpr("l.*", "host_mean"), "sites")
     weight = concentration(joined, "host_mean")
     return joined.select(
         host, path, F.expr(f"(s + {weight!r}D * host_mean) / (n + {weight!r}D)").alias("site")

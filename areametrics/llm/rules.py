@@ -191,7 +191,7 @@ def judge(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
         ),
         "rules",
     ).withColumn("lang_key", F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("")))
-    pooled = references(measured).withColumn(
+    pooled = stored(references(measured), "references").withColumn(
         "lang_key", F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit(""))
     )
     joined = sized_join(measured, pooled.drop("lang"), ["lang_key"]).selectExpr("l.*", "ref_classes", "ref_common")

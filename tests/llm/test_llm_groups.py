@@ -246,3 +246,29 @@ def test_lattice_recall():
 def test_lattice_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert lattice.judge(df).collect() == []
+
+
+def jobs(spark, run):
+    """What ``run`` returns, and the ids of the jobs that it started."""
+    context = spark.sparkContext
+    name = f"jobs-{id(run)}"
+    context.setJobGroup(name, "counted")
+    try:
+        return run(), context.statusTracker().getJobIdsForGroup(name)
+    finally:
+        for key in ("spark.jobGroup.id", "spark.job.description"):
+            context.setLocalProperty(key, None)
+
+
+def test_few_jobs(spark):
+    """The driver sets memory aside for every stage, scan and broadcast."""
+    forest = spark.createDataFrame([(1, i) for i in range(2, 6)] + [(7, 9), (8, 7)], "a long, b long")
+    got, started = jobs(spark, lambda: {tuple(r) for r in components(forest).collect()})
+    assert got == {(i, 1) for i in range(1, 6)} | {(i, 7) for i in range(7, 10)}
+    assert len(started) <= 10
+    df = documents(spark, variants())
+    got, started = jobs(
+        spark, lambda: {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.judge(df).collect()}
+    )
+    assert got == linked(texts_by_id(variants()))
+    assert len(started) <= 140
