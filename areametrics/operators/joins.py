@@ -29,7 +29,7 @@ FEWEST_SHARES = 50_000
 #: Rows with a null key are dealt to so many sub-keys.
 NULL_SHARES = 1 << 20
 
-_SALT = "_salt"
+_SALT, _SHARES = "_salt", "_shares"
 
 
 def row_bytes(df: DataFrame) -> Column:
@@ -79,14 +79,15 @@ def salted(
     hashed = F.xxhash64(*[
         F.col(f"`{f.name}`") for f in left.schema.fields if not isinstance(f.dataType, T.MapType)
     ])
-    heavy = F.broadcast(heavy)
+    # Either side may have a column named as that of ``heavy`` is.
+    heavy = F.broadcast(heavy.withColumnRenamed("_n", _SHARES))
     absent = F.expr(" OR ".join(f"`{k}` IS NULL" for k in keys))
-    shares = F.when(absent, F.lit(NULL_SHARES)).otherwise(F.coalesce(F.col("_n"), F.lit(1)))
+    shares = F.when(absent, F.lit(NULL_SHARES)).otherwise(F.coalesce(F.col(_SHARES), F.lit(1)))
     left = left.join(heavy, keys, "left").withColumn(_SALT, F.coalesce(F.pmod(hashed, shares).cast("int"), F.lit(0)))
     right = right.join(heavy, keys, "left").withColumn(
-        _SALT, F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_n"), F.lit(1)) - 1))
+        _SALT, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(_SHARES), F.lit(1)) - 1))
     )
-    return left.drop("_n"), right.drop("_n")
+    return left.drop(_SHARES), right.drop(_SHARES)
 
 
 def sized_join(

@@ -10,6 +10,7 @@ import pytest
 
 from areametrics.llm import blocks, lattice, minhash
 from areametrics.llm.graph import components
+from areametrics.operators import joins
 from llm_cases import SCHEMA, awkward, documents, sample, texts_by_id
 
 
@@ -154,6 +155,14 @@ def test_lattice(spark):
     assert all(v[2] == (v[1] == k) for k, v in got.items())
 
 
+def test_lattice_where_shared_entries_are_many(spark, monkeypatch):
+    """Too many to be sent to all tasks: the same rows by shuffling."""
+    df = spark.createDataFrame(vectors(), "vec_id long, embedding array<float>, label int")
+    want = sorted(map(str, lattice.judge(df).collect()))
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", -1)
+    assert sorted(map(str, lattice.judge(df).collect())) == want
+
+
 @pytest.mark.parametrize("small, block", [(24, 1500), (1, 1500), (24, 9), (3, 40)])
 def test_lattice_pairs_and_products_agree(spark, small, block):
     """Groups compared pair by pair, as products, and in many blocks give every link once."""
