@@ -19,13 +19,11 @@ from areametrics.operators.joins import sized_join
 BLOCK = 1500
 
 
-def dealt(
-    rows: DataFrame, key: str, ident: str, block: int = BLOCK, counted: DataFrame | None = None
-) -> DataFrame:
+def dealt(rows: DataFrame, key: str, ident: str, block: int = BLOCK) -> DataFrame:
     """``rows`` of keys with two rows or more, plus ``_i``, ``_j`` (a pair of blocks, ``_i <= _j``)
-    and ``_own``, the row's block, which is one of them. ``counted`` holds each key as often as
-    ``rows`` do, where those are dear to count."""
-    sizes = (rows if counted is None else counted).groupBy(key).count().where("count > 1").select(
+    and ``_own``, the row's block, which is one of them. Rows are counted by key and may be shuffled for
+    it, so they should be narrow."""
+    sizes = rows.groupBy(key).count().where("count > 1").select(
         key, F.ceil(F.col("count") / F.lit(block)).cast("int").alias("_n")
     )
     rows = sized_join(rows, sizes, [key], how="inner").selectExpr("l.*", "_n")
@@ -39,11 +37,13 @@ def dealt(
 def compared(
     rows: DataFrame, key: str, ident: str, columns: list[str],
     work: Callable[[pa.Table, np.ndarray, np.ndarray], pa.RecordBatch], schema: str,
-    block: int = BLOCK, counted: DataFrame | None = None,
+    block: int = BLOCK, wide: DataFrame | None = None,
 ) -> DataFrame:
     """``work(table, left, right)`` for each pair of blocks: ``left`` and ``right`` are the rows of
-    the two blocks in ``table``; they are the same rows if a block meets itself."""
-    ready = dealt(rows, key, ident, block, counted).select(key, "_i", "_j", "_own", *columns)
+    the two blocks in ``table``; they are the same rows if a block meets itself. ``wide`` has one row
+    for each ``ident``, with columns that the rows get once they are dealt."""
+    ready = dealt(rows, key, ident, block)
+    ready = (ready if wide is None else ready.join(wide, ident)).select(key, "_i", "_j", "_own", *columns)
     ready = ready.repartition(key, "_i", "_j").sortWithinPartitions(key, "_i", "_j", "_own", ident)
 
     def run(batches: Iterator[pa.RecordBatch]):

@@ -230,7 +230,7 @@ def near_links(
         F.min("component").alias("x"), F.max("component").alias("y")
     ).where("x <> y").select("band")
     opened = stored(named.join(open_, "band"), "open")
-    rows = opened.join(reps.select("rep", "n_shingles", "regs").join(texts, "rep"), "rep")
+    wide = reps.select("rep", "n_shingles", "regs").join(texts, "rep")
 
     def work(table, left, right):
         ids = table.column("rep").to_numpy()
@@ -275,8 +275,8 @@ def near_links(
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return blocks.compared(
-        rows, "band", "rep", ["rep", "component", "n_shingles", "regs", "text"], work,
-        "a long, b long", TEXT_BLOCK, opened,
+        opened, "band", "rep", ["rep", "component", "n_shingles", "regs", "text"], work,
+        "a long, b long", TEXT_BLOCK, wide,
     )
 
 

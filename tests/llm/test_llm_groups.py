@@ -70,6 +70,17 @@ def test_minhash(spark, rows):
         assert r["kept"] == (r["doc_id"] == r["component_id"])
 
 
+def test_minhash_where_open_bands_are_many(spark, monkeypatch):
+    """Too many to be sent to all tasks: the same rows by shuffling, and no text is moved to count them."""
+    df = documents(spark, variants()).repartition(3)
+    want = sorted(map(str, minhash.judge(df).collect()))
+    moved, sized = [], joins.sized_join
+    monkeypatch.setattr(blocks, "sized_join", lambda left, *a, **b: moved.append(left.columns) or sized(left, *a, **b))
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", -1)
+    assert sorted(map(str, minhash.judge(df).collect())) == want
+    assert moved == [["band", "rep", "component"]]
+
+
 def test_registers_estimate_similarity():
     rng = np.random.default_rng(3)
     pool = rng.integers(0, 2**63, 20_000, dtype=np.uint64)
