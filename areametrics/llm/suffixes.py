@@ -9,8 +9,10 @@ smaller id or further up in its own. Three steps find all such strings:
    all strings of an anchor cover are its *stretch*.
 2. *Classes.* Anchors of equal run and equal stretch (128 hash bits) are one class, combined within
    each batch of documents before the shuffle; all but its first member are repeated throughout.
-3. *Suffix array.* Runs that stand in different stretches have their stretches compared: the first
-   stretch of every class goes into a suffix array with the lengths of common prefixes. A stack
+3. *Suffix array.* Runs that stand in different stretches have their stretches compared, if those agree
+   on one side of the run: a string holds half of its other bytes before the run or half of them behind
+   it, so 16 hash bits of either side tell most chance meetings of short runs apart before any text
+   moves. The first stretch of every such class goes into a suffix array with the lengths of common prefixes. A stack
    scan over it enumerates the interval tree of prefixes of ``length`` bytes or more. An interval
    whose suffixes have different bytes (or none) to their left cannot be extended to the left: it
    is a maximal repeat, and the group of all its occurrences is put out, not neighbours only. All
@@ -64,10 +66,12 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int):
     """Row, anchor, first and last string start of all anchors (starts count from the group's
-    first byte), and the hashes of run and stretch."""
+    first byte), the hashes of run and stretch, and of both sides of the run: 16 bits for the half before
+    it and 16 for that behind it, 0 for a half that is not all in the stretch."""
     none = np.zeros(0, np.int64)
+    nothing = (none, none, none, none, none.view(np.uint64), none.view(np.uint64), none.astype(np.int32))
     if len(data) < length:
-        return none, none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return nothing
     hashed = SpanHash(data)
     runs = hashed.windows(GRAM)
     keyed = (runs & ~_PLACE) | np.arange(len(runs), dtype=np.uint64)
@@ -80,7 +84,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int):
     np.add.at(fits, (offsets[1:] - length + 1)[long], -1)
     starts = np.flatnonzero(np.cumsum(fits[:-1]))
     if not len(starts):
-        return none, none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return nothing
     at = least[starts]
     opens = np.append(True, (np.diff(at) != 0) | (np.diff(starts) != 1))
     first = starts[opens]
@@ -88,7 +92,12 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int):
     at = at[opens]
     row = np.searchsorted(offsets, first, "right") - 1
     stretch = mixed(hashed(first, last + length) + mixed((at - first).astype(np.uint64)))
-    return row, at, first, last, runs[at], stretch
+    half, sides = (length - GRAM + 1) // 2, np.zeros(len(at), dtype=np.uint32)
+    for shift, a, b in ((16, at - half, at), (0, at + GRAM, at + GRAM + half)):
+        whole = np.flatnonzero((a >= first) & (b <= last + length))
+        hash_ = hashed.raw(a[whole], b[whole]) if half else np.zeros(len(whole), np.uint64)
+        sides[whole] |= ((mixed(hash_) % np.uint64(0xFFFF)).astype(np.uint32) + np.uint32(1)) << np.uint32(shift)
+    return row, at, first, last, runs[at], stretch, sides.view(np.int32)
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,9 +111,9 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _anchor_rows(docs: DataFrame, length: int, fold: bool = True) -> DataFrame:
-    """``run``, ``stretch``, ``id``, ``place``: the first anchor of each class in a batch, and what
-    the batch by itself shows to be repeated, as ranges (``place`` is -1 - start, ``stretch`` the
-    length, ``run`` arbitrary). An anchor's place is start << 16 | anchor - start << 8 | more
+    """``run``, ``stretch``, ``id``, ``place``, ``sides``: the first anchor of each class in a batch, and
+    what the batch by itself shows to be repeated, as ranges (``place`` is -1 - start, ``stretch`` the
+    length, ``run`` arbitrary, ``sides`` 0). An anchor's place is start << 16 | anchor - start << 8 | more
     starts. Without ``fold`` every anchor has a row."""
 
     def run(batches):
@@ -114,14 +123,14 @@ def _anchor_rows(docs: DataFrame, length: int, fold: bool = True) -> DataFrame:
             found = []
             for i, j in groups(offsets):
                 base = offsets[i]
-                row, at, first, last, gram, stretch = anchors(
+                row, at, first, last, gram, stretch, sides = anchors(
                     data[base : offsets[j]], offsets[i : j + 1] - base, length
                 )
                 start = first + base - offsets[row + i]
-                found.append((row + i, start, at - first, last - first, gram, stretch))
+                found.append((row + i, start, at - first, last - first, gram, stretch, sides))
             if not found:
                 continue
-            row, start, lead, more, gram, stretch = map(np.concatenate, zip(*found))
+            row, start, lead, more, gram, stretch, sides = map(np.concatenate, zip(*found))
             rank = np.argsort(np.argsort(ids, kind="stable"))
             place = (rank[row] << 32) | start
             order = np.lexsort((place, mixed(gram + mixed(stretch))))
@@ -142,25 +151,33 @@ def _anchor_rows(docs: DataFrame, length: int, fold: bool = True) -> DataFrame:
                     pa.array(np.concatenate([stretch[new].view(np.int64), size])),
                     pa.array(np.concatenate([ids[row[keep]], owner])),
                     pa.array(np.concatenate([packed, -1 - a])),
+                    pa.array(np.concatenate([sides[keep], np.zeros(len(a), np.int32)])),
                 ],
-                ["run", "stretch", "id", "place"],
+                ["run", "stretch", "id", "place", "sides"],
             )
 
-    return docs.select("id", "text").mapInArrow(run, "run long, stretch long, id long, place long")
+    return docs.select("id", "text").mapInArrow(run, "run long, stretch long, id long, place long, sides int")
 
 
 def _sorted_out(rows: DataFrame) -> DataFrame:
-    """What is repeated for sure (``stretches`` null) and the first anchors of classes whose run has
-    other classes too, with the number of these."""
+    """What is repeated for sure (``stretches`` null) and the first anchors of classes that agree with
+    another class of their run on a side of it, with the number of these."""
     own = Window.partitionBy("run", "stretch").orderBy("id", "place")
     run = Window.partitionBy("run")
     # Dealt by run, rows lie right for both windows.
     marked = rows.repartition("run").withColumn("nth", F.row_number().over(own)).withColumn(
         "stretches", F.sum(F.when((F.col("nth") == 1) & (F.col("place") >= 0), 1).otherwise(0)).over(run)
     )
-    return marked.where("place < 0 OR nth > 1 OR stretches > 1").select(
-        "run", "id", "place", "stretch",
-        F.when((F.col("place") >= 0) & (F.col("nth") == 1), F.col("stretches")).alias("stretches"),
+    marked = marked.where("place < 0 OR nth > 1 OR stretches > 1")
+    first, alike = (F.col("place") >= 0) & (F.col("nth") == 1), F.lit(False)
+    for side in (F.shiftrightunsigned("sides", 16), F.col("sides").bitwiseAND(0xFFFF)):
+        count = F.sum(F.when(first, 1).otherwise(0)).over(Window.partitionBy("run", side))
+        alike = alike | ((side != 0) & (count > 1))
+    marked = marked.withColumn("alike", first & alike).withColumn(
+        "stretches", F.sum(F.col("alike").cast("int")).over(run)
+    )
+    return marked.where("place < 0 OR nth > 1 OR alike").select(
+        "run", "id", "place", "stretch", F.when(F.col("alike"), F.col("stretches")).alias("stretches")
     )
 
 
@@ -228,6 +245,26 @@ def _stretches(docs: DataFrame, asked: DataFrame, length: int, wide: int, fold:
     return joined.mapInArrow(run, "key long, id long, start long, more long, bytes binary")
 
 
+def shared_parts(more: np.ndarray, texts: list[bytes], length: int):
+    """What of the texts a suffix array has to order: ``piece``, ``a``, ``b``, the texts that share a
+    string with others and their bytes from the first such string to the end of the last; and ``own``,
+    ``ahead``, the part of each such string and its start in there. All maximal repeats lie inside: a
+    shared byte before or behind a shared string makes another."""
+    offsets = np.append(0, np.cumsum([len(t) for t in texts])).astype(np.int64)
+    piece = np.repeat(np.arange(len(texts)), more + 1)
+    ahead = np.arange(len(piece)) - np.repeat(np.cumsum(more + 1) - (more + 1), more + 1)
+    at = offsets[piece] + ahead
+    hashed = SpanHash(np.frombuffer(b"".join(texts), np.uint8)).raw(at, at + length)
+    order = np.argsort(hashed)
+    same = hashed[order[1:]] == hashed[order[:-1]]
+    found = np.sort(order[np.append(same, False) | np.append(False, same)])
+    piece, ahead = piece[found], ahead[found]
+    opens = np.append(True, np.diff(piece) != 0)[: len(piece)]
+    first, last = np.flatnonzero(opens), np.flatnonzero(np.append(opens[1:], True)[: len(piece)])
+    own = np.cumsum(opens) - 1
+    return piece[first], ahead[first], ahead[last] + length, own, ahead - ahead[first][own]
+
+
 class SuffixArray:
     """Suffixes of several pieces in order, with the lengths of the prefixes that neighbours share.
 
@@ -248,26 +285,31 @@ class SuffixArray:
             head = (head << np.uint64(8)) | byte
         # Of equal heads the shorter suffix comes first, then each end mark by itself.
         mark = np.where(self.left < 8, self.left * (n + 1) + np.arange(1, n + 1), 8 * (n + 1))
-        ranks = self._ranks(mark, head)
+        ranks = self._pair_ranks(self._ranks(head), mark)
         self.levels, size = [(8, ranks)], 8
         while size <= sizes.max():
             ahead = np.zeros(n, dtype=np.int32)
             ahead[: n - size] = ranks[size:] + 1
             # Of a suffix that ends before ``size`` bytes the rank is its own already.
-            ranks = self._ranks(np.where(self.left > size, ahead, 0), ranks)
+            ranks = self._pair_ranks(ranks, np.where(self.left > size, ahead, 0))
             size *= 2
             self.levels.append((size, ranks))
         self.suffixes = wanted[np.argsort(ranks[wanted])]
         self.shared = self._common(self.suffixes[:-1], self.suffixes[1:])
 
     @staticmethod
-    def _ranks(second: np.ndarray, first: np.ndarray) -> np.ndarray:
-        order = np.lexsort((second, first))
-        a, b = first[order], second[order]
+    def _ranks(values: np.ndarray) -> np.ndarray:
+        order = np.argsort(values)
+        a = values[order]
         out = np.empty(len(order), dtype=np.int32)
-        out[order] = np.append(0, np.cumsum((a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        out[order] = np.append(0, np.cumsum(a[1:] != a[:-1]))
         return out
 
+    @classmethod
+    def _pair_ranks(cls, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Both are under 2 ** 32: sorting whole numbers is much faster than sorting pairs."""
+        return cls._ranks((first.astype(np.uint64) << np.uint64(32)) | second.astype(np.uint64))
+
     def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         size = np.zeros(len(a), dtype=np.int64)
         most = np.minimum(self.left[a], self.left[b]) if len(a) else size
@@ -316,11 +358,15 @@ def _grouped(stretches: DataFrame, length: int, occurrences: bool) -> DataFrame:
     schema = "repeat long, length long, id long, start long" if occurrences else "id long, start long, size long"
 
     def work(ids, start, more, texts):
-        offsets = np.append(0, np.cumsum([len(t) for t in texts])).astype(np.int64)
+        kept = shared_parts(more, texts, length)
+        if not len(kept[0]):
+            return None
+        piece, a, b, own, ahead = kept
+        ids, start = ids[piece], start[piece] + a
+        texts = [texts[i][x:y] for i, x, y in zip(piece.tolist(), a.tolist(), b.tolist())]
+        offsets = np.append(0, np.cumsum(b - a))
         data = np.frombuffer(b"".join(texts), np.uint8)
-        piece = np.repeat(np.arange(len(texts)), more + 1)
-        ahead = np.arange(len(piece)) - np.repeat(np.cumsum(more + 1) - (more + 1), more + 1)
-        array = SuffixArray(data, offsets, offsets[piece] + ahead)
+        array = SuffixArray(data, offsets, offsets[own] + ahead)
         owner = np.repeat(np.arange(len(texts)), np.diff(offsets))
         # The byte before, or the piece itself at its start, which differs from all.
         before = np.append(np.int64(0), data[:-1].astype(np.int64))

@@ -94,6 +94,25 @@ def test_groups_against_brute_force(spark, wide):
     assert covered == {x for places in where.values() if len(places) > 1 for x in places}
 
 
+def test_chance_meetings_are_not_compared(spark):
+    """Texts that share a run, but no string, move no bytes; those that share strings on one side do."""
+    rng = np.random.default_rng(12)
+    letters = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    common = letters(50)
+    texts = {i: letters(150) + common + letters(150) for i in range(60)}
+    frame = lambda t: spark.createDataFrame(list(t.items()), "id long, text string").repartition(3)
+    asked = lambda t: suffixes._sorted_out(suffixes._anchor_rows(frame(t), 100)).where("stretches IS NOT NULL")
+    assert asked(texts).count() == 0
+    # Strings of 120 that begin or end with what all share.
+    more, tails = letters(70), {}
+    for i, at in ((60, 0), (61, 150), (62, 30)):
+        tails[i] = letters(at) + common + more + letters(60)
+        tails[i + 10] = letters(at + 20) + more + common + letters(90)
+    assert asked(texts | tails).select("id").distinct().count() == 6
+    got = {r[0]: tuple(r)[1:] for r in suffixes.dedup(frame(texts | tails), key="id").collect()}
+    assert got == removed(texts | tails) and sum(v[1] > 0 for v in got.values()) == 4
+
+
 def test_suffix_array_against_sorting():
     rng = np.random.default_rng(4)
     pieces = [rng.integers(97, 99, n).astype(np.uint8).tobytes() for n in (30, 1, 9, 64, 17, 40, 8)] + [b"\0" * 12, b"\0" * 20]
