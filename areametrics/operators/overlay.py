@@ -32,6 +32,10 @@ from areametrics.sources.shared import stored
 
 #: Bits of the largest coordinate that crossings keep.
 BITS = 44
+#: Shells of more vertices than this are met edge by edge, so many edges in a strip of the plane.
+RING_EDGES, STRIP_EDGES = 4096, 64
+#: What is told of a part of a union beside its outline.
+FACTS = ["area", "vertices", "rings"]
 _G, _PART, _POS = "_g", "_part", "_pos"
 _ENDS = ["ax", "ay", "bx", "by"]
 
@@ -276,33 +280,67 @@ def rings(edges: DataFrame, tol: float) -> DataFrame:
     return made.select(_G, F.expr(closed).alias("ring")).withColumn("area2", F.expr(_area2("ring")))
 
 
+def _held_by_strips(points: DataFrame, shells: DataFrame) -> DataFrame:
+    """``_hole``, ``_ring``, ``area2``: points strictly inside rings of very many edges, by the edges that a line from
+    the point to the right crosses. Edges go by strips of the plane, so no task holds a ring; strips are so
+    high that an edge passes five on average at most."""
+    ends = "transform(slice(ring, 2, size(ring) - 1), (q, i) -> struct(get(ring, i).x AS ax, get(ring, i).y AS ay, q.x AS bx, q.y AS by))"
+    edges = shells.selectExpr(_G, "_ring", "area2", f"inline({ends})").where("ay <> by")
+    edges = stored(edges, "ring_sides")
+    n, tall, low, high = edges.agg(
+        F.count("*"), F.expr("sum(abs(by - ay))"), F.expr("min(least(ay, by))"), F.expr("max(greatest(ay, by))")
+    ).first()
+    strip = f"{max((high - low) * STRIP_EDGES / n, tall / (4 * n))!r}D"
+    edges = edges.withColumn("_strip", F.expr(
+        f"explode(sequence(bigint(floor(least(ay, by) / {strip})), bigint(floor(greatest(ay, by) / {strip}))))"
+    ))
+    points = points.select(_G, "_hole", F.col(f"{GEOM}.x").alias("x"), F.col(f"{GEOM}.y").alias("y")).withColumn(
+        "_strip", F.expr(f"bigint(floor(y / {strip}))")
+    )
+    crossed = "(r.ay > l.y) <> (r.by > l.y) AND signum((r.bx - r.ax) * (l.y - r.ay) - (r.by - r.ay) * (l.x - r.ax)) = signum(r.by - r.ay)"
+    met = joins.sized_join(points, edges, [_G, "_strip"], F.expr(crossed), "inner")
+    return met.groupBy("l._hole", "r._ring").agg(F.count("*").alias("n"), F.min("r.area2").alias("area2")).where(
+        "n % 2 = 1"
+    ).select("_hole", "_ring", "area2")
+
+
 def polygons(edges: DataFrame, tol: float) -> DataFrame:
-    """One row per part: ``_g``, ``geom`` (a shell and its holes) and box. A hole belongs to the smallest
-    shell of its group around it."""
+    """One row per part: ``_g``, ``geom`` (a shell and its holes), box, and of it ``area``, ``vertices`` and ``rings``.
+    A hole belongs to the smallest shell of its group around it. What is told of a part is summed ring by
+    ring, so a part of very many holes is held by one task only where its ``geom`` or box is asked for."""
     found = stored(rings(edges, tol).withColumn("_ring", F.monotonically_increasing_id()), "rings")
-    shells = set_bbox(found.where("area2 > 0").select(_G, "_ring", "area2", F.array(F.array("ring")).alias(GEOM)))
-    holes = found.where("area2 < 0")
-    if holes.limit(1).count() == 0:
-        return shells.select(_G, GEOM, *BBOX)
-    points = holes.select(
-        _G, F.col("_ring").alias("_hole"), "ring",
-        F.expr("named_struct('x', (get(ring, 0).x + get(ring, 1).x) / 2, 'y', (get(ring, 0).y + get(ring, 1).y) / 2)").alias(GEOM),
-    )
-    inside = _in_parts(points, shells, S.choose_cell(shells), [_G], "inner", False)
-    owner = inside.groupBy(F.col("l._hole").alias("_hole")).agg(F.min_by("r._ring", "r.area2").alias("_ring"))
-    grouped = owner.join(points.select("_hole", "ring"), "_hole").groupBy("_ring").agg(
-        F.array_sort(F.collect_list("ring")).alias("_holes")
-    )
-    return shells.join(grouped, "_ring", "left").select(
-        _G, F.expr(f"array(concat(get({GEOM}, 0), coalesce(_holes, slice(get({GEOM}, 0), 1, 0))))").alias(GEOM), *BBOX
+    shells, holes = found.where("area2 > 0"), found.where("area2 < 0")
+    owned = shells.select(_G, F.col("_ring").alias("_shell"), "area2", "ring")
+    if holes.limit(1).count():
+        points = holes.select(
+            _G, F.col("_ring").alias("_hole"),
+            F.expr("named_struct('x', (get(ring, 0).x + get(ring, 1).x) / 2, 'y', (get(ring, 0).y + get(ring, 1).y) / 2)").alias(GEOM),
+        )
+        few = set_bbox(shells.where(f"size(ring) <= {RING_EDGES}").select(
+            _G, "_ring", "area2", F.array(F.array("ring")).alias(GEOM)
+        ))
+        inside = _in_parts(points, few, S.choose_cell(few), [_G], "inner", False).select("l._hole", "r._ring", "r.area2")
+        many = shells.where(f"size(ring) > {RING_EDGES}")
+        if many.limit(1).count():
+            inside = inside.unionByName(_held_by_strips(points, many))
+        owner = inside.groupBy("_hole").agg(F.min_by("_ring", "area2").alias("_shell"))
+        owned = owned.unionByName(
+            holes.join(owner, F.col("_ring") == F.col("_hole")).select(_G, "_shell", "area2", "ring")
+        )
+    made = owned.groupBy(_G, "_shell").agg(
+        (F.sum("area2") / 2).alias("area"), F.sum(F.size("ring") - 1).alias("vertices"), F.count("*").alias("rings"),
+        F.first(F.when(F.col("area2") > 0, F.col("ring")), True).alias("_outer"),
+        F.array_sort(F.collect_list(F.when(F.col("area2") < 0, F.col("ring")))).alias("_holes"),
     )
+    made = made.withColumn(GEOM, F.array(F.concat(F.array("_outer"), "_holes")))
+    return set_bbox(made).select(_G, GEOM, *BBOX, *FACTS)
 
 
 def union(layer: DataFrame) -> DataFrame:
-    """The union of a whole layer, a row per connected part: ``geom`` and box."""
+    """The union of a whole layer, a row per connected part: ``geom``, box, ``area``, ``vertices`` and ``rings``."""
     rows = parts(layer.withColumn(_G, F.lit(0)), _G)
     tol = _tolerance(rows)
-    return polygons(outline(rows, tol), tol).select(GEOM, *BBOX)
+    return polygons(outline(rows, tol), tol).select(GEOM, *BBOX, *FACTS)
 
 
 def _gathered(made: DataFrame, key: str) -> DataFrame:

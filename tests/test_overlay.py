@@ -115,6 +115,27 @@ def test_cut_to_region_with_holes(spark):
     assert [len(x) for x in made.first()["geom"][0]] == [7, 5]
 
 
+def test_shells_and_holes_met_by_strips(spark, monkeypatch):
+    """A frame, an island with a pond in it, a frame within the pond, and a tooth that many lines cross: the same
+    parts whether holes look for their shells by cells or by strips."""
+    teeth = [(20, 0), *[(21 + i / 4, (i % 2) * 9 + i / 64) for i in range(40)], (31, 0), (31, -1), (20, -1)]
+    nested = [[square(k, k, 19 - 2 * k), square(k + 0.5, k + 0.5, 18 - 2 * k)] for k in range(9)]
+    shapes = {f"n{k}": [p] for k, p in enumerate(nested)}
+    shapes |= {"comb": [[ring(*teeth)]], "cap": [[square(20, 3.4, 11), square(20.5, 4.4, 0.25), square(30, 8.9, 0.5)]]}
+    rows = layer(spark, shapes)
+    facts = [f"round({O.area()}, 6) AS area", "size(flatten(flatten(geom))) - size(flatten(geom)) AS vertices", "size(flatten(geom)) AS rings"]
+    want = sorted(map(tuple, O.union(rows).selectExpr(*facts).collect()))
+    assert len(want) > 9 and sum(r[2] for r in want) > len(want) + 9
+    monkeypatch.setattr(O, "RING_EDGES", 3)
+    monkeypatch.setattr(O, "STRIP_EDGES", 2)
+    found = O.union(rows)
+    assert sorted(map(tuple, found.selectExpr(*facts).collect())) == want
+    told = found.selectExpr("round(area, 6) AS area", "vertices", "rings")
+    assert sorted(map(tuple, told.collect())) == want
+    # What is told of a part needs none of its rings in one place.
+    assert "collect_list" not in told._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_nothing(spark):
     none = layer(spark, {"n": None}).where("geom IS NOT NULL")
     some = layer(spark, {"a": [[square(0, 0)]]})
